@@ -57,19 +57,28 @@ def duplicate_lines(text_lines: Column) -> Column:
 
 
 def windows3(w: Column) -> Column:
-    """Every run of three words, joined by a space (words hold none, so this is one to one)."""
+    """A hash of every run of three words; null below three words."""
     n = F.size(w)
-    join = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), join))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window))
 
 
-def repeated_words(tri: Column) -> Column:
-    """Words in windows that occur twice or more, by sorting (window, place) and comparing neighbours."""
-    pairs = F.sort_array(F.transform(tri, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+def repeated_words(w: Column, tri: Column) -> Column:
+    """Words in windows that occur twice or more.
+
+    (hash, place) pairs are sorted, so that equal windows are neighbours; a neighbour of equal hash counts
+    once its three words are equal too. Texts without a repeated hash skip the sort.
+    """
+    pairs = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def equal(x: Column, y: Column) -> Column:
+        out = x["h"] == y["h"]
+        for k in range(3):
+            out = out & (F.get(w, x["i"] + k) == F.get(w, y["i"] + k))
+        return F.coalesce(out, F.lit(False))
 
     def places(s: Column) -> Column:
-        twin = lambda x, k: (x["t"] == F.get(s, k - 1)["t"]) | (x["t"] == F.get(s, k + 1)["t"])
-        return F.transform(F.filter(s, lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"])
+        return F.transform(F.filter(s, lambda x, k: equal(x, F.get(s, k - 1)) | equal(x, F.get(s, k + 1))), lambda x: x["i"])
 
     bound = F.transform(F.array(pairs), places)  # a lambda variable, so that the sorted array is made once
     sorted_places = F.sort_array(F.get(bound, F.lit(0)))
@@ -114,7 +123,7 @@ class _Measures:
             "n_symbols": lambda: symbols(self.text),
             "n_lines": lambda: F.size(lines(self.text)),
             "n_dup_lines": lambda: duplicate_lines(lines(self.text)),
-            "n_repeat_words": lambda: repeated_words(self.tri if self.tri is not None else windows3(self.w)),
+            "n_repeat_words": lambda: repeated_words(self.w, self.tri if self.tri is not None else windows3(self.w)),
             "n_letters": lambda: letters(self.text),
             "n_upper": lambda: upper_letters(self.text),
             "n_chars": lambda: F.length(_text(self.text)),
