@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
-QUERIES = {"op8_quality_cascade": quality.op8}
+QUERIES = {
+    "op5_bpe_forced_boundaries": bpe.op5,
+    "op8_quality_cascade": quality.op8,
+}
 SQL = {"op8_quality_cascade": quality.SQL}
