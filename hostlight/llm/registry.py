@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, licences, quality
 
 QUERIES = {
+    "op2_license_scan": licences.op2,
     "op5_bpe_forced_boundaries": bpe.op5,
     "op8_quality_cascade": quality.op8,
 }
