@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, quality
+from . import bpe, licences, mixing, quality
 
 QUERIES = {
     "op2_license_scan": licences.op2,
     "op5_bpe_forced_boundaries": bpe.op5,
     "op8_quality_cascade": quality.op8,
+    "op10_hierarchical_mixing": mixing.op10,
+}
+SQL = {
+    "op8_quality_cascade": quality.SQL,
+    "op10_hierarchical_mixing": mixing.SQL,
 }
-SQL = {"op8_quality_cascade": quality.SQL}
