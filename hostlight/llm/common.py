@@ -105,3 +105,12 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the cluster's shared folder and read again: cuts the lineage, survives lost executors."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, quality
+from . import bpe, licences, mixing, quality, suffix_dedup
 
 QUERIES = {
     "op2_license_scan": licences.op2,
+    "op3_suffix_array_dedup": suffix_dedup.op3,
     "op5_bpe_forced_boundaries": bpe.op5,
     "op8_quality_cascade": quality.op8,
     "op10_hierarchical_mixing": mixing.op10,
