@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, quality, suffix_dedup
+from . import bpe, jaccard_join, licences, mixing, quality, suffix_dedup
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1,
     "op2_license_scan": licences.op2,
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op5_bpe_forced_boundaries": bpe.op5,
