@@ -56,6 +56,11 @@ def duplicate_lines(text_lines: Column) -> Column:
     return (F.size(text_lines) - F.size(F.array_distinct(text_lines))).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows3(w: Column) -> Column:
     """A hash of every run of three words; null below three words."""
     n = F.size(w)
@@ -63,13 +68,12 @@ def windows3(w: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window))
 
 
-def repeated_words(w: Column, tri: Column) -> Column:
+def repeated_words(w: Column) -> Column:
     """Words in windows that occur twice or more.
 
     (hash, place) pairs are sorted, so that equal windows are neighbours; a neighbour of equal hash counts
     once its three words are equal too. Texts without a repeated hash skip the sort.
     """
-    pairs = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def equal(x: Column, y: Column) -> Column:
         out = x["h"] == y["h"]
@@ -80,12 +84,15 @@ def repeated_words(w: Column, tri: Column) -> Column:
     def places(s: Column) -> Column:
         return F.transform(F.filter(s, lambda x, k: equal(x, F.get(s, k - 1)) | equal(x, F.get(s, k + 1))), lambda x: x["i"])
 
-    bound = F.transform(F.array(pairs), places)  # a lambda variable, so that the sorted array is made once
-    sorted_places = F.sort_array(F.get(bound, F.lit(0)))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
-    count = F.aggregate(sorted_places, start, step, lambda a: a["n"])
-    return F.when(tri.isNull() | (F.size(F.array_distinct(tri)) == F.size(tri)), F.lit(0)).otherwise(count).cast("long")
+
+    def count(tri: Column) -> Column:
+        pairs = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = F.aggregate(F.sort_array(let(pairs, places)), start, step, lambda a: a["n"])
+        return F.when(tri.isNull() | (F.size(F.array_distinct(tri)) == F.size(tri)), F.lit(0)).otherwise(found)
+
+    return let(windows3(w), count).cast("long")
 
 
 @dataclass(frozen=True)
@@ -108,27 +115,19 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-class _Measures:
-    """Measures by name: ready columns where there are any, else expressions over text and words."""
-
-    def __init__(self, text: Column, w: Column, tri: Column | None = None, ready: Sequence[str] = ()):
-        self.text, self.w, self.tri, self.ready = text, w, tri, set(ready)
-
-    def __call__(self, name: str) -> Column:
-        if name in self.ready:
-            return F.col(name)
-        made = {
-            "n_words": lambda: F.size(self.w).cast("long"),
-            "word_chars": lambda: word_chars(self.w),
-            "n_symbols": lambda: symbols(self.text),
-            "n_lines": lambda: F.size(lines(self.text)),
-            "n_dup_lines": lambda: duplicate_lines(lines(self.text)),
-            "n_repeat_words": lambda: repeated_words(self.w, self.tri if self.tri is not None else windows3(self.w)),
-            "n_letters": lambda: letters(self.text),
-            "n_upper": lambda: upper_letters(self.text),
-            "n_chars": lambda: F.length(_text(self.text)),
-        }
-        return made[name]()
+def _measures(text: Column, w: Column) -> dict[str, Callable[[], Column]]:
+    """Measures by name, over a text and its words."""
+    return {
+        "n_words": lambda: F.size(w).cast("long"),
+        "word_chars": lambda: word_chars(w),
+        "n_symbols": lambda: symbols(text),
+        "n_lines": lambda: F.size(lines(text)),
+        "n_dup_lines": lambda: let(lines(text), duplicate_lines),
+        "n_repeat_words": lambda: repeated_words(w),
+        "n_letters": lambda: letters(text),
+        "n_upper": lambda: upper_letters(text),
+        "n_chars": lambda: F.length(_text(text)),
+    }
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
@@ -138,42 +137,52 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     """
     rows = docs.count()
     share = min(1.0, 2.0 * sample_rows / max(rows, 1))
-    w, t = with_fresh(docs, "sample_words"), F.col(text)
-    sample = docs.select(t).sample(share, seed).limit(sample_rows).withColumn(w, words(t))
-    m = _Measures(t, F.col(w))
-    found = sample.agg(*[x for k, r in enumerate(rules) for x in (F.avg(F.coalesce(r.fails(m), F.lit(True)).cast("double")).alias(f"r{k}"), F.avg(r.cost(m)).alias(f"c{k}"))]).first()
+    t = F.col(f"`{text}`")
+    sample = docs.select(t).sample(share, seed).limit(sample_rows)
+
+    def judged(w: Column) -> Column:
+        m = _measures(t, w)
+        at = lambda name: m[name]()
+        return F.struct(*[x for k, r in enumerate(rules) for x in (F.coalesce(r.fails(at), F.lit(True)).cast("double").alias(f"r{k}"), r.cost(at).cast("double").alias(f"c{k}"))])
+
+    judgements = sample.select(let(words(t), judged).alias("j"))
+    found = judgements.agg(*[F.avg(f"j.{x}{k}").alias(f"{x}{k}") for k in range(len(rules)) for x in "rc"]).first()
     measured = [(r, found[f"r{k}"] or 0.0, max(found[f"c{k}"] or 1.0, 1e-9)) for k, r in enumerate(rules)]
     return sorted(measured, key=lambda x: -x[1] / x[2])
 
 
-def _first_failed(order: Sequence[Rule], m: _Measures) -> Column:
+def _first_failed(order: Sequence[Rule], at: Callable[[str], Column]) -> Column:
     out = F.lit(None).cast("string")
     for rule in reversed(order):
-        out = F.when(F.coalesce(rule.fails(m), F.lit(True)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.fails(at), F.lit(True)), F.lit(rule.name)).otherwise(out)
     return out
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000, measures: bool = False) -> DataFrame:
-    """`docs` with `failed_rule` (null if kept) and `kept`; with `measures`, also every measure.
+    """`docs` with `failed_rule` (null if kept) and `kept`; with `measures`, also every measure but n_chars.
 
     Without `measures` a row's later measures are computed only if it passed the earlier rules.
     """
     order = [r for r, _, _ in order_rules(docs, rules, text, sample_rows)]
-    w, tri = with_fresh(docs, "words_"), with_fresh(docs, "windows_")
-    with_words = docs.withColumn(w, words(F.col(text)))
-    m = _Measures(F.col(text), F.col(w))
+    t = F.col(f"`{text}`")
     if measures:
-        names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"]
-        m = _Measures(F.col(text), F.col(w), F.col(tri))
-        with_words = with_words.withColumn(tri, windows3(F.col(w))).withColumns({n: m(n) for n in names})
-        m = _Measures(F.col(text), F.col(w), F.col(tri), names)
-    return with_words.withColumn("failed_rule", _first_failed(order, m)).withColumn("kept", F.col("failed_rule").isNull()).drop(w, tri)
+        names = [n for n in _measures(t, t) if n != "n_chars"]
+        all_of = with_fresh(docs, "measures_")
+        made = let(words(t), lambda w: F.struct(*[_measures(t, w)[n]().alias(n) for n in names]))
+        out = docs.withColumn(all_of, made)
+        out = out.withColumns({n: F.col(all_of)[n] for n in names}).drop(all_of)
+        failed = _first_failed(order, lambda n: F.col(n) if n in names else F.length(_text(t)))
+    else:
+        out = docs
+        failed = let(words(t), lambda w: _first_failed(order, lambda n: _measures(t, w)[n]()))
+    return out.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` that pass every rule, with the columns of `docs`."""
-    out = cascade(docs, rules, text)
-    return out.filter("kept").select([f"`{c}`" for c in docs.columns])
+    renamed = docs.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(docs.columns)})  # names may clash with ours
+    out = cascade(renamed, rules, f"in_{docs.columns.index(text)}").filter("kept")
+    return out.select([F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
