@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, licences, mixing, quality, suffix_dedup
+from . import bpe, html_extract, jaccard_join, licences, mixing, quality, suffix_dedup
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op5_bpe_forced_boundaries": bpe.op5,
     "op8_quality_cascade": quality.op8,
+    "op9_html_minimum_cut": html_extract.op9,
     "op10_hierarchical_mixing": mixing.op10,
 }
 SQL = {
     "op8_quality_cascade": quality.SQL,
+    "op9_html_minimum_cut": html_extract.op9,
     "op10_hierarchical_mixing": mixing.SQL,
 }
