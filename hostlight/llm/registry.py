@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, jaccard_join, language_id, licences, mixing, quality, suffix_dedup
+from . import bpe, html_extract, jaccard_join, language_id, licences, lm_score, mixing, quality, suffix_dedup
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op4_language_id_ppm": language_id.op4,
     "op5_bpe_forced_boundaries": bpe.op5,
+    "op6_maxent_lm_score": lm_score.op6,
     "op8_quality_cascade": quality.op8,
     "op9_html_minimum_cut": html_extract.op9,
     "op10_hierarchical_mixing": mixing.op10,
