@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, jaccard_join, language_id, licences, lm_score, mixing, quality, suffix_dedup
+from . import audio, bpe, html_extract, jaccard_join, language_id, licences, lm_score, mixing, quality, suffix_dedup
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -11,12 +11,12 @@ QUERIES = {
     "op4_language_id_ppm": language_id.op4,
     "op5_bpe_forced_boundaries": bpe.op5,
     "op6_maxent_lm_score": lm_score.op6,
+    "op7_chroma_fingerprints": audio.op7,
     "op8_quality_cascade": quality.op8,
     "op9_html_minimum_cut": html_extract.op9,
     "op10_hierarchical_mixing": mixing.op10,
 }
 SQL = {
     "op8_quality_cascade": quality.SQL,
-    "op9_html_minimum_cut": html_extract.op9,
     "op10_hierarchical_mixing": mixing.SQL,
 }
