@@ -126,7 +126,8 @@ def recommended_action(severity: Column, category: Column, features: Column) ->
 def dominant_category(features: Column) -> Column:
     """The group with most features (network, process, filesystem, user; ties in that order), else system."""
     groups = F.transform(features, feature_group)
-    count = {name: F.size(F.filter(groups, lambda x, g=g: x == g)) for name, g in (("network", "network"), ("process", "process"), ("filesystem", "file"), ("user", "user"))}
+    hits = lambda g: F.size(F.filter(groups, lambda x: x == g))
+    count = {name: hits(g) for name, g in (("network", "network"), ("process", "process"), ("filesystem", "file"), ("user", "user"))}
     most = F.greatest(*count.values())
     out = F.lit("system")
     for name, n in reversed(count.items()):

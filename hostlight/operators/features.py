@@ -169,10 +169,10 @@ def robust_normalize(found: DataFrame, columns: tuple[str, ...] = FEATURES, last
     cols = list(columns)
     order = Window.partitionBy("client_id").orderBy("window_us")
     if chunk is not None:
-        place = F.row_number().over(order) - 1
-        part = F.floor(place / chunk).cast("int")
-        copies = F.when((place % chunk >= chunk - last + 1), F.array(part, part + 1)).otherwise(F.array(part))
-        found = found.withColumn("_part", part).withColumn("_for", F.explode(copies))
+        numbered = found.withColumn("_place", F.row_number().over(order) - 1)
+        part = F.floor(F.col("_place") / chunk).cast("int")
+        copies = F.when(F.col("_place") % chunk >= chunk - last + 1, F.array(part, part + 1)).otherwise(F.array(part))
+        found = numbered.withColumn("_part", part).withColumn("_for", F.explode(copies)).drop("_place")
     else:
         found = found.withColumns({"_part": F.lit(0), "_for": F.lit(0)})
 

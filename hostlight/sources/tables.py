@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
         user_id % 25 = 0 AS privilege_escalation, 1 + event_id % 5 AS sessions, least(value / 20, 10.0) AS risk_score, event_id % 6 > 0 AS login_success FROM e WHERE event_type = 'signup'""",
     "alerts": """SELECT event_id AS id, client_id, us, CASE WHEN value > 180 THEN 'critical' WHEN value > 140 THEN 'high' ELSE 'medium' END AS severity, least(value / 20, 10.0) AS risk_score,
         CASE WHEN event_id % 10 > 0 THEN 'active' ELSE 'acknowledged' END AS status, CASE event_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'process' WHEN 2 THEN 'filesystem' ELSE 'user_activity' END AS source_category,
-        'Alert on ' || event_type AS title, 'value ' || CAST(CAST(value AS INT) AS STRING) AS description FROM e WHERE value / 20 > 5""",
+        'Alert on ' || event_type AS title, 'value ' || CAST(CAST(floor(value) AS INT) AS STRING) AS description FROM e WHERE value / 20 > 5""",
     "clients": """SELECT 'client_' || CAST(c.c_custkey AS STRING) AS client_id, c.c_name AS hostname, c.c_mktsegment AS department, c.c_custkey % 2 = 0 AS federated_learning, h.heartbeat,
         CASE WHEN h.heartbeat >= m.as_of - 86400000000 THEN 'online' ELSE 'offline' END AS status
         FROM customer c LEFT JOIN (SELECT client_id, max(us) AS heartbeat FROM e GROUP BY client_id) h ON h.client_id = 'client_' || CAST(c.c_custkey AS STRING) CROSS JOIN (SELECT max(us) AS as_of FROM e) m
