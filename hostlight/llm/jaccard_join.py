@@ -20,7 +20,7 @@ the chance that no band of a similar pair agrees (1 - s^4)^32, 5e-8 at s = 0.8,
 Words are what stands between white space, A-Z lower-cased. A text of one to four words is one shingle of all
 its words. Defined results: a null text, or one without words, has no shingles, no links and a group of its own.
 Repeated rows are a class. Ties for a representative don't occur, as keys should be unique. An empty table gives an
-empty table; other columns of the input don't matter.
+empty table; other columns of the input don't matter. Rows without key are alone, with null ids.
 """
 
 from __future__ import annotations
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     by links), n_links (other documents at or above the threshold, copies included) and n_shingles."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    nameless, rows = rows.filter("key IS NULL"), rows.filter("key IS NOT NULL")
     made = stored(rows.mapInPandas(_prepared, f"key {kind}, n long, bands array<long>, f1 long, f2 long"))
     prints = made.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
     classes = stored(prints)
@@ -282,10 +283,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     forest = found.filter(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b"))
     groups = components(forest).select(F.col("a").alias("class_id"), F.col("root").alias("group_id"))
     out = members.join(groups, "class_id", "left").join(links.withColumnRenamed("key", "class_id"), "class_id", "left")
-    return out.select(
-        F.col("key").alias(key), "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"),
-    )
+    out = out.select("key", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    alone = nameless.select("key", F.col("key").alias("class_id"), F.col("key").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
+    return out.unionByName(alone).withColumnRenamed("key", key)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

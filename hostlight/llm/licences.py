@@ -140,3 +140,30 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Ma
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def _sql() -> str:
+    """The scan for another engine, without the candidate filters: every block against every template."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    sets = {k: sorted(set(v.split())) for k, v in TEMPLATES.items()}
+    rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}], {math.ceil(0.8 * len(v) - 1e-9)})" for k, v in sets.items())
+    hits = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM q WHERE t{len(p.split())} = '{p}'" for p, label in PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d),
+p AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i FROM w),
+q AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS t3, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o AS t4 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS ({hits}),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS have FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+tpl AS (SELECT * FROM (VALUES {rows}) v(name, words, need)),
+m AS (SELECT l.doc_id, tpl.name AS label, len(list_intersect(l.have, tpl.words)) / CAST(len(tpl.words) AS DOUBLE) AS share FROM l, tpl WHERE len(list_intersect(l.have, tpl.words)) >= tpl.need),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION ALL SELECT doc_id, label FROM m) u GROUP BY doc_id),
+s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN s ON s.doc_id = w.doc_id
+"""
+
+
+SQL = _sql()

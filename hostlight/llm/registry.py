@@ -17,6 +17,7 @@ QUERIES = {
     "op10_hierarchical_mixing": mixing.op10,
 }
 SQL = {
+    "op2_license_scan": licences.SQL,
     "op8_quality_cascade": quality.SQL,
     "op10_hierarchical_mixing": mixing.SQL,
 }

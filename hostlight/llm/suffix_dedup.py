@@ -21,7 +21,8 @@ and an earlier start). Strings never cross documents and are judged on the input
 Defined results: a null or empty text counts as empty, with nothing removed. Texts shorter than `length` are
 never touched. Repeated rows with different keys: the one with the smallest key stays. Rows with the same key
 and text remove each other's later half only by their place in the key's order, so keys should be unique. An
-empty table gives an empty table; other columns of the input don't matter.
+empty table gives an empty table; other columns of the input don't matter. Rows without key neither lose nor cause
+anything.
 """
 
 from __future__ import annotations
@@ -373,7 +374,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     key; whole: anchors all of whose surroundings go; begin, end: other spans. Spans may overlap, see `merged`.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("key IS NOT NULL")
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInPandas(_anchor_rows, f"h long, c long, key {kind}, place int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
