@@ -25,7 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import release, table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,7 +49,7 @@ def lower(text: str) -> str:
 class Codec:
     """Encodes and decodes with one vocabulary file; at most `remembered` words and pieces are kept."""
 
-    def __init__(self, spec: str, remembered: int = 300_000):
+    def __init__(self, spec: str, remembered: int = 150_000):
         j = json.loads(spec)
         model = j["model"]
         if model["type"] != "BPE" or j["decoder"] is not None:
@@ -168,6 +168,8 @@ def _coded(docs: DataFrame, key: str, text: str, vocabulary: str, schema: str, m
         for pdf in batches:
             both = [codec.encode(t if isinstance(t, str) else None) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], **made([b[0] for b in both], [b[1] for b in both])})
+        del codec
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInPandas(run, f"key {kind}, {schema}")

@@ -39,6 +39,18 @@ def chunks(texts: pd.Series, limit: int = 2 << 20):
         yield slice(begin, len(sizes))
 
 
+def release() -> None:
+    """Gives freed memory back to the machine, so that a worker that waits for its next task holds little."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (in place where it can)."""
     x = x ^ (x >> np.uint64(32))

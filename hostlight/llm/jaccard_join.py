@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, mix, raw, shared_folder, stored, table, with_fresh, words_of
+from .common import LOWER, chunks, mix, raw, release, shared_folder, stored, table, with_fresh, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -103,7 +103,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for part in chunks(pdf["text"], 1 << 20):
+        for part in chunks(pdf["text"], 1 << 18):
             sets = shingles([raw(t) for t in pdf["text"].iloc[part]])
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [np.empty(0, np.int64)] * len(sets)
@@ -115,6 +115,7 @@ def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "key": pdf["key"].to_numpy()[part], "n": [len(s) for s in sets], "bands": bands,
                 "f1": np.array([p[0] for p in prints], np.uint64).view(np.int64), "f2": np.array([p[1] for p in prints], np.uint64).view(np.int64),
             })
+    release()
 
 
 # -- Bayesian pruning -----------------------------------------------------------------------------------------
@@ -206,7 +207,7 @@ def _verified(threshold: float, tolerance: float):
         pdf = pdf.sort_values("key", ignore_index=True)
         keys, copies = pdf["key"].to_numpy(), pdf["copies"].to_numpy()
         sets: list[np.ndarray] = []
-        for part in chunks(pdf["text"], 1 << 20):
+        for part in chunks(pdf["text"], 1 << 18):
             sets += shingles([raw(t) for t in pdf["text"].iloc[part]])
         sides = [np.flatnonzero(pdf["block"].to_numpy() == b) for b in np.unique(pdf["block"])]
         a, b = sides[0], sides[-1]

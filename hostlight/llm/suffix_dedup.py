@@ -28,14 +28,15 @@ anything.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, raw, stored, table, with_fresh
+from .common import chunks, mix, raw, release, stored, table, with_fresh
 
 LENGTH = 100
 K = 36
@@ -113,10 +114,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for part in chunks(pdf["text"], 1 << 20):
+        for part in chunks(pdf["text"], 1 << 18):
             key = pdf["key"].to_numpy()[part]
             owner, place, h, around = anchors([raw(t) for t in pdf["text"].iloc[part]])
             yield pd.DataFrame({"h": h.view(np.int64), "c": around.view(np.int64), "key": key[owner], "place": place.astype(np.int32)})
+    release()
 
 
 def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,20 +158,24 @@ def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # -- suffix arrays --------------------------------------------------------------------------------------------
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def _numbers(n: int, value: int) -> array:
+    return array("i", [value]) * n
+
+
+def suffix_array(text: Sequence[int]) -> Sequence[int]:
     """Suffixes of a string of numbers in ascending order; its last number must be the only least one."""
     n = len(text)
-    sa = sorted(range(n), key=text.__getitem__)
-    place = [0] * n
-    group = [0] * n  # where the suffix's group starts
-    size = [0] * (n + 1)
+    sa = array("i", np.argsort(np.asarray(text), kind="stable").astype(np.int32).tobytes())
+    place = _numbers(n, 0)
+    group = _numbers(n, 0)  # where the suffix's group starts
+    size = _numbers(n + 1, 0)
     start = 0
     for k, s in enumerate(sa):
         if text[s] != text[sa[start]]:
             start = k
         place[s], group[s] = k, start
         size[start] += 1
-    previous = [-1] * n
+    previous = _numbers(n, -1)
     # 1: groups in descending order; `previous` is the nearest suffix before that is in a lower group
     end = n
     while end > 0:
@@ -205,11 +211,11 @@ def suffix_array(text: list[int]) -> list[int]:
                 size[group[p]] += 1
         end = begin
     # 2: from left to right each suffix puts the ones before it at the front of their groups
-    order = [-1] * n
+    order = _numbers(n, -1)
     order[0] = n - 1
     done = bytearray(n)
     done[n - 1] = 1
-    front = list(range(n + 1))
+    front = array("i", range(n + 1))
     for k in range(n):
         p = order[k] - 1
         while p >= 0 and not done[p]:
@@ -233,7 +239,7 @@ def repeats(around: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarr
     _, ranks = np.unique(symbols, return_inverse=True)
     text = np.ones((m, SYMBOLS + 1), np.int64)  # 1 ends each row
     text[:, :SYMBOLS] = ranks.reshape(m, SYMBOLS) + 2
-    order = np.array(suffix_array([*text.ravel().tolist(), 0]))[1:]
+    order = np.array(suffix_array(array("i", np.append(text.ravel(), 0).astype(np.int32).tobytes())))[1:]
     row, column = order // (SYMBOLS + 1), order % (SYMBOLS + 1)
     starts = LEFT // SYMBOL + 1
     use = column < starts
@@ -339,12 +345,14 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 open_rows.clear()
     if open_rows and sum(map(len, open_rows)):
         yield from ended(list(open_rows), True)
+    release()
 
 
 # -- Spark ----------------------------------------------------------------------------------------------------
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["h", "key", "place", "low", "high", "around"]
     for pdf in batches:
         out = []
         for key, text, hs, at in zip(pdf["key"], pdf["text"], pdf["hs"], pdf["at"], strict=True):
@@ -352,7 +360,11 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for h, p in zip(hs.tolist(), at.tolist(), strict=True):
                 low, high = min(LEFT, p), min(RIGHT, len(b) - p)
                 out.append((h, key, p, low, high, bytes(LEFT - low) + b[p - low : p + high] + bytes(RIGHT - high)))
-        yield pd.DataFrame(out, columns=["h", "key", "place", "low", "high", "around"])
+            if len(out) >= 20_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+    release()
 
 
 def merged(row, size: int) -> list[tuple[int, int]]:

@@ -153,7 +153,7 @@ def test_suffix_order():
     for n in range(1, 50):
         for a in (1, 2, 4):
             t = [rng.randint(1, a) for _ in range(n)] + [0]
-            assert suffix_dedup.suffix_array(t) == sorted(range(n + 1), key=lambda i: t[i:])
+            assert list(suffix_dedup.suffix_array(t)) == sorted(range(n + 1), key=lambda i: t[i:])
 
 
 def test_language_costs_and_accuracy(spark):
