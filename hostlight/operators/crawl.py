@@ -50,7 +50,7 @@ def sites(df: DataFrame, strict: bool = False) -> DataFrame:
     rows = df.select("*", F.posexplode(parts).alias("position", "entry")).filter(F.col("position") > 0)
     find = lambda pattern: F.regexp_extract("entry", pattern, 1)
     url = find(r"Onion Link:\s*(http://[a-z2-7]+\.onion[^\s]*)")
-    words = F.transform(F.split(find(r"Keywords?:\s*(.+)"), ","), F.trim)
+    words = F.transform(F.split(find(r"Keywords?:\s*(.+)"), ","), lambda x: F.trim(x))
     out = rows.select(
         "task_id", "position", F.coalesce(F.nullif(F.trim(find(r"Website:\s*(.+)")), F.lit("")), F.lit("Unknown")).alias("title"),
         F.coalesce(F.nullif(F.trim(find(r"Information:\s*(.+)")), F.lit("")), F.lit("No description provided")).alias("description"), F.trim(url).alias("onion_url"),
@@ -78,7 +78,7 @@ def entities(df: DataFrame, strict: bool = False) -> DataFrame:
     domains = listed("domains")
     onions = F.filter(F.transform(domains, lambda d: clean_onion_domain(d, append=True)), lambda d: F.contains(d, F.lit(".onion")) & (F.length(d) > 20))
     clear = F.filter(domains, lambda d: ~(F.contains(clean_onion_domain(d, append=True), F.lit(".onion")) & (F.length(clean_onion_domain(d, append=True)) > 20)) & ~F.endswith(d, F.lit(".")) & F.contains(d, F.lit(".")))
-    words = F.transform(F.coalesce(F.col("darkdump_results")["keywords"], none), F.trim) if strict else listed("keywords")
+    words = F.transform(F.coalesce(F.col("darkdump_results")["keywords"], none), lambda x: F.trim(x)) if strict else listed("keywords")
     return df.select(
         "task_id", merged(F.filter(listed("urls"), lambda u: F.startswith(u, F.lit("http://")) | F.startswith(u, F.lit("https://"))), in_text).alias("urls"),
         merged(onions, F.transform(in_text, lambda u: F.regexp_extract(u, r"http://([a-z2-7]+\.onion)", 1))).alias("onion_domains"), merged(F.transform(clear, F.lower)).alias("clearnet_domains"),
