@@ -175,39 +175,44 @@ _DOUBLE = "(" + " OR ".join(f"{_FILE} LIKE '%{x}'" for x in fixed.DOUBLE_EXTENSI
 _HIDDEN = "(" + " OR ".join(f"{_FILE} LIKE '%_.{a}.{b}'" for a in ("pdf", "doc", "docx", "xls", "xlsx", "jpg", "png", "txt") for b in ("exe", "scr", "bat", "cmd", "vbs", "js")) + ")"
 _PATTERNS = how_many(_FILE, fixed.FILE_PATTERNS)
 
-FILE_FULL = Scorer(
-    [
-        rule(f"{_SAFE_FILE} AND {_RANSOM} AND {_EXT} <> '.enc'", 9.0, "ransomware_extension_safe_location", _EXT),
+def file_scorer(profile: str = "v1") -> Scorer:
+    """profile 'v2': stricter weights; critical words add up instead of ending the score."""
+    v2 = profile == "v2"
+    pick = lambda first, second: second if v2 else first
+    user_dirs, temp = holds_any(_FP, ("downloads", "desktop", "documents")), holds_any(_FP, ("temp", "tmp"))
+    first_critical, first_high, first_pattern = (first_word(_FILE, w) for w in (fixed.CRITICAL_FILE_WORDS, fixed.HIGH_FILE_WORDS, fixed.FILE_PATTERNS))
+    critical = rule(holds_any(_FILE, fixed.CRITICAL_FILE_WORDS), pick(9.5, 9.0), "critical_malware_keyword", first_critical)
+    early = [
+        rule(f"{_SAFE_FILE} AND {_RANSOM} AND {_EXT} <> '.enc'", pick(9.0, 8.0), "ransomware_extension_safe_location", _EXT),
         rule(f"{_SAFE_FILE} AND {_EXT} = '.enc'", 0.5, "encrypted_file_safe_location"),
         rule(_SAFE_FILE, 0.0, "safe_location"),
-        rule(holds_any(_FILE, fixed.CRITICAL_FILE_WORDS), 9.5, "critical_malware_keyword", first_word(_FILE, fixed.CRITICAL_FILE_WORDS)),
-    ],
-    [
-        [rule(holds_any(_FILE, fixed.HIGH_FILE_WORDS), 6.0, "high_risk_keyword", first_word(_FILE, fixed.HIGH_FILE_WORDS))],
-        [rule(_RISKY, 2.0, "high_risk_extension", _EXT)],
+    ]
+    groups = [
+        [rule(holds_any(_FILE, fixed.HIGH_FILE_WORDS), pick(6.0, 7.0), "high_risk_keyword", first_high)],
+        [rule(_RISKY, pick(2.0, 4.0), "high_risk_extension", _EXT)],
         [
-            rule(f"{_EXT} = '.enc' AND {holds_any(_FP, ('downloads', 'desktop', 'documents'))}", 8.5, "enc_file_user_directory", _EXT),
-            rule(f"{_EXT} = '.enc' AND is_new AND age_s < 60", 7.0, "recent_enc_file", _EXT),
-            rule(f"{_RANSOM} AND {_EXT} <> '.enc'", 9.5, "ransomware_extension", _EXT),
+            rule(f"{_EXT} = '.enc' AND {user_dirs}", pick(8.5, 7.0), "enc_file_user_directory", _EXT),
+            rule(f"{_EXT} = '.enc' AND is_new AND age_s < 60", pick(7.0, 5.0), "recent_enc_file", _EXT),
+            rule(f"{_RANSOM} AND {_EXT} <> '.enc'", pick(9.5, 9.0), "ransomware_extension", _EXT),
         ],
         [rule(_DOUBLE, 8.0, "double_extension_trick")],
         [rule(_HIDDEN, 7.0, "hidden_executable_extension")],
-        [rule(f"{_PATTERNS} >= 2", 7.0, "multiple_suspicious_keywords", first_word(_FILE, fixed.FILE_PATTERNS)), rule(f"{_PATTERNS} = 1", 4.0, "suspicious_keyword", first_word(_FILE, fixed.FILE_PATTERNS))],
-        [rule(f"{holds_any(_FP, ('temp', 'tmp'))} AND {_RISKY}", 2.0, "executable_in_temp"), rule(f"{holds_any(_FP, ('temp', 'tmp'))} AND {_EXT} IN ('.ps1', '.bat', '.cmd', '.vbs')", 3.0, "script_in_temp")],
-        [rule(f"contains({_FP}, 'download') AND {_RISKY} AND is_new", 2.0, "new_executable_in_downloads")],
-        [rule(holds_any(_FP, ("startup", "autostart")), 5.0, "persistence:startup_folder")],
-        [rule(f"contains({_FP}, '$recycle.bin') AND {_RISKY}", 6.0, "executable_in_recycle_bin")],
-        [rule(f"{holds_any(_FP, ('windows/system32', 'windows/syswow64'))} AND {_EXT} IN ('.exe', '.dll') AND is_new", 4.0, "new_file_in_system32")],
-        [rule(f"{_EXT} IN ('.exe', '.dll') AND file_size < 10240", 2.0, "tiny_executable"), rule(f"{_EXT} IN ('.exe', '.dll') AND file_size > 524288000", 1.5, "unusually_large_executable")],
-        [rule(f"is_new AND age_s < 10 AND {_RISKY}", 1.5, "very_recent_executable")],
-        [rule(f"{_FILE} LIKE '.%' AND {_RISKY} AND NOT windows", 2.0, "hidden_executable")],
-    ],
-)
+        [rule(f"{_PATTERNS} >= 2", pick(7.0, 8.0), "multiple_suspicious_keywords", first_pattern), rule(f"{_PATTERNS} = 1", pick(4.0, 5.0), "suspicious_keyword", first_pattern)],
+        [rule(f"{temp} AND {_RISKY}", pick(2.0, 4.0), "executable_in_temp"), rule(f"{temp} AND {_EXT} IN ('.ps1', '.bat', '.cmd', '.vbs')", pick(3.0, 5.0), "script_in_temp")],
+        [rule(f"contains({_FP}, 'download') AND {_RISKY} AND is_new", pick(2.0, 3.0), "new_executable_in_downloads")],
+        [rule(holds_any(_FP, ("startup", "autostart")), pick(5.0, 6.0), "persistence:startup_folder")],
+        [rule(f"contains({_FP}, '$recycle.bin') AND {_RISKY}", pick(6.0, 7.0), "executable_in_recycle_bin")],
+        [rule(f"{holds_any(_FP, ('windows/system32', 'windows/syswow64'))} AND {_EXT} IN ('.exe', '.dll') AND is_new", pick(4.0, 5.0), "new_file_in_system32")],
+        [rule(f"{_EXT} IN ('.exe', '.dll') AND file_size < 10240", pick(2.0, 3.0), "tiny_executable"), rule(f"{_EXT} IN ('.exe', '.dll') AND file_size > 524288000", pick(1.5, 2.0), "unusually_large_executable")],
+        [rule(f"is_new AND age_s < 10 AND {_RISKY}", pick(1.5, 2.0), "very_recent_executable")],
+        [rule(f"{_FILE} LIKE '.%' AND {_RISKY} AND NOT windows", pick(2.0, 3.0), "hidden_executable")],
+    ]
+    return Scorer(early, [[critical], *groups]) if v2 else Scorer([*early, critical], groups)
 
 
-def file_risk_full(df: DataFrame) -> DataFrame:
+def file_risk_full(df: DataFrame, profile: str = "v1") -> DataFrame:
     """Needs file_name, file_path, file_ext, file_size, is_new, age_s, windows."""
-    return FILE_FULL.apply(df)
+    return file_scorer(profile).apply(df)
 
 
 FILE_LIVE = Scorer([], [[rule(f"{_RANSOM} AND {_EXT} <> '.enc'", 8.0, "ransomware_ext", _EXT)], [rule(_DOUBLE, 8.0, "double_ext")], [rule(holds_any(_FILE, ("mimikatz", "keylog", "ransom", "cryptolocker")), 8.0, "malware_keyword")]], None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.fixed import FEATURES, WEIGHT_KEYS
 from ..models import autoencoder, ensemble, forest
-from ..operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, risk
+from ..operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, risk, short_risk
 from ..sources.tables import read, telemetry, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,7 +401,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumns({"is_new": F.col("event_type") == "created", "age_s": F.col("id") % 900, "windows": F.lit(False), "sampled": F.col("id") % 10 == 0})
 
 
-@query(_scored_sql(risk.FILE_FULL, _FILE), "filesystem_data")
+@query(_scored_sql(risk.file_scorer(), _FILE), "filesystem_data")
 def r5_file_risk_full(spark, sf_dir):
     return _scored(risk.file_risk_full(_files(spark, sf_dir)))
 
@@ -447,6 +447,31 @@ def r12_network_risk_strict(spark, sf_dir):
     return _scored(risk.network_risk_full(fleet.running_history(telemetry(spark, sf_dir)["network_data"]), "v2"))
 
 
+@query(_scored_sql(risk.file_scorer("v2"), _FILE), "filesystem_data")
+def r12_file_risk_strict(spark, sf_dir):
+    return _scored(risk.file_risk_full(_files(spark, sf_dir), "v2"))
+
+
+@query(_scored_sql(short_risk.NETWORK, _NET), "network_data")
+def r10_network_risk_short(spark, sf_dir):
+    return _scored(short_risk.NETWORK.apply(risk._network_columns(fleet.running_history(telemetry(spark, sf_dir)["network_data"]))))
+
+
+@query(_scored_sql(short_risk.PROCESS, "SELECT * FROM process_data"), "process_data")
+def r10_process_risk_short(spark, sf_dir):
+    return _scored(short_risk.PROCESS.apply(telemetry(spark, sf_dir)["process_data"]))
+
+
+@query(_scored_sql(short_risk.FILE, "SELECT * FROM filesystem_data"), "filesystem_data")
+def r10_file_risk_short(spark, sf_dir):
+    return _scored(short_risk.FILE.apply(telemetry(spark, sf_dir)["filesystem_data"]))
+
+
+@query(_scored_sql(short_risk.USER, _LOGIN), "user_activity")
+def r10_user_risk_short(spark, sf_dir):
+    return _scored(short_risk.USER.apply(detectors.login_context(telemetry(spark, sf_dir)["user_activity"])))
+
+
 # -- features, models, alerts ---------------------------------------------------------------------------------
 
 SPAN_US = 3_600_000_000  # hours: the given events are sparse
@@ -802,6 +827,49 @@ def scale_flow_counts(spark, sf_dir):
     return flows.groupBy("client", "day").agg(F.count("*").alias("flows"), F.countDistinct("l_partkey").alias("destinations"))
 
 
+@query(f"SELECT round(min(-value), 6) AS low, round(max((-value - lo) / (hi - lo + 1e-9)), 6) AS top, count(*) AS n FROM e, (SELECT min(-value) AS lo, max(-value) AS hi FROM e) q")
+def ev1_scaled_scores(spark, sf_dir):
+    scaled = evaluate.scaled_scores(telemetry(spark, sf_dir)["events"], "value")
+    return scaled.agg(F.round(F.min(-F.col("value")), 6).alias("low"), F.round(F.max("scaled"), 6).alias("top"), F.count("*").alias("n"))
+
+
+@query()
+def ev6_summary(spark, sf_dir):
+    scored = labelled(spark, sf_dir).select(F.col("model").alias("client_id"), "score", "label", F.explode(F.array(F.lit("ensemble"), F.lit("iso"))).alias("model"))
+    return evaluate.summary(scored, len(FEATURES))
+
+
+@query("SELECT id, round(least(greatest(value, 1), 100), 6) AS clipped, round(ln(1 + value), 6) AS logged FROM (SELECT event_id AS id, value FROM e) x")
+def x10_clip_and_log(spark, sf_dir):
+    e = telemetry(spark, sf_dir)["events"]
+    return e.select(F.col("event_id").alias("id"), F.round(scalars.clip(F.col("value"), 1, 100), 6).alias("clipped"), F.round(F.log1p("value"), 6).alias("logged"))
+
+
+@query("SELECT id, lower(username) IN ('root', 'administrator', 'admin', 'system', 'sudo') AS privileged, (CAST(floor(us / 3600000000) AS BIGINT) % 24 < 6 OR CAST(floor(us / 3600000000) AS BIGINT) % 24 > 22) AS late FROM user_activity", "user_activity")
+def x5_x6_user_tests(spark, sf_dir):
+    u = telemetry(spark, sf_dir)["user_activity"]
+    return u.select("id", scalars.is_privileged(F.col("username")).alias("privileged"), scalars.off_hours(F.timestamp_micros("us")).alias("late"))
+
+
+@query(f"SELECT id, {_SAFE} AS safe FROM network_data", "network_data")
+def x3_safe_domain(spark, sf_dir):
+    return telemetry(spark, sf_dir)["network_data"].select("id", scalars.is_safe_domain(F.col("dns")).alias("safe"))
+
+
+@query()
+def fl12_fl13_rollback(spark, sf_dir):
+    """Rounds judged by the heuristic area of their mean threshold, and rolled back where it drops."""
+    means = fl7_global_rounds(spark, sf_dir).filter(F.col("key").contains("threshold")).groupBy("round").agg(F.avg("model").alias("mean"))
+    rounds = means.select("round", federated.heuristic_auc(F.col("mean")).alias("auc"), F.round("mean", 6).alias("model")).toPandas()  # one row per round
+    return spark.createDataFrame(federated.rollback(rounds), "round int, auc double, rolled_back boolean, model double")
+
+
+@query()
+def fl16_agent_updates(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    return federated.agent_update(baselines.baseline_stats(m), baselines.zscore_detect(m))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry to windows to robust features to pattern severities."""
     found = features.robust_normalize(window_features(spark, sf_dir), chunk=5_000)
