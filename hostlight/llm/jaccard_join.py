@@ -3,7 +3,7 @@
 Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of `threshold` or more.
 
 1. Each text becomes its set of shingle hashes, a fingerprint of that set, and a MinHash signature. Documents with
-   equal sets are one class, represented by the smallest key; only representatives go on.
+   equal sets are copies, represented by the smallest key; only representatives go on.
 2. Signatures are cut into bands; representatives that share a band are candidates. Only (band, key) rows move, and
    a bucket links its members to its least one, so a bucket of m members gives m rows, never m * m.
    Candidates are gathered into components by spreading the least key.
@@ -11,15 +11,15 @@ Two documents are linked if the sets of their five-word shingles have a Jaccard
    blocks. Of each pair that shares a band the MinHash values are compared step by step; with a uniform prior the
    similarity given m of n equal values has a Beta(m + 1, n - m + 1) posterior, and the pair is dropped as soon
    as the chance of reaching the threshold falls below `tolerance`. The rest is verified exactly, on the sets.
-4. Each task gives its links as counts per representative and as a spanning forest; groups are the components of
+4. Each task gives its links as counts per representative and as a spanning forest; classes are the components of
    the forests.
 
 Every pair of different texts above the threshold is counted, but pairs are never rows. A pair stays unseen with
 the chance that no band of a similar pair agrees (1 - s^4)^32, 5e-8 at s = 0.8, or that pruning is wrong (tolerance).
 
 Words are what stands between white space, A-Z lower-cased. A text of one to four words is one shingle of all
-its words. Defined results: a null text, or one without words, has no shingles, no links and a group of its own.
-Repeated rows are a class. Ties for a representative don't occur, as keys should be unique. An empty table gives an
+its words. Defined results: a null text, or one without words, has no shingles, no links and a class of its own.
+Repeated rows are copies. Ties for a representative don't occur, as keys should be unique. An empty table gives an
 empty table; other columns of the input don't matter. Rows without key are alone, with null ids.
 """
 
@@ -249,17 +249,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of `docs`: key, class_id (least key with an equal set), group_id (least key of those connected
-    by links), n_links (other documents at or above the threshold, copies included) and n_shingles."""
+    """One row per row of `docs`: key, class_id (least key of those connected by links), copy_id (least key with an equal
+    set), n_links (other documents at or above the threshold, copies included) and n_shingles."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     nameless, rows = rows.filter("key IS NULL"), rows.filter("key IS NOT NULL")
     made = stored(rows.mapInPandas(_prepared, f"key {kind}, n long, bands array<long>, f1 long, f2 long"))
-    prints = made.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
+    prints = made.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("key").alias("copy_id"), F.count("*").alias("copies"))
     classes = stored(prints)
-    members = made.select("key", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("key", "n", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = made.select("key", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("key", "n", F.coalesce("copy_id", "key").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
-    firsts = made.join(classes.select(F.col("class_id").alias("key"), "copies"), "key").select("key", F.explode("bands").alias("band"))
+    firsts = made.join(classes.select(F.col("copy_id").alias("key"), "copies"), "key").select("key", F.explode("bands").alias("band"))
     buckets = firsts.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("m")).filter("m > 1")
     edges = firsts.join(buckets, "band").filter(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     grouped = components(edges)
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y")))
     needed = sized.select(F.col("a").alias("key"), "root", "block", F.explode(pairs).alias("pair"))
-    copies = classes.select(F.col("class_id").alias("key"), "copies")
+    copies = classes.select(F.col("copy_id").alias("key"), "copies")
     fetched = rows.join(grouped.select(F.col("a").alias("key")), "key").join(copies, "key")
     found = (
         needed.join(fetched, "key")
@@ -282,17 +282,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     found = stored(found)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     forest = found.filter(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b"))
-    groups = components(forest).select(F.col("a").alias("class_id"), F.col("root").alias("group_id"))
-    out = members.join(groups, "class_id", "left").join(links.withColumnRenamed("key", "class_id"), "class_id", "left")
-    out = out.select("key", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
-    alone = nameless.select("key", F.col("key").alias("class_id"), F.col("key").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
+    groups = components(forest).select(F.col("a").alias("copy_id"), F.col("root").alias("group_id"))
+    out = members.join(groups, "copy_id", "left").join(links.withColumnRenamed("key", "copy_id"), "copy_id", "left")
+    out = out.select("key", F.coalesce("group_id", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    alone = nameless.select("key", F.col("key").alias("class_id"), F.col("key").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
     return out.unionByName(alone).withColumnRenamed("key", key)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key is the least of its group, with the columns of `docs`."""
+    """The rows of `docs` whose key is the least of its class, with the columns of `docs`."""
     again, group = with_fresh(docs, "near_key"), with_fresh(docs, "near_group")
-    found = near_duplicates(docs, key, text).select(F.col(key).alias(again), F.col("group_id").alias(group))
+    found = near_duplicates(docs, key, text).select(F.col(key).alias(again), F.col("class_id").alias(group))
     gone = found.filter(F.col(again) != F.col(group)).select(again)
     return docs.join(gone, F.col(f"`{key}`") == F.col(again), "left_anti")
 

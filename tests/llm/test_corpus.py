@@ -97,8 +97,8 @@ def test_jaccard_join_finds_every_link(spark, monkeypatch):
         group = [min([group[i], *(group[j] for j in links[i])]) for i in range(len(texts))]
     got = jaccard_join.near_duplicates(table(spark, texts)).toPandas().sort_values("doc_id", ignore_index=True)
     assert got["n_links"].tolist() == [len(x) for x in links]
-    assert got["group_id"].tolist() == group
-    assert got["class_id"].tolist() == [sets.index(s) if s else k for k, s in enumerate(sets)]
+    assert got["class_id"].tolist() == group
+    assert got["copy_id"].tolist() == [sets.index(s) if s else k for k, s in enumerate(sets)]
     kept = {r["doc_id"] for r in jaccard_join.one_of_each(table(spark, texts)).collect()}
     assert kept == {k for k, g in enumerate(group) if k == g}
 
