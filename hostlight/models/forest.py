@@ -56,8 +56,13 @@ def train(matrix: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42
     if n == 0:
         return []
     share = sample / n
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), (F.pmod(F.xxhash64(t, F.lit(seed), "vector", F.col("_row")), F.lit(1 << 30)) / float(1 << 30)).alias("u")))
-    drawn = matrix.select("vector", F.monotonically_increasing_id().alias("_row")).withColumn("d", F.explode(F.filter(draws, lambda x: x["u"] < min(1.0, 2.0 * share)))).select("vector", F.col("d.tree").alias("tree"), F.col("d.u").alias("u"))
+    rows = matrix.select("vector", F.monotonically_increasing_id().alias("_row"))
+    even = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), *salt, "vector", F.col("_row")), F.lit(1 << 30)) / float(1 << 30)
+    if 2.0 * sample * trees < 0.5 * n:  # far more rows than the trees need: a row joins one tree at most
+        drawn = rows.filter(even(F.lit(-1)) < 2.0 * share * trees).select("vector", F.floor(even(F.lit(-2)) * trees).cast("int").alias("tree"), even(F.lit(-3)).alias("u"))
+    else:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), even(t).alias("u")))
+        drawn = rows.withColumn("d", F.explode(F.filter(draws, lambda x: x["u"] < min(1.0, 2.0 * share)))).select("vector", F.col("d.tree").alias("tree"), F.col("d.u").alias("u"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
