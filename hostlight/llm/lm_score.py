@@ -39,10 +39,10 @@ from .language_id import Table
 #: Words with ids; frequent words counted in the tasks; documents of the sample that finds them.
 VOCABULARY, HEAD, SAMPLE_DOCS = 500, 200_000, 10_000
 CLASSES = 22
-CLASS_ROWS, WORD_BITS = 1 << 12, 17
-STEPS, RATE, SMOOTH = 8, 0.4, 2.0
+CLASS_ROWS, WORD_BITS = 1 << 12, 18
+STEPS, RATE, SMOOTH = 10, 0.4, 2.0
 #: Numbers of a slice of the gradient; tasks of a gradient update.
-SLICE, SHARES = 1 << 15, 6
+SLICE, SHARES = 1 << 15, 12
 
 _LOG10 = np.log(10.0)
 

@@ -230,6 +230,15 @@ def test_language_model_is_a_distribution():
         assert np.isclose(np.exp(model.logs(context * base + np.arange(model.size + 1))).sum(), 1)
 
 
+def test_language_model_keeps_its_size():
+    model = lm_score.Maxent(np.array([50, 40, 9, 5, 3, 30]))
+    members = np.arange(1 << 15, dtype=np.int64)
+    places = model.word_places(model.features(np.arange(64)), members) - lm_score.CLASS_ROWS * (lm_score.CLASSES + 1)
+    assert lm_score.STEPS == 10
+    assert 0 <= places.min() and places.max() >= 1 << 17  # 2^18 word weights, all in reach
+    assert len(model.weights) == lm_score.CLASS_ROWS * (lm_score.CLASSES + 1) + (1 << 18)
+
+
 def test_fingerprints_align():
     rng = np.random.default_rng(0)
     x = audio.melodies(rng.normal(size=64))
