@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, mix, raw, release, shared_folder, stored, table, with_fresh, words_of
@@ -290,11 +290,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key is the least of its class, with the columns of `docs`."""
+    """The rows of `docs` whose key is the least of its class, with the columns of `docs`; of rows with the same key and
+    text, one (the least by its other columns)."""
     again, group = with_fresh(docs, "near_key"), with_fresh(docs, "near_group")
     found = near_duplicates(docs, key, text).select(F.col(key).alias(again), F.col("class_id").alias(group))
     gone = found.filter(F.col(again) != F.col(group)).select(again)
-    return docs.join(gone, F.col(f"`{key}`") == F.col(again), "left_anti")
+    kept = docs.join(gone, F.col(f"`{key}`") == F.col(again), "left_anti")
+    twice = docs.select(F.col(f"`{key}`").alias(again)).filter(F.col(again).isNotNull()).groupBy(again).agg(F.count("*").alias("n")).filter("n > 1").select(again)
+    if twice.isEmpty():
+        return kept
+    place = with_fresh(docs, "near_place")
+    same = F.col(f"`{key}`") == F.col(again)
+    order = Window.partitionBy(f"`{key}`", f"`{text}`").orderBy(F.to_json(F.struct(*[f"`{c}`" for c in docs.columns])))
+    once = kept.join(twice, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return kept.join(twice, same, "left_anti").unionByName(once)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

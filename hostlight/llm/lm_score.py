@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, crc_mod, mix, raw, stored, table, words_of
@@ -235,20 +235,20 @@ def corpus_counts(train: DataFrame, words: Words) -> DataFrame:
 
 
 def rare_words(rows: DataFrame, words: Words) -> DataFrame:
-    """Of the words not in the list: (key, logs, known) per document, logs the sum of log10(c + 0.5) and known the tokens
-    with c > 0; rows with a null key hold, in known and in logs, the different words and tokens of training."""
+    """Of the words not in the list: (key, twin, logs, known) per (key, twin), logs the sum of log10(c + 0.5) and known the
+    tokens with c > 0; rows with a null key hold, in known and in logs, the different words and tokens of training."""
     frozen = rows.sparkSession.sparkContext.broadcast(words)
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = frozen.value
         for pdf in batches:
-            keys, train = pdf["key"].to_numpy(), pdf["train"].to_numpy()
+            keys, twins, train = pdf["key"].to_numpy(), pdf["twin"].to_numpy(), pdf["train"].to_numpy()
             for part in chunks(pdf["text"], 1 << 20):
                 owner, number, h = tokens([raw(t) for t in pdf["text"].iloc[part]], w)
                 rare = number < 0
                 who = owner[rare] + part.start
-                yield pd.DataFrame({"h": h[rare].view(np.int64), "key": keys[who], "train": train[who]})
+                yield pd.DataFrame({"h": h[rare].view(np.int64), "key": keys[who], "twin": twins[who], "train": train[who]})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -261,7 +261,7 @@ def rare_words(rows: DataFrame, words: Words) -> DataFrame:
             c = np.bincount(word, frame["train"].to_numpy().astype(float))
             different += int((c > 0).sum())
             total += int(c.sum())
-            return pd.DataFrame({"key": frame["key"], "logs": np.log10(c + 0.5)[word], "known": (c > 0)[word].astype(np.int64)})
+            return pd.DataFrame({"key": frame["key"], "twin": frame["twin"], "logs": np.log10(c + 0.5)[word], "known": (c > 0)[word].astype(np.int64)})
 
         size = 0
         for pdf in batches:
@@ -276,11 +276,11 @@ def rare_words(rows: DataFrame, words: Words) -> DataFrame:
                 held, size = [frame.iloc[cut:]], len(frame) - cut
         if size:
             yield done(pd.concat(held, ignore_index=True))
-        yield pd.DataFrame({"key": [None], "logs": [float(total)], "known": [different]}).astype({"key": "Int64"} if kind in ("bigint", "int") else {})
+        yield pd.DataFrame({"key": [None], "twin": [0], "logs": [float(total)], "known": [different]}).astype({"key": "Int64"} if kind in ("bigint", "int") else {})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInPandas(run, f"h long, key {kind}, train boolean").repartition(parts, "h").sortWithinPartitions("h")
-    return stored(dealt.mapInPandas(counted, f"key {kind}, logs double, known long").groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known")))
+    dealt = rows.mapInPandas(run, f"h long, key {kind}, twin long, train boolean").repartition(parts, "h").sortWithinPartitions("h")
+    return stored(dealt.mapInPandas(counted, f"key {kind}, twin long, logs double, known long").groupBy("key", "twin").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known")))
 
 
 def fit(counts: DataFrame, unigrams: np.ndarray, steps: int = STEPS) -> Maxent:
@@ -320,6 +320,9 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     """One row per row of `docs`: key, n_tokens, n_known, train_tokens, base_score, score (log10), and `train`."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     nameless, rows = rows.filter("key IS NULL"), rows.filter("key IS NOT NULL")
+    # rows that share a key are told apart by their text; where no key is shared, nothing more needs to move
+    shared = not rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    rows = rows.withColumn("twin", F.xxhash64("text") if shared else F.lit(0).cast("long"))
     train = rows.filter("train")
     words = frequent_words(train)
     counts = stored(corpus_counts(train, words))
@@ -354,14 +357,15 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
                 p = (m.logs(keys) / _LOG10)[at]
                 n = per(None)
                 yield pd.DataFrame({
-                    "key": pdf["key"].iloc[part], "train": pdf["train"].iloc[part], "n_tokens": n.astype(np.int64), "known": per(known).astype(np.int64),
+                    "key": pdf["key"].iloc[part], "twin": pdf["twin"].iloc[part], "train": pdf["train"].iloc[part], "n_tokens": n.astype(np.int64), "known": per(known).astype(np.int64),
                     "own": per(own) - n * base_log, "model": per(p) + per(np.where(ids, 0.0, own - other_log)),
                 })
 
     kind = rows.schema["key"].dataType.simpleString()
-    made = rows.mapInPandas(run, f"key {kind}, train boolean, n_tokens long, known long, own double, model double")
-    out = made.join(rare.filter("key IS NOT NULL").select("key", F.col("logs").alias("more"), F.col("known").alias("more_known")), "key", "left")
-    more, more_known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    made = rows.mapInPandas(run, f"key {kind}, twin long, train boolean, n_tokens long, known long, own double, model double")
+    out = made.join(rare.filter("key IS NOT NULL").select("key", "twin", F.col("logs").alias("more"), F.col("known").alias("more_known")), ["key", "twin"], "left")
+    rows_of = F.count("*").over(Window.partitionBy("key", "twin")) if shared else F.lit(1)  # the sums are over all equal rows
+    more, more_known = F.coalesce("more", F.lit(0.0)) / rows_of, (F.coalesce("more_known", F.lit(0)) / rows_of).cast("long")
     out = out.select(
         F.col("key").alias(key), "train", "n_tokens", (F.col("known") + more_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("own") + more).alias("base_score"), (F.col("model") + more).alias("score"),

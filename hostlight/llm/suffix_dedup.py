@@ -20,7 +20,7 @@ and an earlier start). Strings never cross documents and are judged on the input
 
 Defined results: a null or empty text counts as empty, with nothing removed. Texts shorter than `length` are
 never touched. Repeated rows with different keys: the one with the smallest key stays. Rows with the same key
-and text remove each other's later half only by their place in the key's order, so keys should be unique. An
+and text are one document given twice: they get the same result and remove nothing from each other. An
 empty table gives an empty table; other columns of the input don't matter. Rows without key neither lose nor cause
 anything.
 """
@@ -122,8 +122,10 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (h, c, key, place): `whole` for all but the first of equal (h, c); else, if h has several c, not."""
+    """Rows sorted by (h, c, key, place): `whole` for equal (h, c) that don't stand at the place of the first; the first,
+    if h has several c, not `whole`. Rows given twice have the same places and stay with the first."""
     last = None  # the row before: h, c
+    origin = None  # key and place of the first row of the current (h, c)
     held = None  # the first row of the current h, while h has one c only
     columns = ["h", "key", "place"]
     for pdf in batches:
@@ -136,6 +138,14 @@ def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
         new_h[0] = last is None or last[0] != h[0]
         new_c[0] = new_h[0] or last[1] != c[0]
+        key, place = pdf["key"].to_numpy(), pdf["place"].to_numpy()
+        first = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))  # -1: in an earlier batch
+        later = (key != key[first]) | (place != place[first])
+        before = first < 0
+        if before.any():
+            later[before] = (key[before] != origin[0]) | (place[before] != origin[1])
+        if not before[-1]:
+            origin = key[first[-1]], place[first[-1]]
         # an h is mixed as soon as it has a second c
         group = np.cumsum(new_h)
         kinds = np.bincount(group, weights=new_c & ~new_h, minlength=group[-1] + 1) > 0
@@ -143,7 +153,7 @@ def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not new_h[0] and mixed_before:
             kinds[0] = True
         mixed = kinds[group]
-        out = [pdf.loc[~new_c, columns].assign(whole=True), pdf.loc[new_c & mixed, columns].assign(whole=False)]
+        out = [pdf.loc[later, columns].assign(whole=True), pdf.loc[new_c & mixed, columns].assign(whole=False)]
         if not new_h[0] and kinds[0] and held is not None:
             out.append(held[columns].assign(whole=False))
         final = np.flatnonzero(new_h)

@@ -148,6 +148,28 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, limit):
     assert kept[0] and len(texts) - 2 not in kept and kept[len(texts) - 1] == "short"
 
 
+def test_rows_given_twice(spark, monkeypatch):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+    texts = [line() for _ in range(6)]
+    texts[3] = texts[3] + texts[1][:200]
+    docs = table(spark, texts)
+    twice = docs.unionByName(docs.filter("doc_id IN (1, 2, 3)"))
+    want = {k: v for k, v in enumerate(repeated([t.encode() for t in texts]))}
+    got = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in suffix_dedup.removed_digests(twice).collect()]
+    assert sorted(k for k, _ in got) == [0, 1, 1, 2, 2, 3, 3, 4, 5] and all(v == want[k] for k, v in got)
+    # the batch of a stream may end within equal rows
+    frame = pd.DataFrame({"h": [1] * 4, "c": [2] * 4, "key": [5, 5, 5, 6], "place": [64] * 4})
+    parts = [pd.concat(suffix_dedup._sorted_out(iter([frame[:cut], frame[cut:]]))) for cut in range(1, 4)]
+    assert [x[["key", "whole"]].to_numpy().tolist() for x in parts] == [[[6, True]]] * 3
+    kept = jaccard_join.one_of_each(twice)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    monkeypatch.setattr(lm_score, "HEAD", 3)
+    alone = lm_score.score(docs.unionByName(docs.filter("doc_id IN (1, 2, 3)").selectExpr("doc_id + 10 AS doc_id", "text", "lang", "source", "n_chars")), lm_score.F.lit(True), steps=1)
+    one, two = (x.selectExpr("doc_id % 10 AS doc_id", "n_tokens", "n_known", "base_score", "score").toPandas().sort_values("doc_id", ignore_index=True) for x in (alone, lm_score.score(twice, lm_score.F.lit(True), steps=1)))
+    pd.testing.assert_frame_equal(one, two)
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for n in range(1, 50):
