@@ -1,6 +1,6 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. Blocks and templates are word sets; a block meets a template if it holds at least
+A block is a line of a text, or a window across lines (see below). Blocks and templates are word sets; a block meets a template if it holds at least
 `threshold` of the template's words (containment). The join is exact:
 
 * global order: template words are ordered by the number of blocks of the whole corpus that hold them, rarest first;
@@ -10,6 +10,10 @@ A block is a line of a text. Blocks and templates are word sets; a block meets a
 * positional filter: after the first shared word, at place p of the ordered template, at most n - p words can match;
 * whatever is left is counted exactly.
 
+A notice may be wrapped over lines, so windows across lines are blocks too: as many consecutive words as the template
+has. A text's words pass the same filters before its windows are counted. The SQL knows lines only, so it has fewer labels
+and lower scores where a notice is wrapped.
+
 Templates are a fixed small list (a parameter). Texts are words `[0-9a-z]` and non-ASCII after lower-casing A-Z.
 Phrases (base labels) are consecutive words of the whole text, across lines.
 
@@ -20,8 +24,10 @@ equal results, an empty table an empty table. Ties in word order are broken by t
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +67,7 @@ class Matcher:
         self.sets = {k: frozenset(v.encode().translate(_CLEAN).split()) for k, v in templates.items()}
         rank = lambda w: (counts.get(w.decode(), 0), w)
         self.order = {k: sorted(v, key=rank) for k, v in self.sets.items()}
+        self.lengths = {k: len(v.encode().translate(_CLEAN).split()) for k, v in templates.items()}
         self.needed = {k: math.ceil(threshold * len(v) - 1e-9) for k, v in self.sets.items()}
         self.index: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         for k, ordered in self.order.items():
@@ -82,6 +89,26 @@ class Matcher:
             if len(have) >= self.needed[k] and n - place >= self.needed[k] and (shared := len(self.sets[k] & have)) >= self.needed[k]:
                 yield k, shared / n
 
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, str, float]]:
+        """Templates that windows of their length meet, with the first word of the best window and its share."""
+        for k, _ in self.matches(words):
+            wanted, held, have = self.sets[k], deque(), Counter()
+            best, start = 0, 0
+            for i, w in enumerate(words):
+                if w not in wanted:
+                    continue
+                held.append((i, w))
+                have[w] += 1
+                while held[0][0] <= i - self.lengths[k]:
+                    gone = held.popleft()[1]
+                    have[gone] -= 1
+                    if not have[gone]:
+                        del have[gone]
+                if len(have) > best:
+                    best, start = len(have), held[0][0]
+            if best >= self.needed[k]:
+                yield start, k, best / len(wanted)
+
 
 def word_counts(docs: DataFrame, text: str, templates: Mapping[str, str]) -> dict[str, int]:
     """How many blocks of the whole table hold each template word; as many rows as templates have words."""
@@ -124,6 +151,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Ma
                 at = sorted(places(words, wanted))
                 base = {label for _, label in at}
                 met = [(n, label, share) for n, b in enumerate(blocks) for label, share in matcher.matches(b)]
+                if len(blocks) > 1:
+                    best: dict[str, float] = {}
+                    for _, label, share in met:
+                        best[label] = max(share, best.get(label, 0.0))
+                    ends = list(accumulate(map(len, blocks)))
+                    met += [(bisect_right(ends, i), label, share) for i, label, share in matcher.windows(words) if share > best.get(label, 0.0)]
                 score = 1.0 if base else max([share for _, _, share in met], default=0.0)
                 out.append((
                     k, len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None,

@@ -118,6 +118,19 @@ def test_license_filters_are_exact():
         assert {k for k, _ in matcher.matches(block)} == want
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    import textwrap
+
+    names = list(licences.TEMPLATES)
+    wrapped = ["/*\n" + "\n".join(f" * {x}" for x in textwrap.wrap(licences.TEMPLATES[k].capitalize(), w)) + "\n */" for k in names for w in (30, 72)]
+    far = "all of it\n" + "some words\n" * 20 + "rights of others\n" + "some words\n" * 20 + "reserved"
+    got = {r["doc_id"]: r for r in licences.scan(table(spark, [*wrapped, far])).collect()}
+    for i in range(len(wrapped)):
+        assert names[i // 2] in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    assert [b["line"] for b in got[2 * names.index("mit-notice") + 1]["blocks"]] == [1]
+    assert (got[len(wrapped)]["labels"], got[len(wrapped)]["score"]) == ("", 0.0)
+
+
 def repeated(texts, n=100):
     seen, out = set(), []
     for b in texts:
