@@ -14,7 +14,7 @@ Counts of all words and of all (p2, p1, w) cover every training document. Weight
 distributed gradient updates: each task sums observed minus expected counts per weight over its share of the
 contexts, the sums are added up by Spark, and a step scaled by the counts follows.
 
-Counts of frequent words (a bounded list, found on a bounded sample; any list is right, a good one moves less data)
+Counts of frequent words (a bounded list, ranked by the counts of all training documents)
 are summed in the tasks; all other tokens are dealt out by word, counted there, and their logarithms summed per
 document. Scoring works on batches: distinct (p2, p1, w) are scored once, in numpy.
 
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, crc_mod, mix, raw, stored, table, words_of
 from .language_id import Table
 
-#: Words with ids; frequent words counted in the tasks; documents of the sample that finds them.
-VOCABULARY, HEAD, SAMPLE_DOCS = 500, 200_000, 10_000
+#: Words with ids; frequent words counted in the tasks.
+VOCABULARY, HEAD = 500, 200_000
 CLASSES = 22
 CLASS_ROWS, WORD_BITS = 1 << 12, 18
 STEPS, RATE, SMOOTH = 10, 0.4, 2.0
@@ -183,10 +183,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(train: DataFrame) -> Words:
-    """The list of frequent words, from at most about SAMPLE_DOCS documents."""
-    rows = train.count()
-    if rows > SAMPLE_DOCS:
-        train = train.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_DOCS / rows) + 1)
+    """The list of frequent words, by the exact counts of all training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -256,6 +256,16 @@ def test_language_model_counts_and_gain(spark):
     assert unseen.score.sum() > unseen.base_score.sum()
 
 
+def test_language_model_ranks_words_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 3, raising=False)
+    texts = [f"all w{k % 7} w{k % 3} x{k}" for k in range(60)]
+    count = Counter(WORDS.findall(" ".join(texts)))
+    got = lm_score.frequent_words(table(spark, texts))
+    number = {w: int(got.numbers(lm_score.words_of(w.encode())[2])[0]) for w in count}
+    assert min(number.values()) == 1 and sorted(count, key=number.get)[0] == "all"
+    assert all(count[a] >= count[b] for a in count for b in count if number[a] < number[b])
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     model = lm_score.Maxent(np.array([50, 40, 9, 5, 3, 30]))
