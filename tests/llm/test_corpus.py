@@ -235,13 +235,30 @@ def test_bpe_equals_the_library():
     signs = "abc'sTd019 \t\n\x1c\x85éÉİΣςß中🙂👍🏽́‍\x00 ﬁ½Ⅷ�#$%"
     texts = ["".join(rng.choices(signs, k=60)) for _ in range(500)] + ["", "ΑΣ", "<|endoftext|>", "a<|startoftext|><|endoftext|> b", "don't we'll"]
     texts += pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:60]
-    for t in texts:
+    letters = "abcdefghijklmnopqrstuvwxyzéß"
+    texts += ["a" * 5_000, "".join(rng.choices(letters, k=5_000)), "".join(rng.choices(letters + "0/+", k=5_000)), "hehe" * 999 + "!?" * 999]
+    texts += ["<|ENDOFTEXT|> <|endoftext|>", "'s 'S it's'll"]
+    both = codec.encode(texts[:300]) + codec.encode(texts[300:])
+    for t, (ids, shown) in zip(texts, both, strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
-        ids, shown = codec.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert shown == lib.decode(want, skip_special_tokens=False) == codec.decode(ids)
 
 
+def test_bpe_of_a_very_long_word():
+    import time
+
+    codec = bpe.Codec(open(bpe.vocabulary_path()).read())
+    rng = random.Random(2)
+    codec.encode(["a first word"])
+    for signs in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz", "a"):
+        word = "".join(rng.choices(signs, k=200_000))
+        began = time.process_time()
+        [(ids, _)] = codec.encode([word])
+        assert time.process_time() - began < 5  # a quadratic merge takes minutes
+        assert len(ids) and len(codec.known) < 10
+
+
 def test_language_model_counts_and_gain(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
     got = lm_score.op6(spark, SF).toPandas().sort_values("doc_id", ignore_index=True)
