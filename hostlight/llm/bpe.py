@@ -98,8 +98,8 @@ class Codec:
             self.inside[body[:-1], body[1:]] = True
         self.remembered = remembered
         #: fragments with their ids as bytes and their decoded text; special tokens stand under a key with a space
-        self.known: dict[str, tuple[bytes, str]] = {}
         self.fixed = {" " + t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        self.known: dict[str, tuple[bytes, str]] = dict(self.fixed)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids, `_NEVER` where they aren't joined."""
@@ -218,11 +218,10 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids as bytes, and the decoded text (tokens joined by spaces), of each text."""
         parts = [self.parts(t) if t else [] for t in texts]
-        seen = set().union(*parts) - self.fixed.keys()
+        seen = set().union(*parts)
         fresh = list(seen - self.known.keys())
         self.learn(fresh)
-        known = self.known | self.fixed if any(t in self.fixed for p in parts for t in p) else self.known
-        out = []
+        known, out = self.known, []
         for p in parts:
             found = [known[f] for f in p]
             out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
@@ -230,7 +229,7 @@ class Codec:
             if len(f) > SHORT:
                 del self.known[f]
         if len(self.known) > self.remembered:
-            self.known = {f: self.known[f] for f in seen if len(f) <= SHORT}
+            self.known = self.fixed | {f: known[f] for f in seen if len(f) <= SHORT}
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -334,6 +334,47 @@ def test_fingerprint_search_recall(spark):
     assert got[82]["class_id"] == 0 and got[80]["n_frames"] == got[81]["n_frames"] == 0
 
 
+def test_fingerprint_index_recall_in_noise(spark, monkeypatch):
+    """Recall against alignment of all pairs, in noise up to the allowed error; small buckets force the longer keys."""
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(60, 64))
+    noise = [0.0, 0.05, 0.1, 0.15, 0.2]
+    prints = [audio.fingerprint(audio.melodies(v)) for v in vectors]
+    for k, v in enumerate(vectors):
+        x = audio.melodies(v)[(k % 3) * 5 * audio.HOP :]
+        prints.append(audio.fingerprint(x + noise[k % 5] * rng.normal(size=len(x))))
+    df = spark.createDataFrame([(str(k), [int(c) for c in p.view(np.int32)]) for k, p in enumerate(prints)], "key string, codes array<int>")
+
+    def least(a, b):
+        return min(audio.bit_error(a, b, o) for o in range(-12, 13))
+
+    true = {(str(i), str(j)) for i in range(120) for j in range(120) if i != j and least(prints[i], prints[j]) <= audio.MAX_ERROR}
+    for bucket in (64, 1):
+        monkeypatch.setattr(audio, "BUCKET", bucket)
+        got = audio.matches(df, every=1).collect()
+        found = {(r["key"], m["class_id"]) for r in got for m in r["found"]}
+        same = {(r["key"], r["class_id"]) for r in got}
+        assert len(true) > 90 and found | same <= true | same
+        assert len(true & (found | same | {(b, a) for a, b in same})) >= (0.9 if bucket == 64 else 0.6) * len(true)
+
+
+def test_fingerprints_in_odd_cases(spark):
+    long = np.sin(np.arange(audio.RATE * 600) * 0.7)  # ten minutes of one note
+    silence = np.zeros(20_000)
+    sound = audio.melodies(np.random.default_rng(3).normal(size=64))
+    prints = [(None, sound), (0, silence), (1, silence[:18_000]), (20, sound), (20, sound), (21, long), (40, long[: audio.RATE * 500]), (41, sound[:10]), (60, None)]
+    rows = [(k, [] if x is None else [int(c) for c in audio.fingerprint(x).view(np.int32)], "x", 1) for k, x in prints]
+    df = spark.createDataFrame(rows, "key long, codes array<int>, h string, place int")
+    ordered = sorted(audio.matches(df).collect(), key=lambda r: -1 if r["key"] is None else r["key"])
+    got = [(-1 if r["key"] is None else r["key"], r["class_id"], r["n_frames"], r["found"] and [m["class_id"] for m in r["found"]]) for r in ordered]
+    frames = [len(r[1]) for r in rows]
+    assert got == [(-1, 20, frames[0], None), (0, 0, frames[1], [1]), (1, 1, frames[2], None), (20, 20, frames[3], []), (20, 20, frames[3], []), (21, 21, frames[5], None), (40, 40, frames[6], [21]), (41, 41, 0, None), (60, 60, 0, [])]
+    assert audio.matches(df.limit(0)).collect() == []
+    media = spark.createDataFrame([(1, bytearray(b"x"), 2)], "id long, audio binary, codes int")
+    assert [tuple(r) for r in audio.fingerprints(media.limit(0), "id", "audio").collect()] == []
+    assert [tuple(r) for r in audio.fingerprints(media, "id", "audio").collect()] == [(1, [])]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1></header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice"><p>We use cookies to give you the best experience on our website.</p></div><main><article><header><h1>Title &amp; more</h1></header><p>First <b>para</b> &eacute;&nbsp;text.<p>Second,
  <a href=x>link</a>.<ul><li>one<li>two</ul><aside>Related</aside><form><p>Subscribe</p></form><p>x</p></article><section id="comments"><p>A long reader comment with a lot of words in it.</p></section></main>
