@@ -387,6 +387,52 @@ def test_html_main_text():
     assert html_extract.main_text("plain text") == "plain text"
 
 
+BODY = "The first paragraph of the text has more than a few words in it.</p><p>The second one is shorter, though.</p><p>Short.</p>"
+READ = "The first paragraph of the text has more than a few words in it.\nThe second one is shorter, though.\nShort."
+FRAME = '<html><body class="has-sidebar single"><nav class=menu><a href=/>Home</a> <a href=/a>About</a></nav>{}<aside><p>Popular posts of this week, with many words in them.</p></aside><footer><p>Copyright by us, all rights reserved.</p></footer></body></html>'
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        '<article class="post-123 post type-post tag-python category-news"><p>{}</article>', '<article class="post tags-x"><p>{}</article>', '<article><section id="search-engines"><p>{}</section></article>',
+        '<article class="social history"><p>{}</article>', '<main><div class="post meta"><p>{}</div></main>', '<div class="content-sidebar-wrap"><article><p>{}</article></div>', '<main><p>{}</main>', '<div id="content"><p>{}</div>',
+        '<div><div><p>{}</div></div>', '<form id="aspnetForm"><div><article><p>{}</article></div><p>Your mail address here, please.</p></form>', '<article><p title=it\'s>{}</article>', "<article><p>{}<svg><title>An icon</title><path d=''/></svg></article>",
+        '<article><p>{}<div class="share-buttons"><a href=#>Share</a></div></article>', '<article><p>{}<div class="comments"><p>A reader writes a rather long comment about all of this here.</p></div></article>',
+        '<main><p>{}<section id="disqus_thread"><h3>Comments</h3><article class="comment"><p>I do not agree with a single word of this text, sorry.</p></article></section></main>',
+        '<div class="cookie-banner"><p>We use cookies to give you the best experience on this site.</p></div><article><p>{}</article>', '<div class="ad-slot">Buy now and save money on all of our products.</div><div class="story"><p>{}</div>',
+        '<article><p>{}<form><label>Your name</label><button>Send</button></form></article>', '<article><p>{}<script>var x = "<p>no</p>";</script><style>p{{}}</style><noscript>Please turn on scripts.</noscript></article>',
+        '<article><p>{}<div hidden><p>This is never shown to any reader of the page.</p></div></article>', '<header class="site-header"><p>The name of the site and what it is about.</p></header><div class="entry-content"><p>{}</div>',
+        '<div class="related-posts"><ul><li><a href=/x>Another post that you may like</a></ul></div><article><p>{}</article>', "<article><p>{}</article><!-- <p>a remark</p> -->", '<table><tr><td class="main"><p>{}</table>',
+    ],
+)
+def test_html_shapes(shape):
+    assert html_extract.main_text(FRAME.format(shape.format(BODY))) == READ
+
+
+def test_html_cut_differs_from_threshold():
+    page = "<div>" + "<p>A paragraph with a good number of words that ends in a full stop.</p>" * 3 + '<p><a href="/x">One</a> two</p>' + "<p>A paragraph with a good number of words that ends in a full stop.</p>" * 3 + "</div>"
+    found = html_extract.blocks(page)
+    odds = html_extract.content_odds(found, html_extract.TEXT)
+    assert odds[3] < 0 and html_extract.labels(odds, html_extract.ties_of(found)) == [True] * 7
+    odds, rng = [], random.Random(6)
+    for _ in range(200):  # deciding clear blocks first doesn't change the minimum
+        n = rng.randint(1, 9)
+        odds = [rng.uniform(-3, 3) for _ in range(n)]
+        ties = [(j, k, rng.random()) for k in range(n) for j in range(k) if rng.random() < 0.4]
+        assert html_extract.labels(odds, ties) == html_extract.minimum_cut([max(o, 0) for o in odds], [max(-o, 0) for o in odds], ties)
+
+
+def test_html_very_long_pages_and_tables(spark):
+    page = "<nav>x</nav><article>" + "".join(f"<p>Paragraph {k} of a long page, with some words.</p>" for k in range(20_000)) + "</article><footer>end</footer>"
+    assert html_extract.main_text(page).count("\n") == 19_999
+    rows = [(1, "u", page[:5_000], "x", 5), (1, "u", page[:5_000], "x", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    assert len(set(html_extract.extract(df).collect())) == 1 and html_extract.extract(df.limit(0)).collect() == []
+    weights = html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert weights.keys() == html_extract.TEXT.keys() and weights["links"] < 0 < weights["words"]
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(4)
     for _ in range(60):
