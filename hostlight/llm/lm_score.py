@@ -1,30 +1,34 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. The model predicts each token from the two before it:
+Tokens are the words of a text, A-Z lower-cased, and one end. The model predicts each token from the two before it. Every
+word stands at a leaf of a class tree of three levels of `WAYS` branches: the `OWN` most frequent words have leaves of
+their own, all others share the rest by their hash. With c1, c2, c3 the branches that lead to the leaf of w,
 
-    P(w | p1, p2) = P(class(w) | p1, p2) * P(w | class(w), p1, p2)
+    P(w | p1, p2) = P(c1 | p1, p2) * P(c2 | c1, p1, p2) * P(c3 | c1, c2, p1, p2) * P(w | leaf)
 
-Both factors are softmaxes over sums of weights of four features: a bias, p1, the pair (p2, p1), and p2 alone (a
-skip over p1); weights stand in hashed tables of fixed size. The `VOCABULARY` most frequent words have ids; all
-other words are one more class, in which a word has its smoothed share of the exact corpus counts,
-(c + 0.5) / (N' + 0.5 * (V' + 1)) over the training tokens without ids. So scores are proper and comparable with the
-unigram base score.
+Each of the first three factors is a softmax over a bias (the logarithm of the branch's count in training) and the
+weights of three features: p1, the pair (p2, p1), and p2 alone (a skip over p1). Features are made of the hashes of
+whatever words stand there, frequent or not; node and feature are hashed to a row of a table of fixed size. In a
+shared leaf a word has its smoothed share of the exact corpus counts, (c + 0.5) / (N' + 0.5 * (V' + 1)) over the leaf.
+So scores are proper and comparable with the unigram base score.
 
-Counts of all words and of all (p2, p1, w) cover every training document. Weights are fitted to the counts by
-distributed gradient updates: each task sums observed minus expected counts per weight over its share of the
-contexts, the sums are added up by Spark, and a step scaled by the counts follows.
+Training passes once over the tokens of all training documents: they are dealt into `STEPS` batches by hash, and each batch
+is one distributed gradient update. Each task sums observed and expected counts per weight over its documents, Spark adds
+the sums up, and a step scaled by the counts follows; tasks are as many as the batch has partitions.
 
-Counts of frequent words (a bounded list, ranked by the counts of all training documents)
-are summed in the tasks; all other tokens are dealt out by word, counted there, and their logarithms summed per
-document. Scoring works on batches: distinct (p2, p1, w) are scored once, in numpy.
+All words are counted, in Spark. Counts of the `HEAD` most frequent words go to the tasks; the other words of a document
+are joined with the counts, and their logarithms summed per document. Scoring works on batches in numpy: each distinct
+(p2, p1, leaf) of a batch is scored once.
 
 Words are compared by 64-bit hashes. Defined results: a null or empty text is one end token. Without training
 documents N is 0, base and model give every token the same share. Repeated rows get equal scores, an empty table
 gives an empty table. Ties in frequency are broken by the hash. Rows without key have null results and teach nothing.
+Only key, text and the training condition are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,27 +37,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, crc_mod, mix, raw, stored, table, words_of
+from .common import LOWER, chunks, crc_mod, mix, raw, shared_folder, stored, table, words_of
 from .language_id import Table
 
-#: Words with ids; frequent words counted in the tasks.
-VOCABULARY, HEAD = 500, 200_000
-CLASSES = 22
-CLASS_ROWS, WORD_BITS = 1 << 12, 18
-STEPS, RATE, SMOOTH = 10, 0.4, 2.0
-#: Numbers of a slice of the gradient; tasks of a gradient update.
-SLICE, SHARES = 1 << 15, 12
+#: Branches of a node of the class tree (three levels); words with a leaf of their own; words counted in the tasks.
+WAYS, OWN, HEAD = 32, 1 << 14, 200_000
+LEAVES = WAYS**3
+#: Rows of the table of weights (WAYS weights each), updates, their size, and counts that a weight must outweigh.
+ROW_BITS, STEPS, RATE, SMOOTH = 14, 10, 0.4, 2.0
+#: Rows of a slice of the gradient.
+SLICE = 1 << 10
 
 _LOG10 = np.log(10.0)
 
 
 @dataclass
 class Words:
-    """Hashes of frequent words, most frequent first: number 0 is the end; the first `size` have ids."""
+    """Hashes of frequent words, most frequent first: number 0 is the end; and their counts."""
 
     hashes: np.ndarray
-    size: int
-    counts: np.ndarray | None = None
+    counts: np.ndarray
+    own: int = OWN  # leaves that hold one word
     index: Table | None = field(default=None, repr=False)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -63,6 +67,9 @@ class Words:
         found = self.index.find(h.view(np.int64) & np.int64((1 << 62) - 1))
         return np.where(found < 0, -1, found + 1)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "index": None}
+
 
 def tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, number in the list and hash of each token; the end of each text has number 0."""
@@ -74,104 +81,82 @@ def tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np
     return np.insert(owner, last, np.arange(len(texts))), np.insert(words.numbers(h), last, 0), np.insert(h, last, np.uint64(0))
 
 
-def trigrams(owner: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
-    """(p2, p1, w) of each token as one number; ids below `size`, `size` for other words, `size + 1` before a text."""
-    ids = np.where((number >= 0) & (number < size), number, size)
-    base = size + 2
-    p1, p2 = np.full(len(ids), size + 1), np.full(len(ids), size + 1)
+def leaves(number: np.ndarray, h: np.ndarray, own: int) -> np.ndarray:
+    """The leaf of each word."""
+    return np.where((number >= 0) & (number < own), number, own + (h % np.uint64(LEAVES - own)).astype(np.int64))
+
+
+def contexts(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the one and the two tokens before each token; 1 and 2 before a text."""
+    p1, p2 = np.full(len(h), 1, np.uint64), np.full(len(h), 2, np.uint64)
+    p2[1:][owner[1:] == owner[:-1]] = 1
     same1, same2 = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
-    p1[1:][same1] = ids[:-1][same1]
-    p2[2:][same2] = ids[:-2][same2]
-    return (p2 * base + p1) * base + ids
+    p1[1:][same1] = h[:-1][same1]
+    p2[2:][same2] = h[:-2][same2]
+    return p1, p2
+
+
+def distinct(p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal (p1, p2, leaf): the place of one, to which each belongs, and how many there are."""
+    mark = mix(mix(p1 + np.uint64(7)) ^ (p2 * np.uint64(0xA0761D6478BD642F)) ^ leaf.astype(np.uint64))
+    _, first, at, n = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    return first, at, n
 
 
 class Maxent:
-    """Weights and class layout."""
-
-    def __init__(self, unigrams: np.ndarray):
-        """unigrams: counts of ids 0..size, the last for all other words."""
-        self.size = len(unigrams) - 1
-        share = unigrams[: self.size].astype(float) + 0.5
-        # classes of about equal square-root mass, by frequency; other words are the last class
-        mass = np.cumsum(np.sqrt(share))
-        self.class_of = np.append(np.minimum((mass / mass[-1] * CLASSES).astype(int), CLASSES - 1) if self.size else [], CLASSES).astype(int)
-        self.members = [np.flatnonzero(self.class_of[: self.size] == k) for k in range(CLASSES)]
-        self.bias_class = np.log(np.bincount(self.class_of, np.append(share, unigrams[-1] + 0.5), CLASSES + 1) + 1e-9)
-        self.bias_word = np.log(np.append(share, 1.0))
-        self.weights = np.zeros(CLASS_ROWS * (CLASSES + 1) + (1 << WORD_BITS))
-
-    def features(self, context: np.ndarray) -> np.ndarray:
-        """Hashes of the features of contexts p2 * base + p1, a column each."""
-        base = self.size + 2
-        p2, p1 = np.divmod(context.astype(np.uint64), np.uint64(base))
-        kinds = [np.zeros_like(p1), p1, context.astype(np.uint64), p2]
-        return np.stack([mix(x + np.uint64((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) for k, x in enumerate(kinds)], 1)
-
-    def class_rows(self, f: np.ndarray) -> np.ndarray:
-        return (f % np.uint64(CLASS_ROWS)).astype(np.int64)
-
-    def word_places(self, f: np.ndarray, members: np.ndarray) -> np.ndarray:
-        """Places of word weights: contexts x features x members."""
-        h = f[:, :, None] ^ ((members.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        h *= np.uint64(0xE7037ED1A0B428DB)
-        return CLASS_ROWS * (CLASSES + 1) + (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-
-    def class_logs(self, f: np.ndarray) -> np.ndarray:
-        w = self.weights[: CLASS_ROWS * (CLASSES + 1)].reshape(CLASS_ROWS, CLASSES + 1)
-        return _normal(w[self.class_rows(f)].sum(1) + self.bias_class)
-
-    def word_logs(self, f: np.ndarray, k: int) -> np.ndarray:
-        return _normal(self.weights[self.word_places(f, self.members[k])].sum(1) + self.bias_word[self.members[k]])
-
-    def logs(self, keys: np.ndarray) -> np.ndarray:
-        """Natural logarithm of P(id | context) for distinct (p2, p1, w)."""
-        context, w = np.divmod(keys, self.size + 2)
-        seen, at = np.unique(context, return_inverse=True)
-        f, k = self.features(seen), self.class_of[w]
-        out = self.class_logs(f)[at, k]
-        for c in range(CLASSES):
-            mine = np.flatnonzero(k == c)
-            for begin in range(0, len(mine), 50_000):
-                part = mine[begin : begin + 50_000]
-                rows, where = np.unique(at[part], return_inverse=True)
-                out[part] += self.word_logs(f[rows], c)[where, np.searchsorted(self.members[c], w[part])]
+    """The class tree, its biases and the weights."""
+
+    def __init__(self, leaf_counts: np.ndarray):
+        mass = leaf_counts.astype(float) + 0.5
+        #: logarithms of the shares of each node's branches: the root's, those of its children, and of theirs
+        self.bias = [_normal(np.log(mass.reshape(-1, WAYS, WAYS ** (2 - k)).sum(2))).astype(np.float32) for k in range(3)]
+        self.weights = np.zeros((1 << ROW_BITS, WAYS), np.float32)
+
+    def features(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Hashes of the features of each context, a column each."""
+        a, b = np.uint64(0x632BE59BD9B4E019), np.uint64(0xE7037ED1A0B428DB)
+        return np.stack([mix(p1 ^ a), mix((p1 * a) ^ mix(p2 + b)), mix(p2 ^ b)], 1)
+
+    def rows(self, f: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows of the weights of each feature at a node."""
+        h = (f ^ (node.astype(np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F))) * np.uint64(0xE7037ED1A0B428DB)
+        return (h >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+
+    def levels(self, f: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per level: rows of the weights, logarithms of all branches of the node, and the branch that is taken."""
+        for k in range(3):
+            above = leaf // WAYS ** (3 - k)
+            rows = self.rows(f, above + (0, 1, 1 + WAYS)[k])
+            logs = self.bias[k][above]
+            for j in range(rows.shape[1]):
+                logs += self.weights[rows[:, j]]
+            yield rows, _normal(logs), leaf // WAYS ** (2 - k) % WAYS
+
+    def logs(self, p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural logarithm of P(leaf | p1, p2)."""
+        out = np.zeros(len(leaf))
+        for begin in range(0, len(leaf), 50_000):
+            part = slice(begin, begin + 50_000)
+            for _, logs, branch in self.levels(self.features(p1[part], p2[part]), leaf[part]):
+                out[part] += logs[np.arange(len(branch)), branch]
         return out
 
-    def gradient(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Observed and expected counts per weight, and the log likelihood, of counted (p2, p1, w)."""
-        observed, expected = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        context, w = np.divmod(keys, self.size + 2)
-        seen, at = np.unique(context, return_inverse=True)
-        f, k, likelihood = self.features(seen), self.class_of[w], 0.0
-        for begin in range(0, len(seen), 20_000):
-            part = np.arange(begin, min(begin + 20_000, len(seen)))
-            use = (at >= begin) & (at < begin + 20_000)
-            g, a, c, m, words = f[part], at[use] - begin, k[use], n[use], w[use]
-            have = np.zeros((len(part), CLASSES + 1))
-            np.add.at(have, (a, c), m)
-            logs = self.class_logs(g)
-            likelihood += (have * logs).sum()
-            should = np.exp(logs) * have.sum(1, keepdims=True)
-            places = self.class_rows(g)[:, :, None] * (CLASSES + 1) + np.arange(CLASSES + 1)
-            for total, x in ((observed, have), (expected, should)):
-                total += np.bincount(places.ravel(), np.broadcast_to(x[:, None, :], places.shape).ravel(), len(total))
-            for cls in range(CLASSES):
-                mine = c == cls
-                if not mine.any():
-                    continue
-                rows, where = np.unique(a[mine], return_inverse=True)
-                have_w = np.zeros((len(rows), len(self.members[cls])))
-                np.add.at(have_w, (where, np.searchsorted(self.members[cls], words[mine])), m[mine])
-                logs_w = self.word_logs(g[rows], cls)
-                likelihood += (have_w * logs_w).sum()
-                should_w = np.exp(logs_w) * have_w.sum(1, keepdims=True)
-                spots = self.word_places(g[rows], self.members[cls])
-                for total, x in ((observed, have_w), (expected, should_w)):
-                    total += np.bincount(spots.ravel(), np.broadcast_to(x[:, None, :], spots.shape).ravel(), len(total))
-        return observed, expected, likelihood
+    def add(self, p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray, n: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
+        """Adds observed and expected counts per weight, of n tokens at each (p1, p2, leaf)."""
+        for begin in range(0, len(leaf), 50_000):
+            part = slice(begin, begin + 50_000)
+            m = n[part].astype(np.float32)
+            for rows, logs, branch in self.levels(self.features(p1[part], p2[part]), leaf[part]):
+                should = np.exp(logs) * m[:, None]
+                for j in range(rows.shape[1]):
+                    order = np.argsort(rows[:, j], kind="stable")
+                    r = rows[order, j]
+                    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    expected[r[cut]] += np.add.reduceat(should[order], cut, axis=0)
+                    observed += np.bincount(rows[:, j] * WAYS + branch, m, observed.size).reshape(observed.shape)
 
     def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
-        self.weights += RATE * (observed - expected) / (np.maximum(observed, expected) + SMOOTH)
+        self.weights += (RATE * (observed - expected) / (np.maximum(observed, expected) + SMOOTH)).astype(np.float32)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -182,8 +167,8 @@ def _normal(x: np.ndarray) -> np.ndarray:
 # -- Spark ----------------------------------------------------------------------------------------------------
 
 
-def frequent_words(train: DataFrame) -> Words:
-    """The list of frequent words, by the exact counts of all training documents."""
+def word_counts(train: DataFrame) -> DataFrame:
+    """(h, n): hash and count of each word of all training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,129 +176,86 @@ def frequent_words(train: DataFrame) -> Words:
                 h, n = np.unique(words_of(b" ".join(raw(t).translate(LOWER) for t in pdf["text"].iloc[part]))[2], return_counts=True)
                 yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int64)})
 
-    top = train.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAD).select("h").toPandas()
-    hashes = np.concatenate([np.zeros(1, np.uint64), top["h"].to_numpy(np.int64).view(np.uint64)])
-    return Words(hashes, min(len(hashes), VOCABULARY + 1))
+    return stored(train.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
 
 
-def corpus_counts(train: DataFrame, words: Words) -> DataFrame:
-    """(kind, a, n): kind 0, count n of the word with number a in the list; kind 1, count n of (p2, p1, w) a.
+def frequent_words(counts: DataFrame, ends: int = 0, own: int = OWN) -> Words:
+    """The HEAD most frequent words, most frequent first, after the end token."""
+    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).toPandas()
+    return Words(np.concatenate([np.zeros(1, np.uint64), top["h"].to_numpy(np.int64).view(np.uint64)]), np.concatenate([[ends], top["n"].to_numpy(np.int64)]), own)
 
-    Tasks sum up before anything moves; there are as many rows as words in the list and kinds of (p2, p1, w).
-    """
-    frozen = train.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = frozen.value
-        head = np.zeros(len(w.hashes), np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def leaf_counts(counts: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and different words at each leaf."""
+    share = LEAVES - words.own
+    place = F.expr(f"pmod(pmod(h, {share}) + IF(h < 0, {2**64 % share}, 0), {share})")  # the hash is unsigned
+    sums = counts.groupBy(place.cast("int").alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # `share` rows at most
+    own = min(words.own, len(words.hashes))
+    n, kinds = np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64)
+    n[words.own + sums["leaf"]], kinds[words.own + sums["leaf"]] = sums["n"], sums["kinds"]
+    shared = words.own + (words.hashes[1:own] % np.uint64(share)).astype(np.int64)
+    np.subtract.at(n, shared, words.counts[1:own])
+    np.subtract.at(kinds, shared, 1)
+    n[:own], kinds[:own] = words.counts[:own], 1
+    return n, kinds
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
-        for pdf in batches:
-            for part in chunks(pdf["text"]):
-                owner, number, _ = tokens([raw(t) for t in pdf["text"].iloc[part]], w)
-                head += np.bincount(number[number >= 0], minlength=len(head))
-                held.append(np.unique(trigrams(owner, number, w.size), return_counts=True))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    held[:] = [summed()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield pd.DataFrame({"kind": 1, "a": held[0][0], "n": held[0][1]})
-                        held.clear()
-        some = np.flatnonzero(head)
-        yield pd.DataFrame({"kind": 0, "a": some, "n": head[some]})
-        if held:
-            keys, n = summed()
-            yield pd.DataFrame({"kind": 1, "a": keys, "n": n})
-
-    return train.select("text").mapInPandas(run, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n"))
-
-
-def rare_words(rows: DataFrame, words: Words) -> DataFrame:
-    """Of the words not in the list: (key, twin, logs, known) per (key, twin), logs the sum of log10(c + 0.5) and known the
-    tokens with c > 0; rows with a null key hold, in known and in logs, the different words and tokens of training."""
+def rare_words(rows: DataFrame, words: Words, counts: DataFrame) -> DataFrame:
+    """Of the words not in the list: (key, twin, more, more_known) per (key, twin), the sum of log10(c + 0.5) and the tokens with c > 0."""
     frozen = rows.sparkSession.sparkContext.broadcast(words)
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = frozen.value
         for pdf in batches:
-            keys, twins, train = pdf["key"].to_numpy(), pdf["twin"].to_numpy(), pdf["train"].to_numpy()
+            keys, twins = pdf["key"].to_numpy(), pdf["twin"].to_numpy()
             for part in chunks(pdf["text"], 1 << 20):
                 owner, number, h = tokens([raw(t) for t in pdf["text"].iloc[part]], w)
                 rare = number < 0
                 who = owner[rare] + part.start
-                yield pd.DataFrame({"h": h[rare].view(np.int64), "key": keys[who], "twin": twins[who], "train": train[who]})
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        different, total = 0, 0
-
-        def done(frame: pd.DataFrame) -> pd.DataFrame:
-            nonlocal different, total
-            h = frame["h"].to_numpy()
-            word = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            c = np.bincount(word, frame["train"].to_numpy().astype(float))
-            different += int((c > 0).sum())
-            total += int(c.sum())
-            return pd.DataFrame({"key": frame["key"], "twin": frame["twin"], "logs": np.log10(c + 0.5)[word], "known": (c > 0)[word].astype(np.int64)})
-
-        size = 0
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= 200_000:
-                frame = pd.concat(held, ignore_index=True)
-                h = frame["h"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last word may go on
-                if cut:
-                    yield done(frame.iloc[:cut])
-                held, size = [frame.iloc[cut:]], len(frame) - cut
-        if size:
-            yield done(pd.concat(held, ignore_index=True))
-        yield pd.DataFrame({"key": [None], "twin": [0], "logs": [float(total)], "known": [different]}).astype({"key": "Int64"} if kind in ("bigint", "int") else {})
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInPandas(run, f"h long, key {kind}, twin long, train boolean").repartition(parts, "h").sortWithinPartitions("h")
-    return stored(dealt.mapInPandas(counted, f"key {kind}, twin long, logs double, known long").groupBy("key", "twin").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known")))
-
-
-def fit(counts: DataFrame, unigrams: np.ndarray, steps: int = STEPS) -> Maxent:
-    """Weights from counted (p2, p1, w) in columns a and n: each step is one Spark job over all of them."""
-    model = Maxent(unigrams)
-    base = model.size + 2
-    dealt = stored(counts.select((F.col("a") / base).cast("long").alias("context"), "a", "n").repartition(SHARES, "context").drop("context"))
-    observed = None  # the same in every step, so only the first one sends it
-    for step in range(steps):
-        frozen = counts.sparkSession.sparkContext.broadcast(model)
+                yield pd.DataFrame({"h": h[rare].view(np.int64), "key": keys[who], "twin": twins[who]})
+
+    found = rows.mapInPandas(run, f"h long, key {kind}, twin long").join(counts, "h", "left")
+    c = F.coalesce("n", F.lit(0))
+    return stored(found.groupBy("key", "twin").agg(F.sum(F.log10(c + F.lit(0.5))).alias("more"), F.sum((c > 0).cast("long")).alias("more_known")))
 
-        def run(batches: Iterator[pd.DataFrame], frozen=frozen, names="e" if step else "oe") -> Iterator[pd.DataFrame]:
-            parts = list(batches)  # contexts are pairs of ids, so a share is bounded by the vocabulary
-            if parts:
-                pdf = pd.concat(parts)
-                found = dict(zip("oe", frozen.value.gradient(pdf["a"].to_numpy(), pdf["n"].to_numpy(float)), strict=False))
-                for name in names:
-                    for begin in range(0, len(found[name]), SLICE):
-                        yield pd.DataFrame({"name": [name], "slice": [begin], "x": [found[name][begin : begin + SLICE].astype(np.float32).tobytes()]})
+
+def fit(train: DataFrame, words: Words, leaf_n: np.ndarray, steps: int = STEPS) -> Maxent:
+    """Weights from the tokens of all training documents, in `steps` batches of one update each."""
+    spark = train.sparkSession
+    model, path = Maxent(leaf_n), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    train.select("text", F.pmod(F.xxhash64("key", "text"), F.lit(steps)).cast("int").alias("batch")).write.partitionBy("batch").parquet(path)
+    batches_of = spark.read.schema("text string, batch int").parquet(path)
+    known = spark.sparkContext.broadcast(words)
+    for step in range(steps):
+        frozen = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pd.DataFrame], frozen=frozen) -> Iterator[pd.DataFrame]:
+            m, sums = frozen.value, None
+            for pdf in batches:
+                for part in chunks(pdf["text"]):
+                    owner, number, h = tokens([raw(t) for t in pdf["text"].iloc[part]], known.value)
+                    (p1, p2), leaf = contexts(owner, h), leaves(number, h, known.value.own)
+                    use, _, n = distinct(p1, p2, leaf)
+                    sums = np.zeros((2, *m.weights.shape), np.float32) if sums is None else sums
+                    m.add(p1[use], p2[use], leaf[use], n, *sums)
+            for begin in range(0, 0 if sums is None else len(m.weights), SLICE):
+                yield pd.DataFrame({"slice": [begin], "x": [sums[:, begin : begin + SLICE].tobytes()]})
 
         def added(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.sum([np.frombuffer(x, np.float32) for x in pdf["x"]], axis=0, dtype=np.float64)
-            return pd.DataFrame({"name": pdf["name"].iloc[:1], "slice": pdf["slice"].iloc[:1], "x": [x.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "x": [x.astype(np.float32).tobytes()]})
 
-        schema = "name string, slice int, x binary"
-        slices = sorted(dealt.mapInPandas(run, schema).groupBy("name", "slice").applyInPandas(added, schema).collect(), key=lambda r: r["slice"])
+        some = batches_of.filter(F.col("batch") == step).select("text")
+        slices = some.mapInPandas(run, "slice int, x binary").groupBy("slice").applyInPandas(added, "slice int, x binary").collect()  # as many bytes as weights
         frozen.unpersist()
-        if not slices:
-            break
-        total = {name: np.concatenate([np.frombuffer(r["x"], np.float32) for r in slices if r["name"] == name]) for name in {r["name"] for r in slices}}
-        observed = total.get("o", observed)
-        model.step(observed, total["e"])
+        if slices:
+            total = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(2, -1, WAYS) for r in sorted(slices, key=lambda r: r["slice"])], 1)
+            model.step(*total)
     return model
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", steps: int = STEPS, own: int = OWN) -> DataFrame:
     """One row per row of `docs`: key, n_tokens, n_known, train_tokens, base_score, score (log10), and `train`."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     nameless, rows = rows.filter("key IS NULL"), rows.filter("key IS NOT NULL")
@@ -321,46 +263,40 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     shared = not rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     rows = rows.withColumn("twin", F.xxhash64("text") if shared else F.lit(0).cast("long"))
     train = rows.filter("train")
-    words = frequent_words(train)
-    counts = stored(corpus_counts(train, words))
-    head = counts.filter("kind = 0").toPandas()
-    words.counts = np.zeros(len(words.hashes), np.int64)
-    words.counts[head["a"]] = head["n"]
-    words.index = None
-    rare = rare_words(rows, words)
-    beyond = rare.filter("key IS NULL").first()
-    rare_total, rare_kinds = (int(beyond["logs"]), int(beyond["known"])) if beyond else (0, 0)
-    total = int(words.counts.sum()) + rare_total
-    kinds = int((words.counts > 0).sum()) + rare_kinds
-    with_ids = words.counts[: words.size]
-    unigrams = np.append(with_ids, total - int(with_ids.sum()))
-    model = fit(counts.filter("kind = 1"), unigrams, steps)
+    counts = word_counts(train)
+    ends = train.count()
+    words = frequent_words(counts, ends, own)
+    leaf_n, leaf_kinds = leaf_counts(counts, words)
+    total, kinds = int(leaf_n.sum()), int(leaf_kinds[1:].sum()) + int(ends > 0)
+    model = fit(train, words, leaf_n, steps)
+    rare = rare_words(rows, words, counts)
     base_log = np.log10(total + 0.5 * (kinds + 1))
-    other_log = np.log10(total - int(with_ids.sum()) + 0.5 * (kinds - int((with_ids > 0).sum()) + 1))
-    frozen = docs.sparkSession.sparkContext.broadcast((words, model))  # both of fixed size
+    leaf_log = np.log10(leaf_n + 0.5 * (leaf_kinds + 1))
+    frozen = docs.sparkSession.sparkContext.broadcast((words, model, leaf_log))  # all of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, m = frozen.value
+        w, m, leaf_logs = frozen.value
         logs10 = np.log10(w.counts + 0.5)
         for pdf in batches:
-            for part in chunks(pdf["text"], 4 << 20):
-                owner, number, _ = tokens([raw(t) for t in pdf["text"].iloc[part]], w)
+            for part in chunks(pdf["text"]):
+                owner, number, h = tokens([raw(t) for t in pdf["text"].iloc[part]], w)
                 size = part.stop - part.start
                 per = lambda x, owner=owner, size=size: np.bincount(owner, x, size)
-                listed, ids = number >= 0, (number >= 0) & (number < w.size)
+                listed, leaf = number >= 0, leaves(number, h, w.own)
                 own = np.where(listed, logs10[np.maximum(number, 0)], 0.0)
                 known = listed & (w.counts[np.maximum(number, 0)] > 0)
-                keys, at = np.unique(trigrams(owner, number, w.size), return_inverse=True)
-                p = (m.logs(keys) / _LOG10)[at]
+                p1, p2 = contexts(owner, h)
+                use, at, _ = distinct(p1, p2, leaf)
+                p = (m.logs(p1[use], p2[use], leaf[use]) / _LOG10)[at]
                 n = per(None)
                 yield pd.DataFrame({
                     "key": pdf["key"].iloc[part], "twin": pdf["twin"].iloc[part], "train": pdf["train"].iloc[part], "n_tokens": n.astype(np.int64), "known": per(known).astype(np.int64),
-                    "own": per(own) - n * base_log, "model": per(p) + per(np.where(ids, 0.0, own - other_log)),
+                    "own": per(own) - n * base_log, "model": per(p) + per(np.where(leaf < w.own, 0.0, own - leaf_logs[leaf])),
                 })
 
     kind = rows.schema["key"].dataType.simpleString()
     made = rows.mapInPandas(run, f"key {kind}, twin long, train boolean, n_tokens long, known long, own double, model double")
-    out = made.join(rare.filter("key IS NOT NULL").select("key", "twin", F.col("logs").alias("more"), F.col("known").alias("more_known")), ["key", "twin"], "left")
+    out = made.join(rare, ["key", "twin"], "left")
     rows_of = F.count("*").over(Window.partitionBy("key", "twin")) if shared else F.lit(1)  # the sums are over all equal rows
     more, more_known = F.coalesce("more", F.lit(0.0)) / rows_of, (F.coalesce("more_known", F.lit(0)) / rows_of).cast("long")
     out = out.select(

@@ -273,32 +273,58 @@ def test_language_model_counts_and_gain(spark):
     assert unseen.score.sum() > unseen.base_score.sum()
 
 
-def test_language_model_ranks_words_of_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 3, raising=False)
+def test_language_model_ranks_words_of_all_documents(spark):
     texts = [f"all w{k % 7} w{k % 3} x{k}" for k in range(60)]
     count = Counter(WORDS.findall(" ".join(texts)))
-    got = lm_score.frequent_words(table(spark, texts))
+    counts = lm_score.word_counts(table(spark, texts))
+    got = lm_score.frequent_words(counts, 60)
     number = {w: int(got.numbers(lm_score.words_of(w.encode())[2])[0]) for w in count}
     assert min(number.values()) == 1 and sorted(count, key=number.get)[0] == "all"
     assert all(count[a] >= count[b] for a in count for b in count if number[a] < number[b])
+    n, kinds = lm_score.leaf_counts(counts, got)
+    assert n.sum() == sum(count.values()) + 60 and kinds.sum() == len(count) + 1 and n.min() == kinds.min() == 0
 
 
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
-    model = lm_score.Maxent(np.array([50, 40, 9, 5, 3, 30]))
-    model.weights = rng.normal(0, 0.3, len(model.weights))
-    base = model.size + 2
-    for context in (0, 3 * base + 1, 6 * base + 6):
-        assert np.isclose(np.exp(model.logs(context * base + np.arange(model.size + 1))).sum(), 1)
+    model = lm_score.Maxent(rng.integers(0, 50, lm_score.LEAVES))
+    model.weights = rng.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    every = np.arange(lm_score.LEAVES)
+    for p1, p2 in ((1, 2), (12345678901, 1), (5, 99)):
+        same = lambda x: np.full(len(every), x, np.uint64)
+        assert np.isclose(np.exp(model.logs(same(p1), same(p2), every)).sum(), 1, atol=1e-4)
 
 
 def test_language_model_keeps_its_size():
-    model = lm_score.Maxent(np.array([50, 40, 9, 5, 3, 30]))
-    members = np.arange(1 << 15, dtype=np.int64)
-    places = model.word_places(model.features(np.arange(64)), members) - lm_score.CLASS_ROWS * (lm_score.CLASSES + 1)
-    assert lm_score.STEPS == 10
-    assert 0 <= places.min() and places.max() >= 1 << 17  # 2^18 word weights, all in reach
-    assert len(model.weights) == lm_score.CLASS_ROWS * (lm_score.CLASSES + 1) + (1 << 18)
+    model = lm_score.Maxent(np.arange(lm_score.LEAVES))
+    rows = model.rows(model.features(np.arange(1 << 15, dtype=np.uint64), np.arange(1 << 15, dtype=np.uint64)), np.arange(1 << 15))
+    assert lm_score.STEPS == 10 and model.weights.size == 1 << 19 and len(np.unique(rows)) > 0.95 * len(model.weights)
+
+
+def test_language_model_score_by_hand(spark, monkeypatch):
+    """Scores token by token, with every word's features; only two words have leaves of their own and five are listed."""
+    monkeypatch.setattr(lm_score, "HEAD", 5)
+    models = []
+    monkeypatch.setattr(lm_score, "fit", lambda *a, fit=lm_score.fit: models.append(fit(*a)) or models[0])
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("a b c d e f g h rare1 rare2".split(), [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=rng.randint(0, 30))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in lm_score.score(table(spark, texts), lm_score.F.col("doc_id") < 50, steps=3, own=3).collect()}
+    [model] = models
+    count = Counter(w for t in texts[:50] for w in [*t.split(), None])
+    code = {w: lm_score.words_of(w.encode())[2][0] for t in texts for w in t.split()} | {None: np.uint64(0)}
+    ranked = sorted((w for w in count if w), key=lambda w: (-count[w], code[w].astype(np.int64)))
+    leaf = {w: 3 + int(code[w] % np.uint64(lm_score.LEAVES - 3)) for w in code} | {w: k + 1 for k, w in enumerate(ranked[:2])} | {None: 0}
+    for i, t in enumerate(texts):
+        h, want = [np.uint64(2), np.uint64(1)], 0.0
+        for w in [*t.split(), None]:
+            at = leaf[w]
+            want += sum(logs[0, branch[0]] for _, logs, branch in model.levels(model.features(np.array([h[-1]]), np.array([h[-2]])), np.array([at]))) / np.log(10)
+            if at >= 3:
+                there = [x for x in count if x and leaf[x] == at]
+                want += np.log10((count[w] + 0.5) / (sum(count[x] for x in there) + 0.5 * (len(there) + 1)))
+            h.append(code[w])
+        assert np.isclose(got[i]["score"], want, atol=1e-3)
+    assert np.abs(model.weights).max() > 0.1  # the weights have been trained
 
 
 def test_fingerprints_align():
