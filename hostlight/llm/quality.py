@@ -115,6 +115,10 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+#: Measures that op8 reports for every row.
+BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def _measures(text: Column, w: Column) -> dict[str, Callable[[], Column]]:
     """Measures by name, over a text and its words."""
     return {
@@ -131,14 +135,15 @@ def _measures(text: Column, w: Column) -> dict[str, Callable[[], Column]]:
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, mean cost), best rejection per cost first, estimated on at most `sample_rows` rows.
+    """(rule, share rejected, mean cost), best rejection per cost first, estimated on about `sample_rows` rows
+    drawn from the whole table.
 
     An empty table keeps the given order. Ties keep the given order too.
     """
     rows = docs.count()
-    share = min(1.0, 2.0 * sample_rows / max(rows, 1))
+    share = min(1.0, sample_rows / max(rows, 1))
     t = F.col(f"`{text}`")
-    sample = docs.select(t).sample(share, seed).limit(sample_rows)
+    sample = docs.select(t).sample(share, seed)
 
     def judged(w: Column) -> Column:
         m = _measures(t, w)
@@ -158,20 +163,20 @@ def _first_failed(order: Sequence[Rule], at: Callable[[str], Column]) -> Column:
     return out
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000, measures: bool = False) -> DataFrame:
-    """`docs` with `failed_rule` (null if kept) and `kept`; with `measures`, also every measure but n_chars.
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000, measures: bool | Sequence[str] = False) -> DataFrame:
+    """`docs` with `failed_rule` (null if kept) and `kept`, and the measures named in `measures` (True: all but n_chars).
 
-    Without `measures` a row's later measures are computed only if it passed the earlier rules.
+    A row's other measures are computed only if it passed the earlier rules.
     """
     order = [r for r, _, _ in order_rules(docs, rules, text, sample_rows)]
     t = F.col(f"`{text}`")
     if measures:
-        names = [n for n in _measures(t, t) if n != "n_chars"]
+        names = [n for n in _measures(t, t) if n != "n_chars"] if measures is True else list(measures)
         all_of = with_fresh(docs, "measures_")
         made = let(words(t), lambda w: F.struct(*[_measures(t, w)[n]().alias(n) for n in names]))
         out = docs.withColumn(all_of, made)
         out = out.withColumns({n: F.col(all_of)[n] for n in names}).drop(all_of)
-        failed = _first_failed(order, lambda n: F.col(n) if n in names else F.length(_text(t)))
+        failed = _first_failed(order, lambda n: F.col(n) if n in names else _measures(t, words(t))[n]())
     else:
         out = docs
         failed = let(words(t), lambda w: _first_failed(order, lambda n: _measures(t, w)[n]()))
@@ -186,7 +191,7 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), measures=True)
+    out = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), measures=BASE_MEASURES)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
 
