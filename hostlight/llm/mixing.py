@@ -102,24 +102,21 @@ def mix(
 
 def _taken(rows: DataFrame, weights: Mapping[str, Mapping[str, float]], budget_share: float, max_epochs: int, seed: int, buckets: int) -> DataFrame:
     leaf = list(LEVELS)
-    # the order of the last, partial epoch; whole epochs take every document, so theirs doesn't matter
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *leaf, F.col("key").cast("string"))), 1, 12), 16, 10).cast("long")
-    rows = rows.withColumn("place", place).withColumn("bucket", (F.col("place") / ((1 << 48) // buckets)).cast("int"))
     shared_folder(rows.sparkSession)
     rows = rows.checkpoint()  # a few numbers per document, so that texts are read and counted once
-    sums = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
-    by_leaf = Window.partitionBy(*leaf)
-    sums = sums.withColumn("leaf_tokens", F.sum("bucket_tokens").over(by_leaf)).withColumn("before", F.sum("bucket_tokens").over(by_leaf.orderBy("bucket")) - F.col("bucket_tokens"))
-    leaves = leaf_budgets(sums.select(*leaf, "leaf_tokens").distinct(), budget_share, max_epochs, weights)
+    leaves = leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("leaf_tokens")), budget_share, max_epochs, weights)
     whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens") + 1e-12)).otherwise(F.lit(0)).cast("int")
-    ends = sums.join(leaves.select(*leaf, "budget"), leaf)
-    ends = ends.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
+    leaves = leaves.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens")).select(*leaf, "budget", "whole", "rest")
+    # whole epochs take every document; the order of the one after them, of which a prefix is taken, is its own
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), *leaf, F.col("key").cast("string"))), 1, 12), 16, 10).cast("long")
+    rows = rows.join(leaves, leaf).withColumn("place", place).withColumn("bucket", (F.col("place") / ((1 << 48) // buckets)).cast("int"))
     # one row per leaf and bucket: both are bounded, by the tree and the parameter
-    ends = ends.select(*leaf, "bucket", "before", "budget", "whole", "rest")
+    sums = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
+    sums = sums.withColumn("before", F.sum("bucket_tokens").over(Window.partitionBy(*leaf).orderBy("bucket")) - F.col("bucket_tokens")).drop("bucket_tokens")
     here = Window.partitionBy(*leaf, "bucket")
     upto = here.orderBy("place", "key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = F.sum("n_tokens").over(upto) - F.sum("n_tokens").over(here.partitionBy(*leaf, "bucket", "place", "key"))
-    rows = rows.withColumn("ahead", ahead).join(ends, [*leaf, "bucket"])
+    rows = rows.withColumn("ahead", ahead).join(sums, [*leaf, "bucket"])
     taken = F.col("whole") + (F.col("before") + F.col("ahead") < F.col("rest")).cast("int")
     return rows.select("key", *leaf, "n_tokens", F.col("budget").alias("leaf_budget"), taken.alias("n_epochs"))
 
@@ -157,14 +154,14 @@ SQL = (
 WITH r AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
     CASE coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '(\d{1,9})$', 1) AS INTEGER), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'curated' ELSE 'forum' END AS domain FROM documents),
-p AS (SELECT *, CAST('0x' || substr(md5('11:' || domain || ':' || lang || ':' || source || ':' || doc_id), 1, 12) AS BIGINT) AS place FROM r),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS leaf_tokens FROM r GROUP BY ALL),
 root AS (SELECT sum(leaf_tokens)::DOUBLE * 0.6 AS budget FROM leaves),"""
     + ",".join(_sql_level(n, LEVELS[:k], LEVELS[k - 1] + "_f" if k else "root") for k, n in enumerate(LEVELS))
     + """,
 e AS (SELECT l.*, f.budget, CAST(floor(CASE WHEN leaf_tokens > 0 THEN f.budget / leaf_tokens + 1e-12 ELSE 0 END) AS INTEGER) AS whole FROM leaves l JOIN source_f f USING (domain, lang, source)),
+p AS (SELECT r.*, budget, whole, leaf_tokens, CAST('0x' || substr(md5('11:' || whole || ':' || domain || ':' || lang || ':' || source || ':' || doc_id), 1, 12) AS BIGINT) AS place FROM r JOIN e USING (domain, lang, source)),
 q AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) - n_tokens AS ahead FROM p)
 SELECT doc_id, domain, lang, source, n_tokens, round(budget, 3) AS leaf_budget, CAST(whole + CASE WHEN ahead < budget - whole * leaf_tokens THEN 1 ELSE 0 END AS INTEGER) AS n_epochs
-FROM q JOIN e USING (domain, lang, source)
+FROM q
 """
 )
