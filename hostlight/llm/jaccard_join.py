@@ -139,13 +139,16 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(out)
 
 
-def candidates(mine: np.ndarray, others: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
-    """Which rows of `others` share a band with the signature `mine` and survive the incremental comparison."""
-    same = others == mine
-    alive = np.flatnonzero(same.reshape(len(others), BANDS, ROWS).all(2).any(1))
+def candidates(mine: np.ndarray, others: np.ndarray, my_bands: np.ndarray, bands: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """Which rows of `others` share a band with the signature `mine` and survive the incremental comparison: STEP values
+    at a time are compared, of the rows that are still in."""
+    alive = np.flatnonzero((bands == my_bands).any(1))
     matches = np.zeros(len(alive), np.int64)
     for k, need in enumerate(least_matches(threshold, tolerance)):
-        matches += same[alive, k * STEP : (k + 1) * STEP].sum(1)
+        if not len(alive):
+            break
+        look = slice(k * STEP, (k + 1) * STEP)
+        matches += (others[alive, look] == mine[look]).sum(1)
         stay = matches >= need
         alive, matches = alive[stay], matches[stay]
     return alive
@@ -154,6 +157,7 @@ def candidates(mine: np.ndarray, others: np.ndarray, threshold: float, tolerance
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, tolerance: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """(i, places in `right` linked to left[i]); within one block only later places."""
     sig_l, sig_r = signatures(left), signatures(right)
+    bands_l, bands_r = bands_of(sig_l), bands_of(sig_r)
     # sets as rows of a table of the hashes that at least two sets hold; a hash of one set is in no intersection
     held, counts = np.unique(np.concatenate(left if same else left + right), return_counts=True)
     held = held[counts > 1]
@@ -166,7 +170,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, to
     owner = owner[by]
     for i, s in enumerate(left):
         begin = i + 1 if same else 0
-        found = candidates(sig_l[i], sig_r[begin:], threshold, tolerance) + begin
+        found = candidates(sig_l[i], sig_r[begin:], bands_l[i], bands_r[begin:], threshold, tolerance) + begin
         if not len(found):
             continue
         if len(found) < 8:
