@@ -107,9 +107,11 @@ def crc_mod(column: Column | str, by: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set (tests)."""
+    """The cluster's checkpoint folder; one of our own only where none is set and all tasks run in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"

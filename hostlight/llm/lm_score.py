@@ -143,17 +143,17 @@ class Maxent:
 
     def add(self, p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray, n: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
         """Adds observed and expected counts per weight, of n tokens at each (p1, p2, leaf)."""
-        for begin in range(0, len(leaf), 50_000):
-            part = slice(begin, begin + 50_000)
+        flat, total = observed.reshape(-1), np.zeros(expected.shape[::-1])
+        for begin in range(0, len(leaf), 100_000):
+            part = slice(begin, begin + 100_000)
             m = n[part].astype(np.float32)
             for rows, logs, branch in self.levels(self.features(p1[part], p2[part]), leaf[part]):
-                should = np.exp(logs) * m[:, None]
+                should = np.ascontiguousarray((np.exp(logs) * m[:, None]).T, np.float64)  # a row per branch
                 for j in range(rows.shape[1]):
-                    order = np.argsort(rows[:, j], kind="stable")
-                    r = rows[order, j]
-                    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    expected[r[cut]] += np.add.reduceat(should[order], cut, axis=0)
-                    observed += np.bincount(rows[:, j] * WAYS + branch, m, observed.size).reshape(observed.shape)
+                    for c in range(WAYS):
+                        total[c] += np.bincount(rows[:, j], should[c], len(expected))
+                    np.add.at(flat, rows[:, j] * WAYS + branch, m)
+        expected += total.T
 
     def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
         self.weights += (RATE * (observed - expected) / (np.maximum(observed, expected) + SMOOTH)).astype(np.float32)
