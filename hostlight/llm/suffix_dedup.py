@@ -6,16 +6,18 @@ and an earlier start). Strings never cross documents and are judged on the input
 1. Anchors. A k-byte hash is taken at every place; where the least hash of a run of length - k + 1 places stands
    is an anchor. Equal strings of `length` bytes have the same anchors at the same offsets, so a string can only
    repeat if its anchor does. With each anchor goes a hash of everything that a string around it can hold.
-2. Anchors are dealt out and sorted by hash, then streamed with constant memory. Of equal surroundings only the
-   earliest stands for all (every later one is a repeat through and through); anchors whose hash occurs once end
-   here; anchors whose surroundings differ go on, one row per kind of surroundings.
+2. Of equal surroundings only the earliest stands for all (every later one is a repeat through and through): first
+   among the texts that a task reads together, then among all, where anchors are dealt out and sorted by hash and
+   streamed with constant memory. Anchors whose hash occurs once end here; anchors whose surroundings differ go on,
+   one row per kind of surroundings. Hashes that hold a good part of a sample's anchors are dealt out by hash and
+   surroundings, so that no anchor fills one task. Surroundings are equal if both hashes (128 bits) are.
 3. The surroundings of those are fetched from the texts and compared exactly: a generalised suffix array over
    8-byte symbols groups equal strings, the earliest start of each group stays.
    Suffix order is constructed in linear grouping steps: groups of suffixes that share a Lyndon prefix are
    handled in descending order; pointers to the previous smaller suffix extend the groups before them; in the
    end each group's order is emitted from left to right. Ranks are never recomputed.
-   Groups of more than `limit` kinds of surroundings aren't gathered: their strings go out as hashes, are sorted
-   by Spark, and streamed as in 2.
+   Anchors that are frequent in the sample, or have more than LIMIT kinds of surroundings, aren't gathered: Spark groups
+   their strings by 128-bit digests. That bounds memory and changes no result.
 4. Removed intervals are merged per document and cut out.
 
 Defined results: a null or empty text counts as empty, with nothing removed. Texts shorter than `length` are
@@ -47,6 +49,8 @@ SYMBOLS = (LEFT + RIGHT + SYMBOL - 1) // SYMBOL
 #: Kinds of surroundings of one anchor that are compared in one task, and those of one suffix array.
 LIMIT = 20_000
 BLOCK = 3_000
+#: Documents of the sample, and the anchors a hash must have there to be dealt out by its surroundings.
+SAMPLE, OFTEN = 2_000, 40
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 257, dtype=np.uint64)
 _STEP = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & 0xFFFFFFFFFFFFFFFF | 1) for n in (1, 2, 4, 8, 16, 32, 64)}
@@ -117,18 +121,37 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(pdf["text"], 1 << 18):
             key = pdf["key"].to_numpy()[part]
             owner, place, h, around = anchors([raw(t) for t in pdf["text"].iloc[part]])
-            yield pd.DataFrame({"h": h.view(np.int64), "c": around.view(np.int64), "key": key[owner], "place": place.astype(np.int32)})
+            frame = pd.DataFrame({"h": h.view(np.int64), "c": around.view(np.int64), "key": key[owner], "place": place.astype(np.int32)})
+            yield _known_repeats(frame)
     release()
 
 
-def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _known_repeats(frame: pd.DataFrame) -> pd.DataFrame:
+    """`frame` with place -1 - place where equal surroundings stand earlier in it."""
+    _, kind = np.unique(mix(frame["h"].to_numpy().view(np.uint64)) ^ frame["c"].to_numpy().view(np.uint64), return_inverse=True)
+    often = np.bincount(kind)[kind] > 1 if len(kind) else np.zeros(0, bool)
+    if not often.any():
+        return frame
+    some = frame[often].sort_values(["h", "c", "key", "place"])
+    first = some.groupby(["h", "c"], sort=False)[["key", "place"]].transform("first")
+    later = some.index[((some["key"] != first["key"]) | (some["place"] != first["place"])).to_numpy()]
+    frame.loc[later, "place"] = -1 - frame.loc[later, "place"]
+    return frame
+
+
+def _sorted_out(batches: Iterator[pd.DataFrame], hot: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Rows sorted by (h, c, key, place): `whole` for equal (h, c) that don't stand at the place of the first; the first,
-    if h has several c, not `whole`. Rows given twice have the same places and stay with the first."""
+    if h has several c or is in `hot`, not `whole`. Rows given twice have the same places and stay with the first. Rows
+    with negative places are repeats already."""
     last = None  # the row before: h, c
     origin = None  # key and place of the first row of the current (h, c)
     held = None  # the first row of the current h, while h has one c only
     columns = ["h", "key", "place"]
     for pdf in batches:
+        sure = pdf["place"].to_numpy() < 0
+        if sure.any():
+            yield pdf.loc[sure, columns].assign(place=-1 - pdf["place"][sure], whole=True)
+            pdf = pdf[~sure]
         n = len(pdf)
         if not n:
             continue
@@ -149,6 +172,8 @@ def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # an h is mixed as soon as it has a second c
         group = np.cumsum(new_h)
         kinds = np.bincount(group, weights=new_c & ~new_h, minlength=group[-1] + 1) > 0
+        if hot is not None and len(hot):
+            kinds[group[np.isin(h, hot)]] = True
         mixed_before = last is not None and held is None
         if not new_h[0] and mixed_before:
             kinds[0] = True
@@ -300,8 +325,8 @@ def _spans(repeated: np.ndarray, key: np.ndarray, place: np.ndarray) -> pd.DataF
     return pd.DataFrame({"key": key[row], "begin": place[row] - LEFT + a, "end": place[row] - LEFT + b - 1 + LENGTH})
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (h, key, place, low, high, around) sorted by h: repeated spans, or strings of large groups by hash."""
+def _compared(batches: Iterator[pd.DataFrame], hot: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Rows (h, key, place, low, high, around) sorted by h: repeated spans, or strings of large groups and of `hot` by digest."""
     open_rows: list[pd.DataFrame] = []
     columns = ["key", "begin", "end", "s1", "s2"]
 
@@ -339,6 +364,13 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     over = None  # the group that is too large, while its rows come
     for pdf in batches:
+        if hot is not None and len(hot):
+            often = np.isin(pdf["h"].to_numpy(), hot)
+            if often.any():
+                yield from hashed(pdf[often])
+                pdf = pdf[~often]
+                if not len(pdf):
+                    continue
         if over is not None:
             rest = pdf["h"].to_numpy() == over
             yield from hashed(pdf[rest])
@@ -391,6 +423,15 @@ def merged(row, size: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
+def frequent_anchors(rows: DataFrame) -> np.ndarray:
+    """Hashes with at least OFTEN anchors in about SAMPLE texts: at most as many as a 40th of the sample's anchors."""
+    share = min(1.0, SAMPLE / max(rows.count(), 1))
+    kind = rows.schema["key"].dataType.simpleString()
+    seen = rows.sample(share, 3).mapInPandas(_anchor_rows, f"h long, c long, key {kind}, place int")
+    often = seen.filter("place >= 0").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).select("h").toPandas()
+    return np.sort(often["h"].to_numpy(np.int64))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """What to remove, documents with something to remove only.
 
@@ -400,13 +441,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInPandas(_anchor_rows, f"h long, c long, key {kind}, place int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(parts, "h").sortWithinPartitions("h", "c", "key", "place").mapInPandas(_sorted_out, f"h long, key {kind}, place int, whole boolean")
+    hot = frequent_anchors(rows)
+    # repeats that are known already go anywhere, and so do the kinds of surroundings of a frequent anchor
+    deal = F.when(F.col("place") < 0, F.xxhash64("key", "place")).when(F.col("h").isin(hot.tolist()), F.xxhash64("h", "c")).otherwise(F.col("h"))
+    dealt = found.repartition(parts, deal).sortWithinPartitions("h", "c", "key", "place").mapInPandas(lambda x: _sorted_out(x, hot), f"h long, key {kind}, place int, whole boolean")
     by_doc = dealt.groupBy("key").agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.struct("h", "place"))).alias("at"))
     by_doc = stored(by_doc.select("key", "whole", F.col("at.h").alias("hs"), F.col("at.place").alias("at")))  # for the comparison and the result
     fetched = rows.join(by_doc.filter(F.size("at") > 0).select("key", "hs", "at"), "key").mapInPandas(_surroundings, f"h long, key {kind}, place int, low int, high int, around binary")
     spans = f"key {kind}, begin int, end int"
-    compared = stored(fetched.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_compared, f"{spans}, s1 long, s2 long"))
-    large = compared.filter("s1 IS NOT NULL").repartition(parts, "s1").sortWithinPartitions("s1", "s2", "key", "begin").mapInPandas(_all_but_first, spans)
+    deal = F.when(F.col("h").isin(hot.tolist()), F.xxhash64("key", "place")).otherwise(F.col("h"))
+    compared = stored(fetched.repartition(parts, deal).sortWithinPartitions("h").mapInPandas(lambda x: _compared(x, hot), f"{spans}, s1 long, s2 long"))
+    large = compared.filter("s1 IS NOT NULL")
+    first = large.groupBy("s1", "s2").agg(F.min(F.struct("key", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    large = large.join(first, ["s1", "s2"]).filter(F.struct("key", "begin") != F.col("first")).select("key", "begin", "end")
     more = compared.filter("s1 IS NULL").select("key", "begin", "end").unionByName(large)
     more = more.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
     both = by_doc.filter(F.size("whole") > 0).select("key", "whole").join(more, "key", "full")
@@ -414,18 +461,6 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return both.select("key", F.coalesce("whole", none).alias("whole"), F.coalesce("s.begin", none).alias("begin"), F.coalesce("s.end", none).alias("end"))
 
 
-def _all_but_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (s1, s2, key, begin): those that repeat another place's string."""
-    first = None
-    for pdf in batches:
-        later = []
-        for x in zip(pdf["s1"], pdf["s2"], pdf["key"], pdf["begin"], strict=True):
-            if first is None or first[:2] != x[:2]:
-                first = x
-            later.append(first != x)
-        yield pdf.loc[later, ["key", "begin", "end"]]
-
-
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []

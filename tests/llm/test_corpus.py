@@ -144,9 +144,10 @@ def repeated(texts, n=100):
     return out
 
 
-@pytest.mark.parametrize("limit", [20_000, 15])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "often"), [(20_000, 40), (15, 10**6), (20_000, 2)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, limit, often):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 10)
     rng = random.Random(5)
     base, texts = ["".join(rng.choices("abcdé ", k=rng.randint(50, 400))) for _ in range(20)], []
