@@ -95,11 +95,13 @@ def reputation(contributions: DataFrame, quarantine_on: str = "post_norm", above
 
 def client_weights(updates: DataFrame, older: bool = False) -> DataFrame:
     """Adds share, summing to 1 in each round: 0.6 of reputation and 0.4 of quality (older: 0.7 of quality, 0.3 of data)."""
-    w = Window.partitionBy("round")
-    part = lambda c: F.when(F.sum(c).over(w) > 0, F.col(c) / F.sum(c).over(w)).otherwise(1 / F.count("*").over(w))
-    mixed = 0.7 * part("quality") + 0.3 * part("samples") if older else 0.6 * part("reputation") + 0.4 * part("quality")
-    out = updates.withColumn("_share", mixed)
-    return out.withColumn("share", F.col("_share") / F.sum("_share").over(w)).drop("_share")
+    used = {"quality": 0.7, "samples": 0.3} if older else {"reputation": 0.6, "quality": 0.4}
+    # sums by round are a small table that joins back, so that no task holds all clients of a round
+    sums = updates.groupBy("round").agg(*[F.sum(c).alias(f"_{c}") for c in used], F.count("*").alias("_clients"))
+    part = lambda c: F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}")).otherwise(1 / F.col("_clients"))
+    mixed = sum((w * part(c) for c, w in used.items()), F.lit(0.0))
+    # each part sums to 1 over a round, and so do the weights: the shares do as well
+    return updates.join(sums, "round").withColumn("share", mixed).drop("_clients", *[f"_{c}" for c in used])
 
 
 def long_form(updates: DataFrame, column: str = "weights") -> DataFrame:
@@ -147,7 +149,7 @@ def global_rounds(means: DataFrame, start: dict[str, float], rate: float = 0.5,
         key = pdf["key"].iloc[0]
         value, speed, out = start.get(key, 1.0), 0.0, []
         for target in pdf["value"]:
-            speed = momentum * speed + (target - value)
+            speed = momentum * speed + (1 - momentum) * (target - value)
             value = value + rate * speed
             value = value if simple else clamped(key, value)
             out.append(value)
@@ -156,6 +158,12 @@ def global_rounds(means: DataFrame, start: dict[str, float], rate: float = 0.5,
     return means.groupBy("key").applyInPandas(run, means.withColumn("model", F.lit(0.0)).schema)
 
 
+def shared_mean(long: DataFrame, shares: DataFrame) -> DataFrame:
+    """Mean of each key and round, weighted by the clients' shares of the round (round, client_id, share)."""
+    both = long.join(shares.select("round", "client_id", "share"), ["round", "client_id"])
+    return both.groupBy("round", "key").agg((F.sum(F.col("value") * F.col("share")) / F.sum("share")).alias("value"), F.count("*").alias("clients"))
+
+
 def fed_prox(long: DataFrame, current: Column, mu: float = 0.01) -> DataFrame:
     """Values pulled towards the current model: v - mu (v - g)."""
     return long.withColumn("value", F.col("value") - mu * (F.col("value") - current))

@@ -532,43 +532,48 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, len(FEATURES)), lambda x: x.cast("double")).alias("vector"), (F.col("label") == 0).alias("label"))
 
 
-_COLS = ", ".join(f"(SELECT quantile_cont(embedding[{k}], 0.25) FROM embeddings) AS a{k}, (SELECT quantile_cont(embedding[{k}], 0.75) FROM embeddings) AS b{k}" for k in (1, 2, 3))
-_IN = " AND ".join(f"embedding[{k}] BETWEEN a{k} - 3 * (b{k} - a{k}) AND b{k} + 3 * (b{k} - a{k})" for k in (1, 2, 3))
+_N = range(1, len(FEATURES) + 1)
+_COLS = ", ".join(f"quantile_cont(CAST(embedding[{k}] AS DOUBLE), 0.25) AS a{k}, quantile_cont(CAST(embedding[{k}] AS DOUBLE), 0.75) AS b{k}" for k in _N)
+_IN = " AND ".join(f"embedding[{k}] BETWEEN a{k} - 3 * (b{k} - a{k}) AND b{k} + 3 * (b{k} - a{k})" for k in _N)
 
 
-@query(f"SELECT vec_id AS id FROM embeddings, (SELECT {_COLS}) q WHERE {_IN}")
+@query(f"SELECT vec_id AS id FROM embeddings, (SELECT {_COLS} FROM embeddings) q WHERE {_IN}")
 def m1_iqr_clean(spark, sf_dir):
-    m = matrix(spark, sf_dir).select("id", *[F.col("vector")[k].alias(f"x{k}") for k in range(3)])
-    return baselines.iqr_clean(m, ["x0", "x1", "x2"]).select("id")
+    m = matrix(spark, sf_dir).select("id", *[F.col("vector")[k].alias(f"x{k}") for k in range(len(FEATURES))])
+    return baselines.iqr_clean(m, [f"x{k}" for k in range(len(FEATURES))]).select("id")
 
 
 @query()
 def m2_isolation_forest(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return forest.score(m, forest.train(m, trees=50)).select("id", "iso_score")
+    return forest.score(m, forest.train(m)).select("id", "iso_score")
 
 
 @query()
 def m3_autoencoder(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    model = autoencoder.train(m, epochs=3)
+    model = autoencoder.train(m)
     return autoencoder.score(m, model).select("id", "ae_error", (F.col("ae_error") > model.threshold).alias("anomaly"))
 
 
+def scored(spark: SparkSession, sf_dir: str, share: float = 0.9) -> tuple[DataFrame, float]:
+    """Both models' scores, and the autoencoder's threshold."""
+    m = matrix(spark, sf_dir)
+    trees, model = forest.train(m), autoencoder.train(m, share=share)
+    return autoencoder.score(forest.score(m, trees), model), model.threshold
+
+
 @query()
 def m5_ensemble(spark, sf_dir):
-    m = matrix(spark, sf_dir)
-    trees, model = forest.train(m, trees=50), autoencoder.train(m, epochs=2)
-    scored = autoencoder.score(forest.score(m, trees), model)
-    out = ensemble.contributing(ensemble.severity(ensemble.scores(scored, ae_threshold=model.threshold, iso_cut=-0.5)))
+    both, threshold = scored(spark, sf_dir)
+    out = ensemble.contributing(ensemble.severity(ensemble.scores(both, ae_threshold=threshold)))
     return out.select("id", "ensemble_score", "severity", "contributing_features")
 
 
 @query()
 def m9_tiered(spark, sf_dir):
-    m = matrix(spark, sf_dir)
-    scored = forest.score(m, forest.train(m, trees=50)).withColumns({"ae_error": F.lit(0.0), "ae_parts": F.col("vector")})
-    return ensemble.tiered(scored, forest.threshold(scored, 0.01), None).select("id", "tier", "severity", "features")
+    both, threshold = scored(spark, sf_dir, 0.995)
+    return ensemble.tiered(both, forest.threshold(both, 0.01), threshold).select("id", "tier", "severity", "features")
 
 
 _AL = """SELECT id, client_id, 'high' AS severity, round(risk_score, 6) AS alert_risk, 'network' AS source_category FROM network_data WHERE risk_score > 7
@@ -651,7 +656,7 @@ def al15_event_alerts(spark, sf_dir):
 # -- federated rounds -----------------------------------------------------------------------------------------
 
 _FL = """SELECT month(o_orderdate) AS round, 'client_' || CAST(o_custkey AS STRING) AS client_id, 1 + avg(o_totalprice) / 100000 AS network_threshold, 1 + min(o_totalprice) / 100000 AS process_threshold, 1 + max(o_totalprice) / 100000 AS file_threshold,
-    0.5 + count(*) / 20.0 AS network_sensitivity, 0.5 + count(*) / 30.0 AS process_sensitivity, 0.5 + count(*) / 40.0 AS file_sensitivity, count(*) * 10 AS samples, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS anomaly_rate, coalesce(var_pop(o_totalprice / 1000), 0) AS variance
+    0.5 + count(*) / CAST(20 AS DOUBLE) AS network_sensitivity, 0.5 + count(*) / CAST(30 AS DOUBLE) AS process_sensitivity, 0.5 + count(*) / CAST(40 AS DOUBLE) AS file_sensitivity, count(*) * 10 AS samples, avg(CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS anomaly_rate, coalesce(var_pop(o_totalprice / 1000), 0) AS variance
     FROM {orders} GROUP BY 1, 2"""
 _LONG = "SELECT round, client_id, samples, unnest([" + ", ".join(f"'{k}'" for k in WEIGHT_KEYS) + "]) AS key, unnest([" + ", ".join(WEIGHT_KEYS) + "]) AS value FROM fl"
 
@@ -667,6 +672,37 @@ def _fl(sql: str) -> str:
     return sql.replace("WITH fl", "WITH fl AS (" + _FL.replace("{orders}", "orders") + ")")
 
 
+def _rounds(sql: str) -> str:
+    """SQL over: fl; o (clipped updates, the k-th of each client); rep (with reputation); shares; means and g (the model)."""
+    norm = "sqrt(" + " + ".join(f"({k} - 1) * ({k} - 1)" for k in WEIGHT_KEYS) + ")"
+    quality = "least(2.0, greatest(0.1, least(1.0, samples / 100.0)) * CASE WHEN variance > 0 THEN least(variance / 50, 1.2) ELSE 1.0 END * least(1 + anomaly_rate / 2, 1.3))"
+
+    def step(r: str) -> str:
+        r = f"(CASE WHEN o.n <= 2 THEN least(2.0, {r} * 1.02) ELSE {r} END)"
+        r = f"least(2.0, {r} * CASE WHEN o.k > 10 THEN 1.01 ELSE 1 END)"
+        return f"greatest(0.1, {r} * CASE WHEN o.n > 2 THEN 0.98 ELSE 1 END)"
+
+    def model(value: str, speed: str, rate: float, momentum: float, bounded: bool) -> tuple[str, str]:
+        new = f"({momentum} * {speed} + {1 - momentum:.1f} * (m.value - {value}))"
+        at = f"({value} + {rate} * {new})"
+        return new, f"CASE WHEN m.key LIKE '%threshold%' THEN greatest(1.0, least(5.0, {at})) ELSE greatest(0.3, least(2.0, {at})) END" if bounded else at
+
+    def fold(name: str, means: str, *how) -> str:
+        first, later = model("CAST(1 AS DOUBLE)", "CAST(0 AS DOUBLE)", *how), model("p.model", "p.speed", *how)
+        return f"""{name} AS (SELECT m.key, m.round, m.i, m.value, m.clients, CAST({first[0]} AS DOUBLE) AS speed, CAST({first[1]} AS DOUBLE) AS model FROM {means} m WHERE m.i = 1
+            UNION ALL SELECT m.key, m.round, m.i, m.value, m.clients, {later[0]}, {later[1]} FROM {name} p JOIN {means} m ON m.key = p.key AND m.i = p.i + 1)"""
+
+    return f"""WITH RECURSIVE fl AS ({_FL.replace("{orders}", "orders")}),
+    o AS (SELECT *, {norm} AS n, {quality} AS quality, row_number() OVER (PARTITION BY client_id ORDER BY round) AS k FROM fl),
+    rep AS (SELECT o.client_id, o.round, o.k, o.n, o.quality, CAST({step("1.0")} AS DOUBLE) AS reputation FROM o WHERE o.k = 1
+        UNION ALL SELECT o.client_id, o.round, o.k, o.n, o.quality, {step("r.reputation")} FROM rep r JOIN o ON o.client_id = r.client_id AND o.k = r.k + 1),
+    shares AS (SELECT round, client_id, 0.6 * reputation / sum(reputation) OVER (PARTITION BY round) + 0.4 * quality / sum(quality) OVER (PARTITION BY round) AS share FROM rep),
+    lo AS ({_LONG}),
+    means AS (SELECT round, key, sum(value * share) / sum(share) AS value, count(*) AS clients, row_number() OVER (PARTITION BY key ORDER BY round) AS i FROM lo JOIN shares USING (round, client_id) GROUP BY 1, 2),
+    plain AS (SELECT round, key, sum(value * samples) / sum(samples) AS value, count(*) AS clients, row_number() OVER (PARTITION BY key ORDER BY round) AS i FROM lo GROUP BY 1, 2),
+    {fold("g", "means", 0.5, 0.9, True)}, {fold("simple", "plain", 0.3, 0.0, False)} {sql}"""
+
+
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = F.create_map(*[x for k in WEIGHT_KEYS for x in (F.lit(k), F.lit(1.0))])
     clipped = federated.delta_clip(updates(spark, sf_dir), current, 2.0)
@@ -678,9 +714,9 @@ def fl1_validate(spark, sf_dir):
     return federated.validate(updates(spark, sf_dir)).select("round", "client_id", "status")
 
 
-@query(_fl("WITH fl SELECT round, client_id, samples >= 20 AS accepted, CASE WHEN anomaly_rate > 0.5 THEN 'high_anomaly_rate' ELSE '' END AS warning FROM fl"))
+@query(_fl("WITH fl SELECT round, client_id, samples >= 20 AND " + "sqrt(" + " + ".join(f"({k} - 1) * ({k} - 1)" for k in WEIGHT_KEYS) + ") <= 4 AS accepted, CASE WHEN anomaly_rate > 0.5 THEN 'high_anomaly_rate' ELSE '' END AS warning FROM fl"))
 def fl2_screen(spark, sf_dir):
-    out = federated.screen(updates(spark, sf_dir).withColumn("pre_norm", F.lit(0.0)), least=20)
+    out = federated.screen(contributions(spark, sf_dir), least=20, norm=4)
     return out.select("round", "client_id", "accepted", F.coalesce("warning", F.lit("")).alias("warning"))
 
 
@@ -694,20 +730,30 @@ def fl4_quality(spark, sf_dir):
     return rounded(contributions(spark, sf_dir).select("round", "client_id", "quality"), "quality")
 
 
-@query()
+def reputations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = federated.latest_per_round(contributions(spark, sf_dir))
+    return federated.reputation(newest.select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality"))
+
+
+def global_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clipping, reputation, shares and the momentum step, round after round."""
+    long = federated.long_form(federated.latest_per_round(updates(spark, sf_dir)))
+    return federated.global_rounds(federated.shared_mean(long, federated.client_weights(reputations(spark, sf_dir))), {k: 1.0 for k in WEIGHT_KEYS})
+
+
+@query(_rounds("SELECT round, client_id, round(n, 6) AS pre_norm, round(least(n, 2.0), 6) AS post_norm, n > 2 AS was_clipped, round(reputation, 6) AS reputation FROM rep"))
 def fl5_reputation(spark, sf_dir):
-    return federated.reputation(contributions(spark, sf_dir).select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality"))
+    return rounded(reputations(spark, sf_dir).select("round", "client_id", "pre_norm", "post_norm", "was_clipped", "reputation"), "pre_norm", "post_norm", "reputation")
 
 
-@query()
+@query(_rounds("SELECT round, client_id, round(share, 9) AS share FROM shares"))
 def fl6_client_weights(spark, sf_dir):
-    return federated.client_weights(fl5_reputation(spark, sf_dir)).select("round", "client_id", "share")
+    return rounded(federated.client_weights(reputations(spark, sf_dir)).select("round", "client_id", "share"), "share", digits=9)
 
 
-@query()
+@query(_rounds("SELECT round, key, clients, round(value, 6) AS value, round(model, 6) AS model FROM g"))
 def fl7_global_rounds(spark, sf_dir):
-    means = federated.fed_avg(federated.long_form(updates(spark, sf_dir)), "samples")
-    return federated.global_rounds(means, {k: 1.0 for k in WEIGHT_KEYS})
+    return rounded(global_models(spark, sf_dir).select("round", "key", "clients", "value", "model"), "value", "model")
 
 
 @query(_fl(f"""WITH fl, lo AS ({_LONG}), r AS (SELECT *, count(*) OVER (PARTITION BY round, key) AS n, row_number() OVER (PARTITION BY round, key ORDER BY value, client_id) AS i FROM lo)
@@ -731,24 +777,28 @@ def fl11_weighted_average(spark, sf_dir):
     return rounded(federated.fed_avg(federated.long_form(updates(spark, sf_dir)), "samples"), "value")
 
 
-@query()
+@query(_rounds(f"""SELECT client_id, count(*) AS updates, round(arg_max(quality, round), 6) AS quality, round(arg_max(reputation, round), 6) AS reputation, round(avg(least(n, 2.0)), 6) AS avg_norm, round(avg(CAST(n > 2 AS INT)), 6) AS clip_ratio,
+    CASE WHEN (12 - max(round)) * {DAY // 10**6} < 600 THEN 'Active' WHEN (12 - max(round)) * {DAY // 10**6} < 3600 THEN 'Idle' ELSE 'Inactive' END AS status FROM rep GROUP BY 1"""))
 def fl13_leaderboard(spark, sf_dir):
-    return federated.leaderboard(fl5_reputation(spark, sf_dir), 12 * DAY)
+    out = federated.leaderboard(reputations(spark, sf_dir), 12 * DAY).select("client_id", "updates", "quality", "reputation", "avg_norm", "clip_ratio", "status")
+    return rounded(out, "quality", "reputation", "avg_norm", "clip_ratio")
 
 
-@query()
+@query(_rounds("""SELECT round, round(delta, 6) AS delta, CASE WHEN delta < 0.01 THEN 'Stable' ELSE 'Converging' END AS status FROM
+    (SELECT round, sqrt(avg(d * d)) AS delta FROM (SELECT round, model - lag(model) OVER (PARTITION BY key ORDER BY round) AS d FROM g) x GROUP BY 1) y WHERE delta IS NOT NULL ORDER BY round DESC LIMIT 20"""))
 def fl14_convergence(spark, sf_dir):
-    return federated.convergence(fl7_global_rounds(spark, sf_dir))
+    return rounded(federated.convergence(global_models(spark, sf_dir)), "delta")
 
 
-@query()
+@query(_rounds("SELECT round, count(*) AS participated, 0 AS quarantined, round(avg(least(n, 2.0)), 6) AS avg_delta_norm FROM rep GROUP BY 1"))
 def fl15_round_metadata(spark, sf_dir):
-    return federated.round_metadata(fl5_reputation(spark, sf_dir))
+    return rounded(federated.round_metadata(reputations(spark, sf_dir)), "avg_delta_norm")
 
 
-@query()
+@query(_rounds("SELECT round, key, clients, round(value, 6) AS value, round(model, 6) AS model FROM simple"))
 def fl17_simple_aggregation(spark, sf_dir):
-    return federated.global_rounds(federated.fed_avg(federated.long_form(updates(spark, sf_dir)), "samples"), {}, simple=True)
+    means = federated.fed_avg(federated.long_form(updates(spark, sf_dir)), "samples")
+    return rounded(federated.global_rounds(means, {}, simple=True).select("round", "key", "clients", "value", "model"), "value", "model")
 
 
 # -- evaluation and text --------------------------------------------------------------------------------------
@@ -859,7 +909,7 @@ def x3_safe_domain(spark, sf_dir):
 @query()
 def fl12_fl13_rollback(spark, sf_dir):
     """Rounds judged by the heuristic area of their mean threshold, and rolled back where it drops."""
-    means = fl7_global_rounds(spark, sf_dir).filter(F.col("key").contains("threshold")).groupBy("round").agg(F.avg("model").alias("mean"))
+    means = global_models(spark, sf_dir).filter(F.col("key").contains("threshold")).groupBy("round").agg(F.avg("model").alias("mean"))
     rounds = means.select("round", federated.heuristic_auc(F.col("mean")).alias("auc"), F.round("mean", 6).alias("model")).toPandas()  # one row per round
     return spark.createDataFrame(federated.rollback(rounds), "round int, auc double, rolled_back boolean, model double")
 

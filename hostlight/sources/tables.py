@@ -44,10 +44,9 @@ VIEWS: dict[str, str] = {
         'Alert on ' || event_type AS title, 'value ' || CAST(CAST(floor(value) AS INT) AS STRING) AS description FROM e WHERE value / 20 > 5""",
     "clients": """SELECT 'client_' || CAST(c.c_custkey AS STRING) AS client_id, c.c_name AS hostname, c.c_mktsegment AS department, c.c_custkey % 2 = 0 AS federated_learning, h.heartbeat,
         CASE WHEN h.heartbeat >= m.as_of - 86400000000 THEN 'online' ELSE 'offline' END AS status
-        FROM customer c LEFT JOIN (SELECT client_id, max(us) AS heartbeat FROM e GROUP BY client_id) h ON h.client_id = 'client_' || CAST(c.c_custkey AS STRING) CROSS JOIN (SELECT max(us) AS as_of FROM e) m
-        WHERE c.c_custkey < 25""",
+        FROM customer c LEFT JOIN (SELECT client_id, max(us) AS heartbeat FROM e GROUP BY client_id) h ON h.client_id = 'client_' || CAST(c.c_custkey AS STRING) CROSS JOIN (SELECT max(us) AS as_of FROM e) m""",
 }
-_EVENTS = "SELECT event_id, user_id, event_type, value, 'client_' || CAST(user_id % 20 AS STRING) AS client_id, {us} AS us FROM {events}"
+_EVENTS = "SELECT event_id, user_id, event_type, value, 'client_' || CAST(user_id AS STRING) AS client_id, {us} AS us FROM {events}"
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -70,6 +69,8 @@ def with_views(sql: str, *names: str) -> str:
     parts = ["e AS (" + _EVENTS.format(us="epoch_us(ts)", events="events") + ")"]
     parts += [f"{n} AS ({VIEWS[n]})" for n in names]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body
