@@ -94,8 +94,8 @@ OTHER_TTL = 180
 
 #: Names of the 24 model features (window columns without raw counters).
 FEATURES = (
-    "conn_count", "unique_dst", "bytes_sent", "bytes_recv", "port_entropy", "tcp_udp_ratio", "conn_rate", "dst_churn", "conn_delta", "conn_accel",
-    "proc_spawn", "proc_delta", "avg_cpu", "avg_memory", "unique_procs", "file_creates", "file_delta", "file_accel", "exec_files", "unique_hashes", "hash_delta",
-    "ransomware_flag", "c2_flag", "cred_dump_flag",
+    "conn_count", "unique_dst_count", "bytes_sent", "bytes_recv", "port_entropy", "tcp_ratio", "udp_ratio", "conn_rate", "dst_churn_rate",
+    "proc_spawn_count", "avg_proc_cpu", "avg_proc_memory", "unique_proc_names", "file_create_count", "file_exec_count", "file_hash_novelty",
+    "delta_conn_count", "delta_file_create", "delta_proc_spawn", "delta_unique_hashes", "conn_acceleration", "ransomware_burst", "c2_pattern", "cred_dump_pattern",
 )
 WEIGHT_KEYS = ("network_threshold", "process_threshold", "file_threshold", "network_sensitivity", "process_sensitivity", "file_sensitivity")

@@ -91,9 +91,9 @@ def cleaned(c: Column) -> Column:
 
 #: Labels of features.
 LABELS = {
-    "conn_count": "Connection Count", "unique_dst": "Unique Destinations", "bytes_sent": "Data Sent", "bytes_recv": "Data Received", "port_entropy": "Port Randomness",
-    "conn_rate": "Connection Rate", "dst_churn": "Destination Changes", "proc_spawn": "Process Creation", "avg_cpu": "CPU Usage", "avg_memory": "Memory Usage",
-    "unique_procs": "Unique Processes", "file_creates": "File Creation", "exec_files": "Executable Files", "unique_hashes": "Unique File Hashes", "ransomware_flag": "Ransomware Pattern",
+    "conn_count": "Connection Count", "unique_dst_count": "Unique Destinations", "bytes_sent": "Data Sent", "bytes_recv": "Data Received", "port_entropy": "Port Randomness",
+    "conn_rate": "Connection Rate", "dst_churn_rate": "Destination Changes", "proc_spawn_count": "Process Creation", "avg_proc_cpu": "CPU Usage", "avg_proc_memory": "Memory Usage",
+    "unique_proc_names": "Unique Processes", "file_create_count": "File Creation", "file_exec_count": "Executable Files", "file_hash_novelty": "Unique File Hashes", "ransomware_burst": "Ransomware Pattern",
 }
 
 

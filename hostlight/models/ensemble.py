@@ -42,7 +42,7 @@ def severity(df: DataFrame) -> DataFrame:
     """Adds severity, and raises it and the score for the pattern flags; critical is never lowered."""
     s = F.col("ensemble_score")
     level = F.when(s >= 9.5, "critical").when(s >= 8.5, "high").when(s >= 7.0, "medium").when(s >= 5.5, "low").otherwise("normal")
-    ransom, c2, cred = (_feature(n) > 0 for n in ("ransomware_flag", "c2_flag", "cred_dump_flag"))
+    ransom, c2, cred = (_feature(n) > 0 for n in ("ransomware_burst", "c2_pattern", "cred_dump_pattern"))
     raised = F.when(ransom, F.greatest(s, F.lit(9.5))).when(c2, F.greatest(s, F.lit(8.0))).when(cred, F.greatest(s, F.lit(7.5))).otherwise(s)
     named = F.when(ransom | (level == "critical"), "critical").when(c2 | cred, "high").otherwise(level)
     return df.withColumns({"severity": named, "ensemble_score": raised})
@@ -65,7 +65,7 @@ def contributing(df: DataFrame) -> DataFrame:
 
 def heuristic(df: DataFrame) -> DataFrame:
     """Fallback without models: ransomware is critical 9.5, command and control high 8.5."""
-    ransom, c2 = _feature("ransomware_flag") > 0, _feature("c2_flag") > 0
+    ransom, c2 = _feature("ransomware_burst") > 0, _feature("c2_pattern") > 0
     return df.withColumns({"ensemble_score": F.when(ransom, 9.5).when(c2, 8.5).otherwise(0.0), "severity": F.when(ransom, "critical").when(c2, "high").otherwise("normal")})
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import alert_texts as texts
 from ..functions.fixed import AGENT_TTL, RANSOMWARE_EXTENSIONS, SERVER_TTL
 from ..functions.scalars import feature_group
 from .dedup import signature, ttl_dedup
@@ -90,37 +93,67 @@ def agent_alerts(alerts: DataFrame, strict: bool = True) -> DataFrame:
     return ttl_dedup(second, ttl=AGENT_TTL).filter("kept").drop("kept")
 
 
-def alert_title(category: Column, features: Column) -> Column:
-    has = lambda w: F.exists(features, lambda x: F.lower(x).contains(w))
-    return (
-        F.when(has("ransom"), "Possible ransomware activity").when(has("c2"), "Possible command and control traffic").when(has("cred"), "Possible credential theft")
-        .when(category == "network", "Unusual network behaviour").when(category == "process", "Unusual process behaviour")
-        .when(category.isin("file", "filesystem"), "Unusual file behaviour").when(category == "user_activity", "Unusual user behaviour").otherwise("Unusual system behaviour")
-    )
+def _names(features: Column, *words: str) -> Column:
+    """Whether a feature's name holds one of the words."""
+    return F.coalesce(F.exists(features, lambda x: F.lower(x).rlike("|".join(words))), F.lit(False))
 
 
-def alert_description(explanation: Column, features: Column, **scores: Column) -> Column:
-    """Parts joined by ' | ': explanation (200 characters), features, model scores; missing parts are left out."""
-    parts = [F.substring(explanation, 1, 200), F.when(F.size(features) > 0, F.concat(F.lit("Features: "), F.array_join(features, ", ")))]
-    parts += [F.when(c.isNotNull(), F.format_string(f"{name}: %.2f", c)) for name, c in scores.items()]
-    return F.concat_ws(" | ", *parts)
+def _by_category(category: Column, choices: dict[str, Column], otherwise: Column) -> Column:
+    out = otherwise
+    for name, value in choices.items():
+        out = F.when(category == name, value).otherwise(out)
+    return out
 
 
-def explain(category: Column, values: dict[str, Column]) -> Column:
-    """The values that stand out, in words."""
-    says = [F.when(F.abs(c) > 3, F.format_string(f"{name} at %.1f", c)) for name, c in values.items()]
-    found = F.concat_ws(", ", *says)
-    return F.when(found == "", F.concat(F.lit("Unusual pattern in "), category)).otherwise(F.concat(category, F.lit(": "), found))
+def alert_title(category: Column, features: Column, severity: Column) -> Column:
+    """By the first telling feature of the category; else the category's title with the severity."""
+    level = F.upper(severity)
+    choices = {}
+    for name, rules in texts.TITLES.items():
+        out = F.concat(F.lit(texts.PLAIN_TITLES[name] + " - "), level)
+        for word, title in reversed(rules):
+            out = F.when(_names(features, word), F.lit(title)).otherwise(out)
+        choices[name] = out
+    return _by_category(category, choices, F.concat(F.lit("ML Anomaly: "), level, F.lit(" - "), F.upper(category)))
+
+
+def alert_description(category: Column, features: Column, explanation: Column, forest: Column | None = None, autoencoder: Column | None = None) -> Column:
+    """Parts joined by ' | ': a sentence per telling feature and the models' scores; without any, the explanation (200 characters)."""
+    words = _by_category(category, {name: F.array(*[F.when(_names(features, w), F.lit(t)) for w, t in rules]) for name, rules in texts.SENTENCES.items()}, F.array().cast("array<string>"))
+    scores = [F.when(c.isNotNull(), F.format_string(f"{name}: %.1f/10", c)) for name, c in (("Anomaly Detection", forest), ("Pattern Recognition", autoencoder)) if c is not None]
+    said = F.concat_ws(", ", *scores) if scores else F.lit("")
+    parts = F.concat_ws(" | ", F.array_compact(words), F.when(said != "", F.concat(F.lit("AI Analysis: "), said)))
+    plain = F.when(F.length(explanation) > 0, F.substring(explanation, 1, 200)).otherwise(F.lit(texts.NO_SENTENCE))
+    return F.when(parts != "", parts).otherwise(plain)
+
+
+def explain(category: Column, value: Callable[[str], Column], score: Column, features: Column) -> tuple[Column, Column]:
+    """(explanation, evidence) as arrays, from the category's values that stand out; `value` gives a feature's value."""
+    says, shows = {}, {}
+    for name, rules in texts.EXPLANATIONS.items():
+        found = []
+        for feature, least, factor, form, evidence in rules:
+            v = F.coalesce(value(feature), F.lit(0.0))
+            test = v == 1.0 if least is None else v > least
+            number = (v * factor).cast("int") if "%d" in form else v * factor
+            found.append((F.when(test, F.format_string(form, number) if least is not None else F.lit(form)), F.when(test, F.lit(evidence))))
+        says[name], shows[name] = (F.array_compact(F.array(*x)) for x in zip(*found, strict=True))
+    none = F.array().cast("array<string>")
+    level = F.when(score != 0, F.array(F.format_string("Threat Level: %.1f/10", score))).otherwise(none)
+    said, shown = F.concat(level, _by_category(category, says, none)), _by_category(category, shows, none)
+    silent = F.size(said) == 0
+    top = F.concat(F.lit("Top features: "), F.array_join(F.slice(features, 1, 3), ", "))
+    return F.when(silent, F.array(F.lit(texts.NO_EXPLANATION))).otherwise(said), F.when(silent, F.array(top)).otherwise(shown)
 
 
 def recommended_action(severity: Column, category: Column, features: Column) -> Column:
-    has = lambda w: F.exists(features, lambda x: F.lower(x).contains(w))
-    urgent = severity.isin("critical", "high")
-    return (
-        F.when(has("ransom"), "ISOLATE_HOST").when(has("c2"), "BLOCK_DESTINATION").when(has("cred"), "RESET_CREDENTIALS")
-        .when(urgent & (category == "network"), "BLOCK_DESTINATION").when(urgent & (category == "process"), "TERMINATE_PROCESS").when(urgent & category.isin("file", "filesystem"), "QUARANTINE_FILE")
-        .when(severity == "critical", "ISOLATE_HOST").when(severity == "high", "INVESTIGATE").otherwise("MONITOR")
-    )
+    """By severity and category; a critical one also by the feature that names the pattern."""
+    out = F.when(severity == "medium", F.concat(F.lit(texts.MEDIUM_ACTION[0]), category, F.lit(texts.MEDIUM_ACTION[1]))).otherwise(F.lit(texts.LOW_ACTION))
+    for level, by_category in texts.ACTIONS.items():
+        choices = {name: F.when(_names(features, *special[0]), F.lit(special[1])).otherwise(F.lit(plain)) if special else F.lit(plain) for name, (special, plain) in by_category.items()}
+        other = choices.pop(None)
+        out = F.when(severity == level, _by_category(category, choices, other)).otherwise(out)
+    return out
 
 
 def dominant_category(features: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import FEATURES
+from ..functions.fixed import FEATURES, RANSOMWARE_EXTENSIONS, SUSPICIOUS_PROCESSES
 from ..functions.scalars import clip, is_local_ip, is_privileged, is_remote
 
 WINDOW = 60_000_000
@@ -19,9 +19,9 @@ def log_clip(c: Column, high: float) -> Column:
 
 def tagged_events(network: DataFrame, process: DataFrame, filesystem: DataFrame) -> DataFrame:
     """One long table of the three categories, so that windows need one grouping."""
-    n = network.select("client_id", "us", F.lit("n").alias("kind"), F.col("dst_ip").alias("name"), F.col("dst_port").cast("long").alias("port"), "bytes_sent", "bytes_recv", (F.col("protocol") == "TCP").alias("flag"))
-    p = process.select("client_id", "us", F.lit("p").alias("kind"), F.col("name"), F.lit(None).cast("long").alias("port"), F.col("cpu_percent").alias("bytes_sent"), F.col("memory_mb").alias("bytes_recv"), F.lit(False).alias("flag"))
-    f = filesystem.select("client_id", "us", F.lit("f").alias("kind"), F.col("file_hash").alias("name"), F.lit(None).cast("long").alias("port"), F.lit(0.0).alias("bytes_sent"), F.lower("file_ext").isin(".exe", ".dll", ".so").cast("double").alias("bytes_recv"), (F.col("event_type") == "created").alias("flag"))
+    n = network.select("client_id", "us", F.lit("n").alias("kind"), F.col("dst_ip").alias("name"), F.col("dst_port").cast("long").alias("port"), "bytes_sent", "bytes_recv", F.contains("protocol", F.lit("TCP")).alias("flag"), F.contains("protocol", F.lit("UDP")).alias("other"))
+    p = process.select("client_id", "us", F.lit("p").alias("kind"), F.col("name"), F.lit(None).cast("long").alias("port"), F.col("cpu_percent").alias("bytes_sent"), F.col("memory_mb").alias("bytes_recv"), F.lit(False).alias("flag"), F.lit(False).alias("other"))
+    f = filesystem.select("client_id", "us", F.lit("f").alias("kind"), F.col("file_hash").alias("name"), F.lit(None).cast("long").alias("port"), F.lit(0.0).alias("bytes_sent"), F.lower("file_ext").isin(".exe", ".dll", ".so").cast("double").alias("bytes_recv"), (F.col("event_type") == "created").alias("flag"), F.lit(False).alias("other"))
     return n.unionByName(p).unionByName(f)
 
 
@@ -33,7 +33,7 @@ def windows(events: DataFrame, span: int = WINDOW) -> DataFrame:
     """
     w = (F.floor(F.col("us") / span) * span).cast("long")
     small = events.groupBy("client_id", w.alias("window_us"), "kind", "name", "port").agg(
-        F.count("*").alias("n"), F.sum("bytes_sent").alias("a"), F.sum("bytes_recv").alias("b"), F.count_if("flag").alias("flagged"),
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("a"), F.sum("bytes_recv").alias("b"), F.count_if("flag").alias("flagged"), F.count_if("other").alias("others"),
         F.min(F.when(F.col("flag"), F.col("us"))).alias("first_us"), F.max(F.when(F.col("flag"), F.col("us"))).alias("last_us"),
     )
     # a name or port counts once, where it comes first in its window
@@ -48,7 +48,7 @@ def windows(events: DataFrame, span: int = WINDOW) -> DataFrame:
     different = lambda kind: F.count_if(k(kind) & F.col("name_first") & F.col("name").isNotNull())
     plogp = F.sum(F.when(k("n") & F.col("port_first"), F.col("port_n") * F.log2("port_n")))
     out = small.groupBy("client_id", "window_us").agg(
-        total("n", "n").alias("conns"), different("n").alias("dsts"), total("n", "a").alias("sent"), total("n", "b").alias("received"), total("n", "flagged").alias("tcp"), plogp.alias("plogp"),
+        total("n", "n").alias("conns"), different("n").alias("dsts"), total("n", "a").alias("sent"), total("n", "b").alias("received"), total("n", "flagged").alias("tcp"), total("n", "others").alias("udp"), plogp.alias("plogp"),
         F.max(F.when(k("n"), F.col("name_n"))).alias("busiest"), total("p", "n").alias("spawns"), total("p", "a").alias("cpu"), total("p", "b").alias("memory"), different("p").alias("procs"),
         F.coalesce(F.bool_or(k("p") & (F.lower("name").contains("lsass") | F.lower("name").contains("sam"))), F.lit(False)).alias("credential"),
         total("f", "flagged").alias("creates"), total("f", "b").alias("execs"), different("f").alias("hashes"), F.min(F.when(k("f"), F.col("first_us"))).alias("f0"), F.max(F.when(k("f"), F.col("last_us"))).alias("f1"),
@@ -62,19 +62,20 @@ def features(raw: DataFrame, span: int = WINDOW) -> DataFrame:
     order = Window.partitionBy("client_id").orderBy("window_us")
     delta = lambda c: F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0)).cast("double")
     out = raw.withColumns({"d_conns": clip(delta("conns"), -10, 10), "d_creates": clip(delta("creates"), -50, 50), "d_spawns": clip(delta("spawns"), -10, 10), "d_hashes": clip(delta("hashes"), -20, 20)})
-    accel = lambda c: clip(F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)), -5, 5)
+    # the change now against the change that the window before reports
+    out = out.withColumn("accel", clip(F.coalesce(F.col("conns") - F.lag("conns").over(order) - F.lag("d_conns").over(order), F.lit(0.0)), -5, 5))
     d = lambda c: F.col(c).cast("double")
     mean = lambda c: F.when(F.col("spawns") > 0, F.col(c) / F.col("spawns")).otherwise(0.0)
     ransomware = (F.col("creates") > 50) & (F.col("hashes") > 20) & (F.col("f1") - F.col("f0") < 30_000_000)
     c2 = (F.col("conns") > 10) & (F.coalesce("busiest", F.lit(0)) > 5) & (F.col("dsts") < 3)
     return out.select(
-        "client_id", "window_us", log_clip(d("conns"), 10).alias("conn_count"), clip(d("dsts"), 0, 50).alias("unique_dst"), log_clip(d("sent"), 20).alias("bytes_sent"), log_clip(d("received"), 20).alias("bytes_recv"),
-        clip(F.col("entropy"), 0, 8).alias("port_entropy"), (d("tcp") / (F.col("conns") - F.col("tcp") + 1)).alias("tcp_udp_ratio"), clip(d("conns") / seconds, 0, 10).alias("conn_rate"), clip(d("dsts") / seconds, 0, 5).alias("dst_churn"),
-        F.col("d_conns").alias("conn_delta"), accel("d_conns").alias("conn_accel"), log_clip(d("spawns"), 8).alias("proc_spawn"), F.col("d_spawns").alias("proc_delta"),
-        clip(mean("cpu") / 100, 0, 1).alias("avg_cpu"), clip(F.log1p(mean("memory")) / 10, 0, 1).alias("avg_memory"), clip(d("procs"), 0, 100).alias("unique_procs"),
-        clip(d("creates"), 0, 100).alias("file_creates"), F.col("d_creates").alias("file_delta"), accel("d_creates").alias("file_accel"), clip(d("execs"), 0, 20).alias("exec_files"), clip(d("hashes"), 0, 50).alias("unique_hashes"), F.col("d_hashes").alias("hash_delta"),
-        F.coalesce(ransomware, F.lit(False)).cast("double").alias("ransomware_flag"), c2.cast("double").alias("c2_flag"), (F.col("credential") & (F.col("spawns") > 2)).cast("double").alias("cred_dump_flag"),
-        F.col("conns").alias("conn_raw"), F.col("creates").alias("create_raw"), F.col("spawns").alias("spawn_raw"), F.col("hashes").alias("hash_raw"),
+        "client_id", "window_us", log_clip(d("conns"), 10).alias("conn_count"), clip(d("dsts"), 0, 50).alias("unique_dst_count"), log_clip(d("sent"), 20).alias("bytes_sent"), log_clip(d("received"), 20).alias("bytes_recv"),
+        clip(F.col("entropy"), 0, 8).alias("port_entropy"), (d("tcp") / F.greatest("conns", F.lit(1))).alias("tcp_ratio"), (d("udp") / F.greatest("conns", F.lit(1))).alias("udp_ratio"), clip(d("conns") / seconds, 0, 10).alias("conn_rate"), clip(d("dsts") / seconds, 0, 5).alias("dst_churn_rate"),
+        F.col("d_conns").alias("delta_conn_count"), F.col("accel").alias("conn_acceleration"), log_clip(d("spawns"), 8).alias("proc_spawn_count"), F.col("d_spawns").alias("delta_proc_spawn"),
+        clip(mean("cpu") / 100, 0, 1).alias("avg_proc_cpu"), clip(F.log1p(mean("memory")) / 10, 0, 1).alias("avg_proc_memory"), clip(d("procs"), 0, 100).alias("unique_proc_names"),
+        clip(d("creates"), 0, 100).alias("file_create_count"), F.col("d_creates").alias("delta_file_create"), clip(d("execs"), 0, 20).alias("file_exec_count"), clip(d("hashes"), 0, 50).alias("file_hash_novelty"), F.col("d_hashes").alias("delta_unique_hashes"),
+        F.coalesce(ransomware, F.lit(False)).cast("double").alias("ransomware_burst"), c2.cast("double").alias("c2_pattern"), (F.col("credential") & (F.col("spawns") > 2)).cast("double").alias("cred_dump_pattern"),
+        F.col("conns").alias("conn_count_raw"), F.col("creates").alias("file_create_raw"), F.col("spawns").alias("proc_spawn_raw"), F.col("hashes").alias("unique_hashes_raw"),
     )
 
 
@@ -87,10 +88,10 @@ def port_entropy(network: DataFrame, *keys: str, port: str = "dst_port") -> Data
 
 def pattern_alerts(found: DataFrame) -> DataFrame:
     """A critical alert for each window with a pattern; the action is that of the last pattern set."""
-    names = {"ransomware_flag": ("ransomware_burst", "ISOLATE_HOST"), "c2_flag": ("c2_beaconing", "BLOCK_DESTINATION"), "cred_dump_flag": ("credential_dump", "RESET_CREDENTIALS")}
+    names = {"ransomware_burst": ("ransomware_burst", "ISOLATE_HOST"), "c2_pattern": ("c2_beaconing", "BLOCK_DESTINATION"), "cred_dump_pattern": ("credential_dump", "RESET_CREDENTIALS")}
     patterns = F.filter(F.array(*[F.when(F.col(c) > 0, F.lit(n)) for c, (n, _) in names.items()]), lambda x: x.isNotNull())
     action = F.coalesce(*[F.when(F.col(c) > 0, F.lit(a)) for c, (_, a) in reversed(names.items())])
-    evidence = F.format_string("conns=%d creates=%d spawns=%d", "conn_raw", "create_raw", "spawn_raw")
+    evidence = F.format_string("conns=%d creates=%d spawns=%d", "conn_count_raw", "file_create_raw", "proc_spawn_raw")
     out = found.select("client_id", "window_us", F.lit("critical").alias("severity"), patterns.alias("patterns"), evidence.alias("evidence"), action.alias("action"))
     return out.filter(F.size("patterns") > 0)
 
@@ -102,21 +103,46 @@ def feature_matrix(found: DataFrame, last: int = 1000) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= last).select("client_id", "window_us", vector.alias("vector"))
 
 
-def network_vectors(network: DataFrame) -> DataFrame:
-    """Event-level features of connections with conn_n and ports_n (running history)."""
-    c2 = (F.col("conn_n") > 10) & (F.col("ports_n") < 3)
-    return network.select("client_id", "id", "us", F.array(
-        F.least(F.col("conn_n") / 100.0, F.lit(10.0)), F.least(F.col("ports_n") / 50.0, F.lit(10.0)), (F.col("dst_port") / 65535.0), (~is_local_ip(F.col("dst_ip"))).cast("double"),
-        F.col("dns").isNull().cast("double"), (F.col("dst_port") < 1024).cast("double"), c2.cast("double"),
-    ).alias("vector"))
+def _event_vector(**given: Column) -> Column:
+    """The 24 model features of one event; what its collector doesn't see is 0."""
+    return F.array(*[F.coalesce(given[f].cast("double"), F.lit(0.0)) if f in given else F.lit(0.0) for f in FEATURES]).alias("vector")
 
 
-def process_vectors(process: DataFrame) -> DataFrame:
-    return process.select("client_id", "id", "us", F.array(clip(F.col("cpu_percent") / 100, 0, 1), clip(F.col("memory_mb") / 5000, 0, 10), F.lower("name").contains("lsass").cast("double"), F.length(F.coalesce("cmdline", F.lit(""))) / 100.0).alias("vector"))
+def with_window(events: DataFrame, raw: DataFrame, span: int = WINDOW) -> DataFrame:
+    """Each event with the raw measures of its client's window."""
+    return events.withColumn("window_us", (F.floor(F.col("us") / span) * span).cast("long")).join(raw, ["client_id", "window_us"], "left")
 
 
-def file_vectors(files: DataFrame) -> DataFrame:
-    return files.select("client_id", "id", "us", F.array(F.log1p(F.col("file_size").cast("double")) / 20, (F.col("event_type") == "created").cast("double"), F.lower("file_ext").isin(".exe", ".dll", ".so").cast("double")).alias("vector"))
+def network_vectors(network: DataFrame, raw: DataFrame) -> DataFrame:
+    """Event-level features of connections with conn_n and ports_n (running history of the destination)."""
+    n, one = F.col("conns"), F.greatest("conns", F.lit(1))
+    c2 = (F.col("conn_n") > 10) & (F.col("ports_n") < 3)
+    return with_window(network, raw).select("client_id", "id", "us", _event_vector(
+        conn_count=n / 100, unique_dst_count=F.col("dsts") / one, port_entropy=F.col("entropy"), tcp_ratio=F.col("tcp") / one, udp_ratio=F.col("udp") / one, conn_rate=n / 60, dst_churn_rate=F.col("dsts") / 60,
+        proc_spawn_count=F.col("spawns") / 10, file_create_count=F.col("creates") / 50, delta_conn_count=n / 10, c2_pattern=c2,
+    ))
+
+
+def process_vectors(process: DataFrame, raw: DataFrame, shells: tuple[str, ...] = ("powershell", "cmd"), risky: tuple[str, ...] = SUSPICIOUS_PROCESSES[:5]) -> DataFrame:
+    """Event-level features of processes; a column parent_name, if there is one, tells who started them."""
+    name, path = F.lower("name"), F.lower(F.coalesce("path", F.lit("")))
+    parent = F.lower("parent_name") if "parent_name" in process.columns else F.lit("")
+    has = lambda c, words: F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)), F.lit(False))
+    return with_window(process, raw).select("client_id", "id", "us", _event_vector(
+        conn_count=F.col("conns") / 100, proc_spawn_count=F.col("spawns") / 10, avg_proc_cpu=F.col("cpu_percent") / 100, avg_proc_memory=F.col("memory_mb") / 5000, unique_proc_names=F.lit(1.0),
+        file_create_count=F.col("creates") / 50, file_exec_count=F.contains(path, F.lit("temp")), delta_proc_spawn=F.col("spawns") / 10, cred_dump_pattern=has(parent, shells) & has(name, risky),
+    ))
+
+
+def file_vectors(files: DataFrame, raw: DataFrame) -> DataFrame:
+    """Event-level features of files; a hash is new where the client has it for the first time."""
+    ext = F.lower("file_ext")
+    first = F.row_number().over(Window.partitionBy("client_id", "file_hash").orderBy("us", "id")) == 1
+    novel = (F.col("file_hash").isNotNull() & first).cast("double")
+    return with_window(files.withColumn("_novel", novel), raw).select("client_id", "id", "us", _event_vector(
+        conn_count=F.col("conns") / 100, proc_spawn_count=F.col("spawns") / 10, file_create_count=F.col("creates") / 50, file_exec_count=ext.isin(".exe", ".dll", ".so"), file_hash_novelty=F.col("_novel"),
+        delta_file_create=F.col("creates") / 50, delta_unique_hashes=F.col("_novel"), ransomware_burst=ext.isin(*RANSOMWARE_EXTENSIONS),
+    ))
 
 
 def user_vectors(logins: DataFrame) -> DataFrame:

@@ -518,7 +518,8 @@ def fw5_feature_matrix(spark, sf_dir):
 @query()
 def fw6_event_vectors(spark, sf_dir):
     t = telemetry(spark, sf_dir)
-    parts = features.network_vectors(fleet.running_history(t["network_data"])), features.process_vectors(t["process_data"]), features.file_vectors(t["filesystem_data"])
+    raw = features.windows(features.tagged_events(t["network_data"], t["process_data"], t["filesystem_data"]))
+    parts = features.network_vectors(fleet.running_history(t["network_data"]), raw), features.process_vectors(t["process_data"], raw), features.file_vectors(t["filesystem_data"], raw)
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -621,11 +622,40 @@ def al6_recent_dedup(spark, sf_dir):
     return dedup.recent_dedup(signed).select("id", "kept")
 
 
+def _texts_sql() -> str:
+    """The alert texts over contributing features 0, 5 and 11 after the id, in the order of the features."""
+    names = "[" + ", ".join(f"'{n}'" for n in FEATURES) + "]"
+    has = lambda *words: " OR ".join(f"a LIKE '%{w}%'" for w in words)
+    return f"""SELECT id,
+        CASE c WHEN 'network' THEN CASE WHEN {has("c2_pattern")} THEN '⚠️ Possible C2 Communication Detected' WHEN {has("port_entropy")} THEN '⚠️ Port Scanning Activity Detected' ELSE 'Suspicious Network Activity - ' || s END
+            WHEN 'process' THEN CASE WHEN {has("cred_dump_pattern")} THEN '⚠️ CRITICAL: Credential Theft Attempt' WHEN {has("proc_spawn")} THEN '⚠️ Unusual Process Spawning Detected' ELSE 'Suspicious Process Behavior - ' || s END
+            WHEN 'filesystem' THEN CASE WHEN {has("ransomware_burst")} THEN '⚠️ RANSOMWARE ACTIVITY DETECTED' WHEN {has("file_create_count")} THEN '⚠️ Mass File Modification Detected' ELSE 'Suspicious File Activity - ' || s END
+            ELSE 'ML Anomaly: ' || s || ' - ' || upper(c) END AS title,
+        CASE WHEN s = 'CRITICAL' AND c = 'filesystem' AND ({has("ransomware")}) THEN '🚨 IMMEDIATE: RANSOMWARE SUSPECTED - Isolate host, kill processes, restore from backup'
+            WHEN s = 'CRITICAL' AND c = 'filesystem' THEN 'IMMEDIATE: Quarantine affected files, analyze hashes, block execution'
+            WHEN s = 'CRITICAL' AND c = 'network' AND ({has("c2")}) THEN '🚨 IMMEDIATE: C2 COMMUNICATION SUSPECTED - Block IPs, isolate host, capture traffic'
+            WHEN s = 'CRITICAL' AND c = 'network' THEN 'IMMEDIATE: Isolate host from network, block suspicious IPs, analyze traffic'
+            WHEN s = 'CRITICAL' AND c = 'process' AND ({has("cred", "dump")}) THEN '🚨 IMMEDIATE: CREDENTIAL THEFT SUSPECTED - Terminate processes, force password reset'
+            WHEN s = 'CRITICAL' AND c = 'process' THEN 'IMMEDIATE: Quarantine process, collect memory dump, analyze parent chain' WHEN s = 'CRITICAL' THEN 'IMMEDIATE: Isolate system and investigate'
+            WHEN s = 'HIGH' AND c = 'network' THEN 'URGENT: Review firewall logs, block suspicious destinations, monitor for persistence'
+            WHEN s = 'HIGH' AND c = 'process' THEN 'URGENT: Investigate parent processes, check for persistence mechanisms, analyze binary'
+            WHEN s = 'HIGH' AND c = 'filesystem' THEN 'URGENT: Stop file operations, review recent changes, check for data exfiltration' WHEN s = 'HIGH' THEN 'URGENT: Investigate immediately, track behavior, prepare for escalation'
+            WHEN s = 'MEDIUM' THEN 'MONITOR: Track ' || c || ' activity, correlate with other events, set alerts for escalation' ELSE 'LOG: Record for pattern analysis and baseline adjustment' END AS action
+        FROM (SELECT id, upper(severity) AS s, source_category AS c, array_to_string(list_transform([0, 5, 11], lambda k: ({names})[CAST((id + k) % {len(FEATURES)} AS INT) + 1]), ',') AS a FROM alerts) x"""
+
+
+@query(_texts_sql(), "alerts")
+def al7_al10_titles_actions(spark, sf_dir):
+    a, names, severity = _ml_alerts(spark, sf_dir), F.col("contributing_features"), F.lower("severity")
+    return a.select("id", alerts.alert_title(F.col("category"), names, severity).alias("title"), alerts.recommended_action(severity, F.col("category"), names).alias("action"))
+
+
 @query()
-def al7_alert_texts(spark, sf_dir):
+def al8_al9_descriptions(spark, sf_dir):
     a, names = _ml_alerts(spark, sf_dir), F.col("contributing_features")
-    severity = F.lower("severity")
-    return a.select("id", alerts.alert_title(F.col("category"), names).alias("title"), alerts.alert_description(F.col("explanation"), names, ensemble=F.col("ensemble_score")).alias("description"), alerts.recommended_action(severity, F.col("category"), names).alias("action"), alerts.dominant_category(names).alias("dominant"))
+    value = lambda f: F.when(F.array_contains(names, f), F.col("ensemble_score"))
+    said, shown = alerts.explain(F.col("category"), value, F.coalesce("ensemble_score", F.lit(0.0)), names)
+    return a.select("id", alerts.alert_description(F.col("category"), names, F.col("explanation"), F.col("ensemble_score")).alias("description"), said.alias("explanation"), shown.alias("evidence"), alerts.dominant_category(names).alias("dominant"))
 
 
 @query("SELECT id, CASE WHEN id % 7 = 0 THEN 'acknowledged' ELSE status END AS status FROM alerts", "alerts")

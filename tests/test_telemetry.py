@@ -187,7 +187,7 @@ def test_windows_and_flags(spark):
     files = rows(spark, [("c", k * 100_000, ".exe", f"h{k % 30}", "created") for k in range(51)], "client_id string, us long, file_ext string, file_hash string, event_type string")
     raw = features.windows(features.tagged_events(net, proc, files))
     f = features.features(raw).collect()
-    assert len(f) == 1 and (f[0]["ransomware_flag"], f[0]["c2_flag"], f[0]["cred_dump_flag"]) == (1, 1, 1) and f[0]["port_entropy"] == 0 and f[0]["exec_files"] == 20 and math.isclose(f[0]["conn_count"], math.log1p(11))
+    assert len(f) == 1 and (f[0]["ransomware_burst"], f[0]["c2_pattern"], f[0]["cred_dump_pattern"]) == (1, 1, 1) and f[0]["port_entropy"] == 0 and f[0]["file_exec_count"] == 20 and math.isclose(f[0]["conn_count"], math.log1p(11))
     a = features.pattern_alerts(features.features(raw)).first()
     assert a["patterns"] == ["ransomware_burst", "c2_beaconing", "credential_dump"] and a["action"] == "RESET_CREDENTIALS"
 
@@ -274,9 +274,41 @@ def test_crawl_sites(spark):
 
 
 def test_alert_texts(spark):
-    names = F.array(F.lit("file_creates"), F.lit("conn_count"), F.lit("dst_churn"))
-    r = spark.range(1).select(alerts.dominant_category(names).alias("d"), alerts.recommended_action(F.lit("high"), F.lit("process"), names).alias("a"), alerts.source_category(F.lit("ml_file_anomaly")).alias("s"), alerts.alert_description(F.lit("why"), names, iso=F.lit(None).cast("double")).alias("t"), scalars.feature_label(F.lit("some_thing")).alias("l")).first()
-    assert tuple(r) == ("network", "TERMINATE_PROCESS", "filesystem", "why | Features: file_creates, conn_count, dst_churn", "Some Thing")
+    names = F.array(F.lit("file_create_count"), F.lit("conn_count"), F.lit("dst_churn_rate"))
+    r = spark.range(1).select(alerts.dominant_category(names).alias("d"), alerts.source_category(F.lit("ml_file_anomaly")).alias("s"), scalars.feature_label(F.lit("some_thing")).alias("l")).first()
+    assert tuple(r) == ("network", "filesystem", "Some Thing")
+    data = [
+        (1, "network", "high", ["c2_pattern", "conn_count"], 8.25, "why"), (2, "process", "critical", ["cred_dump_pattern", "proc_spawn_count"], None, "why"), (3, "filesystem", "medium", ["file_create_count"], 9.0, ""),
+        (4, "user_activity", "low", ["conn_rate"], None, None), (5, "network", "critical", ["conn_rate", "tcp_ratio"], 0.0, "x" * 300),
+    ]
+    df = rows(spark, data, "id long, category string, severity string, f array<string>, score double, why string")
+    c, f = F.col("category"), F.col("f")
+    said, shown = alerts.explain(c, lambda n: F.when(F.array_contains(f, n), F.lit(60.0 if n.endswith("count") else 1.0)), F.coalesce("score", F.lit(0.0)), f)
+    out = df.select("id", alerts.alert_title(c, f, F.col("severity")).alias("t"), alerts.alert_description(c, f, F.col("why"), F.col("score")).alias("d"), said.alias("e"), shown.alias("v"), alerts.recommended_action(F.col("severity"), c, f).alias("a"))
+    got = {r["id"]: r for r in out.collect()}
+    assert [got[k]["t"] for k in (1, 2, 3, 4, 5)] == ["⚠️ Possible C2 Communication Detected", "⚠️ CRITICAL: Credential Theft Attempt", "⚠️ Mass File Modification Detected", "ML Anomaly: LOW - USER_ACTIVITY", "Suspicious Network Activity - CRITICAL"]
+    assert got[1]["d"] == "Repeated connections to same destination suggest Command & Control (C2) communication | Unusually high number of network connections detected | AI Analysis: Anomaly Detection: 8.3/10"
+    assert got[4]["d"] == "Multiple anomalous behaviors detected" and got[5]["d"] == "AI Analysis: Anomaly Detection: 0.0/10"
+    assert got[1]["e"] == ["Threat Level: 8.3/10", "⚠️ Possible Command & Control (C2) communication detected", "High network activity: 6000 connections"] and got[1]["v"] == ["Repeated connections to same destination with regular timing"]
+    assert got[2]["e"][1] == "Rapid process creation: 600 processes spawned" and got[4]["e"] == ["Multiple statistical anomalies detected"] and got[4]["v"] == ["Top features: conn_rate"]
+    assert got[3]["e"] == ["Threat Level: 9.0/10", "Mass file activity: 60 files created/modified"] and got[3]["a"].startswith("MONITOR: Track filesystem activity")
+    assert got[2]["a"].startswith("🚨 IMMEDIATE: CREDENTIAL THEFT") and got[5]["a"].startswith("IMMEDIATE: Isolate host from network") and got[4]["a"].startswith("LOG")
+
+
+def test_event_vectors(spark):
+    minute = 60_000_000
+    net = rows(spark, [("c", 1, 10, "8.8.8.8", 80, "TCP", 1.0, 2.0, 1, 1), ("c", 2, 20, "8.8.4.4", 53, "UDP", 1.0, 2.0, 11, 2)], "client_id string, id long, us long, dst_ip string, dst_port int, protocol string, bytes_sent double, bytes_recv double, conn_n long, ports_n long")
+    proc = rows(spark, [("c", 3, 30, "Mimikatz.exe", 50.0, 2500.0, "c:/windows/temp/", "cmd.exe")], "client_id string, id long, us long, name string, cpu_percent double, memory_mb double, path string, parent_name string")
+    file = rows(spark, [("c", 4, 40, ".exe", "h", "created"), ("c", 5, minute + 1, ".locked", "h", "created")], "client_id string, id long, us long, file_ext string, file_hash string, event_type string")
+    raw = features.windows(features.tagged_events(net, proc, file))
+    got = {}
+    for df in (features.network_vectors(net, raw), features.process_vectors(proc, raw), features.file_vectors(file, raw)):
+        got |= {r["id"]: dict(zip(features.FEATURES, r["vector"], strict=True)) for r in df.collect()}
+    set_ = lambda k: {n: round(v, 6) for n, v in got[k].items() if v}
+    assert set_(2) == {"conn_count": 0.02, "unique_dst_count": 1.0, "port_entropy": 1.0, "tcp_ratio": 0.5, "udp_ratio": 0.5, "conn_rate": 0.033333, "dst_churn_rate": 0.033333, "proc_spawn_count": 0.1, "file_create_count": 0.02, "delta_conn_count": 0.2, "c2_pattern": 1.0}
+    assert set_(3) == {"conn_count": 0.02, "proc_spawn_count": 0.1, "avg_proc_cpu": 0.5, "avg_proc_memory": 0.5, "unique_proc_names": 1.0, "file_create_count": 0.02, "file_exec_count": 1.0, "delta_proc_spawn": 0.1, "cred_dump_pattern": 1.0}
+    assert set_(4) == {"conn_count": 0.02, "proc_spawn_count": 0.1, "file_create_count": 0.02, "file_exec_count": 1.0, "file_hash_novelty": 1.0, "delta_file_create": 0.02, "delta_unique_hashes": 1.0}
+    assert set_(5) == {"file_create_count": 0.02, "delta_file_create": 0.02, "ransomware_burst": 1.0}
 
 
 def test_fleet_offline_and_ack(spark):
