@@ -16,7 +16,7 @@ and an earlier start). Strings never cross documents and are judged on the input
    Suffix order is constructed in linear grouping steps: groups of suffixes that share a Lyndon prefix are
    handled in descending order; pointers to the previous smaller suffix extend the groups before them; in the
    end each group's order is emitted from left to right. Ranks are never recomputed.
-   Anchors that are frequent in the sample, or have more than LIMIT kinds of surroundings, aren't gathered: Spark groups
+   Anchors that are very frequent in the sample, or have more than LIMIT kinds of surroundings, aren't gathered: Spark groups
    their strings by 128-bit digests. That bounds memory and changes no result.
 4. Removed intervals are merged per document and cut out.
 
@@ -49,8 +49,9 @@ SYMBOLS = (LEFT + RIGHT + SYMBOL - 1) // SYMBOL
 #: Kinds of surroundings of one anchor that are compared in one task, and those of one suffix array.
 LIMIT = 20_000
 BLOCK = 3_000
-#: Documents of the sample, and the anchors a hash must have there to be dealt out by its surroundings.
-SAMPLE, OFTEN = 2_000, 40
+#: Documents of the sample; the anchors a hash must have there to be dealt out by its surroundings; and to have its kinds
+#: of surroundings dealt out too (they are compared by digests then, which takes longer than a suffix array).
+SAMPLE, OFTEN, SPLIT = 2_000, 40, 200
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 257, dtype=np.uint64)
 _STEP = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & 0xFFFFFFFFFFFFFFFF | 1) for n in (1, 2, 4, 8, 16, 32, 64)}
@@ -423,13 +424,14 @@ def merged(row, size: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
-def frequent_anchors(rows: DataFrame) -> np.ndarray:
-    """Hashes with at least OFTEN anchors in about SAMPLE texts: at most as many as a 40th of the sample's anchors."""
+def frequent_anchors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with at least OFTEN anchors in about SAMPLE texts, at most a 40th of the sample's anchors; and with at least SPLIT."""
     share = min(1.0, SAMPLE / max(rows.count(), 1))
     kind = rows.schema["key"].dataType.simpleString()
     seen = rows.sample(share, 3).mapInPandas(_anchor_rows, f"h long, c long, key {kind}, place int")
-    often = seen.filter("place >= 0").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).select("h").toPandas()
-    return np.sort(often["h"].to_numpy(np.int64))
+    often = seen.filter("place >= 0").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).toPandas()
+    h = often["h"].to_numpy(np.int64)
+    return np.sort(h), np.sort(h[often["n"].to_numpy() >= SPLIT])
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -441,7 +443,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInPandas(_anchor_rows, f"h long, c long, key {kind}, place int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = frequent_anchors(rows)
+    hot, split = frequent_anchors(rows)
     # repeats that are known already go anywhere, and so do the kinds of surroundings of a frequent anchor
     deal = F.when(F.col("place") < 0, F.xxhash64("key", "place")).when(F.col("h").isin(hot.tolist()), F.xxhash64("h", "c")).otherwise(F.col("h"))
     dealt = found.repartition(parts, deal).sortWithinPartitions("h", "c", "key", "place").mapInPandas(lambda x: _sorted_out(x, hot), f"h long, key {kind}, place int, whole boolean")
@@ -449,8 +451,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     by_doc = stored(by_doc.select("key", "whole", F.col("at.h").alias("hs"), F.col("at.place").alias("at")))  # for the comparison and the result
     fetched = rows.join(by_doc.filter(F.size("at") > 0).select("key", "hs", "at"), "key").mapInPandas(_surroundings, f"h long, key {kind}, place int, low int, high int, around binary")
     spans = f"key {kind}, begin int, end int"
-    deal = F.when(F.col("h").isin(hot.tolist()), F.xxhash64("key", "place")).otherwise(F.col("h"))
-    compared = stored(fetched.repartition(parts, deal).sortWithinPartitions("h").mapInPandas(lambda x: _compared(x, hot), f"{spans}, s1 long, s2 long"))
+    deal = F.when(F.col("h").isin(split.tolist()), F.xxhash64("key", "place")).otherwise(F.col("h"))
+    compared = stored(fetched.repartition(parts, deal).sortWithinPartitions("h").mapInPandas(lambda x: _compared(x, split), f"{spans}, s1 long, s2 long"))
     large = compared.filter("s1 IS NOT NULL")
     first = large.groupBy("s1", "s2").agg(F.min(F.struct("key", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     large = large.join(first, ["s1", "s2"]).filter(F.struct("key", "begin") != F.col("first")).select("key", "begin", "end")

@@ -148,6 +148,7 @@ def repeated(texts, n=100):
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, limit, often):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
     monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", often)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 10)
     rng = random.Random(5)
     base, texts = ["".join(rng.choices("abcdé ", k=rng.randint(50, 400))) for _ in range(20)], []
