@@ -33,6 +33,8 @@ WEIGHTS: dict[str, dict[str, float]] = {
     "source": {"src0": 2.0},
 }
 BUCKETS = 256
+#: Leaves whose budgets are sent to all executors at most; more are joined by a shuffle.
+FEW_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -107,6 +109,8 @@ def _taken(rows: DataFrame, weights: Mapping[str, Mapping[str, float]], budget_s
     leaves = leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("leaf_tokens")), budget_share, max_epochs, weights)
     whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens") + 1e-12)).otherwise(F.lit(0)).cast("int")
     leaves = leaves.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens")).select(*leaf, "budget", "whole", "rest")
+    few = rows.select(*leaf).distinct().count() <= FEW_LEAVES  # a row per leaf goes to all executors, so that no leaf is one task
+    leaves = F.broadcast(leaves) if few else leaves
     # whole epochs take every document; the order of the one after them, of which a prefix is taken, is its own
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), *leaf, F.col("key").cast("string"))), 1, 12), 16, 10).cast("long")
     rows = rows.join(leaves, leaf).withColumn("place", place).withColumn("bucket", (F.col("place") / ((1 << 48) // buckets)).cast("int"))
