@@ -77,14 +77,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of a buffer, without a Python loop over words."""
+def words_of(data: bytes, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a buffer, without a Python loop over words. `breaks`: bytes that end a word."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64)
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~SPACES[b]
+    inside[1:-1] = ~breaks[b]
     edges = np.diff(inside)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     up, down = _powers(len(b) + 1)
