@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
+from ..sources.store import kept as stored
+
 HIDDEN = (64, 32, 8, 32, 64)
 
 
@@ -23,6 +26,7 @@ class Autoencoder:
     scale: np.ndarray
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float | None = None
+    moments: list | None = None
 
     @classmethod
     def fresh(cls, mean: np.ndarray, scale: np.ndarray, seed: int) -> Autoencoder:
@@ -50,9 +54,9 @@ class Autoencoder:
         return (self.forward(z)[-1] - z) ** 2
 
     def fit(self, x: np.ndarray, batch: int, rate: float, seed: int) -> None:
-        """One pass of Adam over x."""
+        """One pass of Adam over x, whose moments go on from the pass before."""
         z, rng = self.scaled(x), np.random.default_rng(seed)
-        m, v, t = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
+        m, v, t = self.moments or ([np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0)
         for rows in np.array_split(rng.permutation(len(z)), max(1, len(z) // batch)):
             layers = self.forward(z[rows])
             back = 2 * (layers[-1] - z[rows]) / layers[-1].size
@@ -65,6 +69,7 @@ class Autoencoder:
                     i = k + j
                     m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                     self.weights[i] = self.weights[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        self.moments = [m, v, t]
 
 
 def _array(s: pd.Series) -> np.ndarray:
@@ -73,7 +78,7 @@ def _array(s: pd.Series) -> np.ndarray:
 
 def train(matrix: DataFrame, epochs: int = 10, patience: int = 3, batch: int = 16, rate: float = 1e-3, seed: int = 42, share: float = 0.9) -> Autoencoder | None:
     """A fitted model, its threshold the given quantile of training errors; None for an empty matrix. A fifth of the rows
-    (by hash) validates; training ends after `patience` epochs without gain."""
+    (by hash) validates each epoch's weights; training ends after `patience` epochs without gain."""
     width = matrix.limit(1).select(F.size("vector")).first()
     if width is None:
         return None
@@ -82,7 +87,7 @@ def train(matrix: DataFrame, epochs: int = 10, patience: int = 3, batch: int = 1
     spark = matrix.sparkSession
     split = matrix.select("vector", (F.pmod(F.xxhash64("vector"), F.lit(5)) == 0).alias("validation")).persist()
     best, left, kept = np.inf, patience, model.weights
-    for epoch in range(epochs):
+    for epoch in range(epochs + 1):  # the last round only validates
         frozen = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], epoch=epoch, frozen=frozen) -> Iterator[pd.DataFrame]:
@@ -93,7 +98,7 @@ def train(matrix: DataFrame, epochs: int = 10, patience: int = 3, batch: int = 1
                 x, hold = _array(pdf["vector"]), pdf["validation"].to_numpy()
                 error += float(m.errors(x[hold]).mean(1).sum())
                 checked += int(hold.sum())
-                if (~hold).any():
+                if epoch < epochs and (~hold).any():
                     own.fit(x[~hold], batch, rate, seed + epoch)
                     rows += int((~hold).sum())
             yield pd.DataFrame({"rows": [rows], "error": [error], "checked": [checked], "weights": [np.concatenate([w.ravel() for w in own.weights]).tobytes()]})
@@ -102,23 +107,22 @@ def train(matrix: DataFrame, epochs: int = 10, patience: int = 3, batch: int = 1
         # weights of fixed size per task; summed on the executors before they come back
         summed = parts.groupBy((F.spark_partition_id() % 8).alias("g")).applyInPandas(_summed, "rows long, error double, checked long, weights binary").toPandas()
         total = _summed(summed) if len(summed) else None
-        if total is None or not total["rows"].iloc[0]:
+        if total is None:
             break
         error = total["error"].iloc[0] / max(1, total["checked"].iloc[0])
         if error < best - 1e-9:
             best, left, kept = error, patience, model.weights
         else:
             left -= 1
-            if not left:
-                break
+        if not left or not total["rows"].iloc[0]:
+            break
         flat, at, new = np.frombuffer(total["weights"].iloc[0]), 0, []
         for w in model.weights:
             new.append(flat[at : at + w.size].reshape(w.shape))
             at += w.size
         model = Autoencoder(model.mean, model.scale, new)
-        kept = new if epoch == 0 else kept
     model = Autoencoder(model.mean, model.scale, kept)
-    model.threshold = score(matrix, model).agg(F.percentile("ae_error", F.lit(share))).first()[0]
+    model.threshold = quantiles(stored(score(matrix, model).select("ae_error")), ["ae_error"], [share])["ae_error"][0]
     split.unpersist()
     return model
 

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
+from ..sources.store import kept
+
 
 def expected_depth(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search among n rows."""
@@ -51,18 +54,19 @@ def depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def train(matrix: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42) -> list[np.ndarray]:
-    """Trees of samples with replacement, drawn by Spark: a row joins a tree as often as a hash says."""
+    """Trees of samples with replacement, drawn by Spark: a row joins each tree with one chance, whatever the table's size.
+
+    One hash gives the first tree that a row joins, so that rows of none are done with it; the later trees have a hash each.
+    """
     n = matrix.count()
     if n == 0:
         return []
-    share = sample / n
+    chance = min(1 - 1e-12, 2.0 * sample / n)
     rows = matrix.select("vector", F.monotonically_increasing_id().alias("_row"))
     even = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), *salt, "vector", F.col("_row")), F.lit(1 << 30)) / float(1 << 30)
-    if 2.0 * sample * trees < 0.5 * n:  # far more rows than the trees need: a row joins one tree at most
-        drawn = rows.filter(even(F.lit(-1)) < 2.0 * share * trees).select("vector", F.floor(even(F.lit(-2)) * trees).cast("int").alias("tree"), even(F.lit(-3)).alias("u"))
-    else:
-        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), even(t).alias("u")))
-        drawn = rows.withColumn("d", F.explode(F.filter(draws, lambda x: x["u"] < min(1.0, 2.0 * share)))).select("vector", F.col("d.tree").alias("tree"), F.col("d.u").alias("u"))
+    joined = rows.withColumn("first", F.floor(F.log1p(-even(F.lit(-1))) / float(np.log1p(-chance))).cast("int")).filter(F.col("first") < trees)
+    later = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (t == F.col("first")) | ((t > F.col("first")) & (even(t) < chance)))
+    drawn = joined.withColumn("tree", F.explode(later)).select("vector", "tree", even(F.lit(-2), F.col("tree")).alias("u"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -94,4 +98,4 @@ def score(matrix: DataFrame, forest: list[np.ndarray], sample: int = 256, vector
 
 def threshold(scores: DataFrame, share: float = 0.1, name: str = "iso_score") -> float | None:
     """The score below which a share of the training rows lies."""
-    return scores.agg(F.percentile(name, F.lit(share))).first()[0]
+    return quantiles(kept(scores.select(name)), [name], [share])[name][0]

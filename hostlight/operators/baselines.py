@@ -5,10 +5,12 @@ Metrics are long rows (client_id, metric, us, id, value).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+from .scan import Bounded, Forgetting, scan
+
 KEY = ("client_id", "metric")
 
 
@@ -51,12 +53,7 @@ def zscore_detect(metrics: DataFrame, threshold: float = 2.5, sensitivity: float
 def ema(metrics: DataFrame, alpha: float = 0.95) -> DataFrame:
     """Adds ema: alpha times the average before plus the rest of the value, seeded by the first value."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"], ignore_index=True)
-        return pdf.assign(ema=pdf["value"].ewm(alpha=1 - alpha, adjust=False).mean())
-
-    schema = metrics.withColumn("ema", F.lit(0.0)).schema
-    return metrics.groupBy(*KEY).applyInPandas(run, schema)
+    return scan(metrics, KEY, [F.col("us"), F.col("id")], Forgetting(alpha))
 
 
 #: Variance above which sensitivity grows and below which it falls, by metric.
@@ -76,22 +73,19 @@ def adapt_sensitivity(metrics: DataFrame, last: int = 20) -> DataFrame:
     return out.withColumn("factor", factor).drop("_n")
 
 
-def adapted(sensitivity: float, factors: list[float]) -> float:
-    """A sensitivity after a sequence of factors, kept within 0.5 and 2."""
-    for f in factors:
-        sensitivity = min(2.0, max(0.5, sensitivity * f))
-    return sensitivity
+def running_sensitivity(metrics: DataFrame, start: float = 1.0, low: float = 0.5, high: float = 2.0, last: int = 20) -> DataFrame:
+    """Adds factor and sensitivity: the start times the factors of a client's metric up to the row, within bounds after each."""
+    return scan(adapt_sensitivity(metrics, last).withColumn("factor", F.col("factor").cast("double")), KEY, [F.col("us"), F.col("id")], Bounded(start, low, high))
 
 
 def iqr_clean(matrix: DataFrame, columns: list[str], times: float = 3.0, least: int = 20, remain: int = 15) -> DataFrame:
     """Rows within `times` interquartile ranges of the quartiles in every column; all rows if there are fewer than
-    `least`, or if fewer than `remain` would stay. Quartiles come from one pass over all columns."""
-    q = matrix.agg(F.count("*").alias("n"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
-    if q["n"] < least:
+    `least`, or if fewer than `remain` would stay. Quartiles are counted in passes over all columns at once."""
+    if matrix.limit(least).count() < least:
         return matrix
     test = F.lit(True)
-    for c in columns:
-        a, b = q[c]
-        test = test & F.col(c).between(a - times * (b - a), b + times * (b - a))
+    for c, (a, b) in quantiles(matrix, columns, [0.25, 0.75]).items():
+        if a is not None:
+            test = test & F.col(c).between(a - times * (b - a), b + times * (b - a))
     kept = matrix.filter(test)
     return kept if kept.limit(remain).count() >= remain else matrix

@@ -5,9 +5,11 @@ Points are per distinct score; cumulative counts run over distinct scores of a m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import Sums, numbered, scan
+
 
 def scaled_scores(df: DataFrame, score: str = "iso_score", epsilon: float = 1e-9) -> DataFrame:
     """Inverts scores (lower was odder) and scales them to 0..1."""
@@ -16,21 +18,22 @@ def scaled_scores(df: DataFrame, score: str = "iso_score", epsilon: float = 1e-9
 
 
 def roc_points(df: DataFrame) -> DataFrame:
-    """Per model and distinct score, descending: cumulative true and false positives and their rates (0 without a class)."""
-    grouped = df.groupBy("model", "score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
-    down = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("model")
-    out = grouped.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
+    """Per model and distinct score, descending: cumulative true and false positives and their rates (0 without a class).
+
+    Sums run in two phases over range-partitioned scores, so that a model of all rows isn't one task.
+    """
+    counts = F.count_if("label").cast("double").alias("p"), F.count_if(~F.col("label")).cast("double").alias("n")
+    grouped = df.groupBy("model", "score").agg(*counts)
+    totals = df.groupBy("model").agg(F.count_if("label").alias("all_p"), F.count_if(~F.col("label")).alias("all_n"))
+    running = scan(grouped, ["model"], [F.desc("score")], Sums(tp="p", fp="n"))
+    out = running.join(totals, "model").withColumns({c: F.col(c).cast("long") for c in ("p", "n", "tp", "fp")})
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumns({"tpr": rate("tp", "all_p"), "fpr": rate("fp", "all_n")})
 
 
 def auc(df: DataFrame) -> DataFrame:
     """Area under the curve by trapezoids, scores that tie together; null if a class is missing."""
-    points = roc_points(df)
-    order = Window.partitionBy("model").orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
-    slices = points.withColumn("area", (F.col("fp") - before("fp")) * (F.col("tp") + before("tp")) / 2.0)
+    slices = roc_points(df).withColumn("area", F.col("n") * (2 * F.col("tp") - F.col("p")) / 2.0)
     return slices.groupBy("model").agg((F.sum("area") / F.max(F.nullif(F.col("all_p") * F.col("all_n"), F.lit(0)))).alias("auc"))
 
 
@@ -44,9 +47,9 @@ def confusion(df: DataFrame, above: float = 5.0) -> DataFrame:
 
 def placeholder_labels(df: DataFrame, share: float = 0.9) -> DataFrame:
     """Rows after the first share of each model, in order of id, are anomalies."""
-    order = Window.partitionBy("model").orderBy("id")
-    n = F.count("*").over(Window.partitionBy("model"))
-    return df.withColumn("label", F.row_number().over(order) > F.floor(n * share))
+    sizes = df.groupBy("model").agg(F.count("*").alias("_n"))
+    ranked = numbered(df, ["model"], [F.col("id")], "_r").join(sizes, "model")
+    return ranked.withColumn("label", F.col("_r") > F.floor(F.col("_n") * share)).drop("_r", "_n")
 
 
 def summary(df: DataFrame, features: int, version: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FEATURES, RANSOMWARE_EXTENSIONS, SUSPICIOUS_PROCESSES
 from ..functions.scalars import clip, is_local_ip, is_privileged, is_remote
+from .carry import key_rows, runs
 
 WINDOW = 60_000_000
 
@@ -160,37 +163,46 @@ def user_vectors(logins: DataFrame) -> DataFrame:
     ).alias("vector"))
 
 
-def normalized(values: np.ndarray, last: int = 100, least: int = 20) -> np.ndarray:
-    """Robust scores of a column of numbers against its last values, the current one included.
+#: Rows whose histories are sorted at a time.
+SLICE = 128
 
-    Fewer than `least`: clipped to 3. Else by median and MAD, or by range if the MAD is 0, or 0.
-    """
-    out = np.clip(values, -3, 3)
-    n = len(values)
-    for begin in range(least - 1, n):  # one slice per row; whole columns at a time once the history is full
-        if begin >= last - 1:
-            break
-        h = values[: begin + 1]
-        out[begin] = _robust(values[begin : begin + 1], h[None, :])[0]
-    if n >= last:
-        view = np.lib.stride_tricks.sliding_window_view(values, last)
-        for a in range(0, len(view), 4096):
-            out[last - 1 + a : last - 1 + a + len(view[a : a + 4096])] = _robust(values[last - 1 + a : last - 1 + a + 4096], view[a : a + 4096])
-    return out
 
+def normalized(values: np.ndarray, last: int = 100, least: int = 20, first: np.ndarray | None = None) -> np.ndarray:
+    """Robust scores of numbers (rows by columns, or one column) against their last values, the current one included.
 
-def _robust(x: np.ndarray, history: np.ndarray) -> np.ndarray:
-    median = np.median(history, axis=1)
-    mad = np.median(np.abs(history - median[:, None]), axis=1)
-    low, high = history.min(1), history.max(1)
-    spread = high - low
-    return np.where(mad > 1e-6, (x - median) / (1.4826 * np.maximum(mad, 1e-12)), np.where(spread > 1e-6, (x - low) / np.maximum(spread, 1e-12), 0.0))
+    `first` is the row at which each row's history begins, by default the first one. Fewer than `least` values: clipped
+    to 3. Else by median and MAD, or by range if the MAD is 0, or 0. Histories are padded with NaN, which sorts last.
+    """
+    x = np.asarray(values, float)
+    if x.ndim == 1:
+        return normalized(x[:, None], last, least, first)[:, 0]
+    n = len(x)
+    out = np.clip(x, -3, 3)
+    begin = np.maximum(np.zeros(n, np.int64) if first is None else first, np.arange(n) - last + 1)
+    size = np.arange(n) - begin + 1
+    padded = np.concatenate([np.full((last - 1, x.shape[1]), np.nan), x])
+    rows = np.flatnonzero(size >= least)
+    for a in range(0, len(rows), SLICE):
+        at = rows[a : a + SLICE]
+        place = at[:, None] + np.arange(last)  # in padded: the last rows up to each
+        history = np.moveaxis(padded[place], 1, 2)
+        history = np.where((place - (last - 1) >= begin[at][:, None])[:, None, :], history, np.nan)
+        history.sort(axis=2)
+        k = size[at][:, None]
+        middle = lambda h, k=k: (np.take_along_axis(h, ((k - 1) // 2)[:, :, None], 2) + np.take_along_axis(h, (k // 2)[:, :, None], 2))[:, :, 0] / 2
+        median, low = middle(history), history[:, :, 0]
+        high = np.take_along_axis(history, (k - 1)[:, :, None], 2)[:, :, 0]
+        mad = middle(np.sort(np.abs(history - median[:, :, None]), axis=2))
+        spread = high - low
+        out[at] = np.where(mad > 1e-6, (x[at] - median) / (1.4826 * np.maximum(mad, 1e-12)), np.where(spread > 1e-6, (x[at] - low) / np.maximum(spread, 1e-12), 0.0))
+    return out
 
 
 def robust_normalize(found: DataFrame, columns: tuple[str, ...] = FEATURES, last: int = 100, chunk: int | None = None) -> DataFrame:
     """Columns replaced by their robust scores per client in window order.
 
-    With `chunk`, a client's windows are split into that many per task, each with the last - 1 windows before it.
+    Tasks stream through sorted rows and carry the last - 1 rows of the open client. With `chunk`, a client's windows
+    are split into that many per key, each with the last - 1 windows before it, so that a busy client isn't one task.
     """
     cols = list(columns)
     order = Window.partitionBy("client_id").orderBy("window_us")
@@ -201,13 +213,26 @@ def robust_normalize(found: DataFrame, columns: tuple[str, ...] = FEATURES, last
         found = numbered.withColumn("_part", part).withColumn("_for", F.explode(copies)).drop("_place")
     else:
         found = found.withColumns({"_part": F.lit(0), "_for": F.lit(0)})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_us", ignore_index=True)
-        for c in cols:
-            pdf[c] = normalized(pdf[c].fillna(0.0).to_numpy(float), last)
-        return pdf[pdf["_part"] == pdf["_for"]]
-
-    return found.groupBy("client_id", "_for").applyInPandas(run, found.schema).drop("_part", "_for")
-
-
+    keys = ("client_id", "_for")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, carried = None, np.empty((0, len(cols)))
+        for pdf in batches:
+            spans = list(runs(key_rows(pdf, keys)))
+            if not spans:
+                continue
+            if spans[0][0] != open_key:
+                carried = carried[:0]
+            x = np.concatenate([carried, pdf[cols].fillna(0.0).to_numpy(float)])
+            ahead = len(carried)
+            first = np.zeros(len(x), np.int64)
+            for _, a, b in spans[1:]:
+                first[ahead + a : ahead + b] = ahead + a
+            scores = normalized(x, last, first=first)[ahead:]
+            open_key, at, _ = spans[-1]
+            carried = x[max(ahead + at if len(spans) > 1 else 0, len(x) - last + 1) :]
+            pdf = pdf.assign(**{c: scores[:, k] for k, c in enumerate(cols)})
+            yield pdf[pdf["_part"] == pdf["_for"]]
+
+    dealt = found.repartition(*keys).sortWithinPartitions(*keys, "window_us")
+    return dealt.mapInPandas(run, found.schema).drop("_part", "_for")

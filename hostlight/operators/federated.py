@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import WEIGHT_KEYS
+from ..sources.store import kept
+from .carry import fold
+from .scan import numbered
 
 
 def validate(updates: DataFrame) -> DataFrame:
@@ -62,35 +65,35 @@ def quality(samples: Column, variance: Column, rate: Column) -> Column:
     return F.least(F.lit(2.0), volume * variety * F.least(1 + rate / 2, F.lit(1.3)))
 
 
+def reputation_step(state: dict, norm: float, clipped: bool, quarantined: bool) -> tuple[float, float, int]:
+    """Reputation, mean norm and clips after a client's next update; the state starts with reputation 1."""
+    r = state.get("r", 1.0)
+    state["n"] = state.get("n", 0) + 1
+    if not clipped and norm < 5:
+        r = min(2.0, r * 1.02)
+    if state["n"] > 10:
+        r = min(2.0, r * 1.01)
+    if clipped:
+        r = max(0.1, r * 0.98)
+    if quarantined:
+        r = max(0.1, r * 0.90)
+    if norm > 10:
+        r = max(0.1, r * 0.95)
+    state.update(r=r, sum=state.get("sum", 0.0) + norm, clips=state.get("clips", 0) + bool(clipped))
+    return r, state["sum"] / state["n"], state["clips"]
+
+
 def reputation_steps(norms: Sequence[float], clipped: Sequence[bool], quarantined: Sequence[bool]) -> list[float]:
     """Reputation after each update of a client, in order, from 1."""
-    r, out = 1.0, []
-    for k, (n, c, q) in enumerate(zip(norms, clipped, quarantined, strict=True), 1):
-        if not c and n < 5:
-            r = min(2.0, r * 1.02)
-        if k > 10:
-            r = min(2.0, r * 1.01)
-        if c:
-            r = max(0.1, r * 0.98)
-        if q:
-            r = max(0.1, r * 0.90)
-        if n > 10:
-            r = max(0.1, r * 0.95)
-        out.append(r)
-    return out
+    state: dict = {}
+    return [reputation_step(state, n, c, q)[0] for n, c, q in zip(norms, clipped, quarantined, strict=True)]
 
 
 def reputation(contributions: DataFrame, quarantine_on: str = "post_norm", above: float = 15.0) -> DataFrame:
-    """Adds was_quarantined, reputation, mean_norm and clips per client in time order (us)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", ignore_index=True)
-        bad = pdf[quarantine_on] > above
-        steps = reputation_steps(pdf["post_norm"].tolist(), pdf["was_clipped"].tolist(), bad.tolist())
-        return pdf.assign(was_quarantined=bad, reputation=steps, mean_norm=pdf["post_norm"].expanding().mean(), clips=pdf["was_clipped"].cumsum().astype("int64"))
-
-    schema = contributions.withColumns({"was_quarantined": F.lit(True), "reputation": F.lit(0.0), "mean_norm": F.lit(0.0), "clips": F.lit(0).cast("long")}).schema
-    return contributions.groupBy("client_id").applyInPandas(run, schema)
+    """Adds was_quarantined, reputation, mean_norm and clips per client in time order (us); computed once and kept."""
+    rows = contributions.withColumn("was_quarantined", F.coalesce(F.col(quarantine_on) > above, F.lit(False)))
+    out = {"reputation": "double", "mean_norm": "double", "clips": "long"}
+    return kept(fold(rows, ["client_id"], ["post_norm", "was_clipped", "was_quarantined"], dict, reputation_step, out, ("us",)))
 
 
 def client_weights(updates: DataFrame, older: bool = False) -> DataFrame:
@@ -116,13 +119,16 @@ def fed_avg(long: DataFrame, samples: str | None = None) -> DataFrame:
 
 
 def trimmed_mean(long: DataFrame, share: float = 0.1, weight: str | None = None) -> DataFrame:
-    """Mean of each round and key without the k = max(1, floor(share n)) largest and smallest, if n > 2k; ties by client."""
-    w = Window.partitionBy("round", "key")
-    ranked = long.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy("value", "client_id"))})
+    """Mean of each round and key without the k = max(1, floor(share n)) largest and smallest, if n > 2k; ties by client.
+
+    Ranks come from one range partitioning of all values, so no task holds the clients of a round and key.
+    """
+    sizes = long.groupBy("round", "key").agg(F.count("*").alias("_n"))
+    ranked = numbered(long, ["round", "key"], [F.col("value"), F.col("client_id")], "_r").join(sizes, ["round", "key"])
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    kept = ranked.filter((F.col("_n") <= 2 * k) | ((F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k)))
+    inner = ranked.filter((F.col("_n") <= 2 * k) | ((F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k)))
     mean = F.avg("value") if weight is None else F.sum(F.col("value") * F.col(weight)) / F.sum(weight)
-    return kept.groupBy("round", "key").agg(mean.alias("value"), F.count("*").alias("kept"))
+    return inner.groupBy("round", "key").agg(mean.alias("value"), F.count("*").alias("kept"))
 
 
 def clamp(key: Column, value: Column) -> Column:

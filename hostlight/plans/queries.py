@@ -260,9 +260,12 @@ def w3_zscore_detect(spark, sf_dir):
     return out.withColumn("z", F.coalesce(F.round("z", 5), F.lit(-999.0)))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY client_id, metric ORDER BY us, id) AS k FROM ({_METRICS}) y),
+    r AS (SELECT client_id, metric, us, id, k, value AS ema FROM m WHERE k = 1
+        UNION ALL SELECT m.client_id, m.metric, m.us, m.id, m.k, CAST(0.95 AS DOUBLE) * r.ema + CAST(0.05 AS DOUBLE) * m.value FROM r JOIN m ON m.client_id = r.client_id AND m.metric = r.metric AND m.k = r.k + 1)
+    SELECT client_id, metric, us, id, round(ema + 1e-9, 6) AS ema FROM r""")  # values with few digits would be ties
 def w4_ema(spark, sf_dir):
-    return baselines.ema(metrics(spark, sf_dir))
+    return rounded(baselines.ema(metrics(spark, sf_dir)).select("client_id", "metric", "us", "id", (F.col("ema") + 1e-9).alias("ema")), "ema")
 
 
 @query()
@@ -278,6 +281,17 @@ def w6_adapt_sensitivity(spark, sf_dir):
     return baselines.adapt_sensitivity(m).select("id", F.col("factor").cast("double").alias("factor"))
 
 
+@query(f"""WITH RECURSIVE y AS (SELECT client_id, CASE WHEN event_type IN ('click', 'view') THEN 'network' ELSE 'process' END AS metric, us, event_id AS id, value / 20 AS value FROM e),
+    x AS (SELECT client_id, metric, id, row_number() OVER w AS k, var_pop(value) OVER (PARTITION BY client_id, metric ORDER BY us, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM y WINDOW w AS (PARTITION BY client_id, metric ORDER BY us, id)),
+    f AS (SELECT client_id, metric, id, k, CAST(CASE WHEN k <= 20 THEN 1.0 WHEN metric = 'network' AND v > 15 THEN 1.05 WHEN metric = 'network' AND v < 3 THEN 0.95 WHEN metric = 'process' AND v > 8 THEN 1.05 WHEN metric = 'process' AND v < 2 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS factor FROM x),
+    r AS (SELECT client_id, metric, id, k, least(2.0, greatest(0.5, factor)) AS sensitivity FROM f WHERE k = 1
+        UNION ALL SELECT f.client_id, f.metric, f.id, f.k, least(2.0, greatest(0.5, r.sensitivity * f.factor)) FROM r JOIN f ON f.client_id = r.client_id AND f.metric = r.metric AND f.k = r.k + 1)
+    SELECT id, round(sensitivity, 6) AS sensitivity FROM r""")
+def w6_running_sensitivity(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumns({"metric": F.when(F.col("metric").isin("click", "view"), "network").otherwise("process"), "value": F.col("value") / 20})
+    return rounded(baselines.running_sensitivity(m).select("id", "sensitivity"), "sensitivity")
+
+
 @query(f"SELECT id, creations, round(CASE WHEN creations > 3 THEN least(10.0, risk_score + 2) ELSE risk_score END, 6) AS boosted FROM (SELECT *, count(CASE WHEN event_type = 'created' THEN 1 END) OVER (PARTITION BY client_id ORDER BY us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS creations FROM filesystem_data) x", "filesystem_data")
 def w7_rapid_creation(spark, sf_dir):
     return rounded(detectors.rapid_creation_boost(telemetry(spark, sf_dir)["filesystem_data"], 3, DAY).select("id", "creations", "boosted"), "boosted")
@@ -297,7 +311,11 @@ def w9_running_history(spark, sf_dir):
     return fleet.running_history(telemetry(spark, sf_dir)["network_data"]).select("id", "conn_n", "ports_n")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT id, client_id, us, row_number() OVER (PARTITION BY client_id ORDER BY us, id) AS k FROM alerts),
+    r AS (SELECT id, client_id, k, true AS kept, [us] AS times FROM x WHERE k = 1
+        UNION ALL SELECT x.id, x.client_id, x.k, len(t.live) < 2, CASE WHEN len(t.live) < 2 THEN list_append(t.live, x.us) ELSE t.live END
+        FROM r JOIN x ON x.client_id = r.client_id AND x.k = r.k + 1, LATERAL (SELECT list_filter(r.times, lambda u: u > x.us - 3600000000) AS live) t)
+    SELECT id, kept FROM r""", "alerts")
 def w10_rate_limit(spark, sf_dir):
     return dedup.rate_limit(telemetry(spark, sf_dir)["alerts"], 2, 3_600_000_000).select("id", "kept")
 
@@ -606,17 +624,42 @@ def al3_normalize_ml(spark, sf_dir):
     return rounded(alerts.normalize_ml(_ml_alerts(spark, sf_dir)).select("id", "severity", "alert_risk", "alert_type"), "alert_risk")
 
 
-@query()
+def _ttl_sql(name: str, source: str, ttl: dict[str, int]) -> str:
+    """CTEs that fold `source` (id, us, severity, signature) in time: `name` has id and kept."""
+    span = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ttl.items()) + " ELSE 180 END * 1000000"
+    return f"""{name}_x AS (SELECT id, us, signature, {span} AS span, row_number() OVER (PARTITION BY signature ORDER BY us, id) AS k FROM {source}),
+    {name} AS (SELECT id, signature, k, true AS kept, us + span AS expiry FROM {name}_x WHERE k = 1
+        UNION ALL SELECT x.id, x.signature, x.k, r.expiry < x.us, CASE WHEN r.expiry < x.us THEN x.us + x.span ELSE r.expiry END FROM {name} r JOIN {name}_x x ON x.signature = r.signature AND x.k = r.k + 1)"""
+
+
+_NAMES = "[" + ", ".join(f"'{n}'" for n in FEATURES) + "]"
+_ML = f"""SELECT id, client_id, us, severity, source_category AS category, CASE WHEN id % 3 = 0 THEN risk_score ELSE least(10.0, risk_score / 12 * 10) END AS alert_risk,
+    list_transform([0, 5, 11], lambda k: ({_NAMES})[CAST((id + k) % {len(FEATURES)} AS INT) + 1]) AS features FROM alerts"""
+
+
+def _group_sql(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({name}, '{w}')" for w in words)} THEN '{group}'" for group, words in scalars.GROUPS.items()) + " ELSE 'other' END"
+
+
+@query(f"""WITH RECURSIVE ml AS ({_ML}), signed AS (SELECT *, concat_ws('_', client_id, category, severity, array_to_string(list_sort(features), ',')) AS signature FROM ml), {_ttl_sql("once", "signed", {"critical": 600, "high": 300, "medium": 180, "low": 60})}
+    SELECT s.id, s.signature, s.severity, round(s.alert_risk, 6) AS alert_risk FROM signed s JOIN once o ON o.id = s.id WHERE o.kept AND s.alert_risk > 4""", "alerts")
 def al4_server_dedup(spark, sf_dir):
-    return alerts.server_ml_alerts(alerts.normalize_ml(_ml_alerts(spark, sf_dir))).select("id", "signature", "severity", "alert_risk")
+    return rounded(alerts.server_ml_alerts(alerts.normalize_ml(_ml_alerts(spark, sf_dir))).select("id", "signature", "severity", "alert_risk"), "alert_risk")
 
 
-@query()
+@query(f"""WITH RECURSIVE ml AS ({_ML}), signed AS (SELECT *, concat_ws('_', client_id, 'system', severity, array_to_string(list_sort(features), ',')) AS signature FROM ml), {_ttl_sql("once", "signed", {"critical": 300, "high": 180, "medium": 120, "low": 60})},
+    grouped AS (SELECT ml.id, us, severity, concat_ws('_', client_id, severity, category, array_to_string(list_sort(list_distinct(list_transform(features, lambda f: {_group_sql("f")})))[1:3], ',')) AS signature FROM ml JOIN once ON once.id = ml.id WHERE once.kept),
+    {_ttl_sql("twice", "grouped", {"critical": 300, "high": 180, "medium": 120, "low": 60})}
+    SELECT g.id, g.signature, g.severity FROM grouped g JOIN twice t ON t.id = g.id WHERE t.kept""", "alerts")
 def al5_agent_dedup(spark, sf_dir):
     return alerts.agent_alerts(alerts.normalize_ml(_ml_alerts(spark, sf_dir))).select("id", "signature", "severity")
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT id, client_id, concat_ws('_', category, upper(severity)) AS signature, row_number() OVER (PARTITION BY client_id ORDER BY us, id) AS k FROM ({_ML}) ml),
+    r AS (SELECT id, client_id, k, true AS kept, [signature] AS recent FROM x WHERE k = 1
+        UNION ALL SELECT x.id, x.client_id, x.k, NOT list_contains(r.recent, x.signature), CASE WHEN list_contains(r.recent, x.signature) THEN r.recent ELSE list_append(r.recent, x.signature)[-10:] END
+        FROM r JOIN x ON x.client_id = r.client_id AND x.k = r.k + 1)
+    SELECT id, kept FROM r""", "alerts")
 def al6_recent_dedup(spark, sf_dir):
     signed = _ml_alerts(spark, sf_dir).withColumn("signature", F.concat_ws("_", "category", "severity"))
     return dedup.recent_dedup(signed).select("id", "kept")
