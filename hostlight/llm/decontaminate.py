@@ -101,7 +101,7 @@ def search(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int,
     shown[0] = True
     shown |= ends
     breaks = known & ends
-    place = np.cumsum(shown + breaks) - breaks - 1
+    place = np.cumsum(shown.astype(np.int64) + breaks) - breaks - 1
     symbols = np.zeros(int(shown.sum() + breaks.sum()) + 1, np.int64)
     word_at = np.zeros(len(symbols), np.int64)
     symbols[place[known]] = number[known]
@@ -137,15 +137,15 @@ def search(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int,
     return counts, spans, items
 
 
-def _merged(spans: list[dict]) -> list[dict]:
-    """Spans that overlap as one."""
-    out: list[dict] = []
+def _merged(spans):
+    """Spans that overlap or touch as one."""
+    out = []
     for s in sorted(spans, key=lambda s: s["first"]):
         if out and s["first"] <= out[-1]["last"] + 1:
             if s["last"] > out[-1]["last"]:
                 out[-1] |= {"last": s["last"], "end": s["end"]}
         else:
-            out.append(dict(s))
+            out.append({k: s[k] for k in ("first", "last", "begin", "end")})
     return out
 
 

@@ -35,7 +35,7 @@ def suffix_order(symbols: np.ndarray, bits: int) -> np.ndarray:
     """
     n, step = len(symbols), max(1, 62 // bits)
     key, alive, full = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
-    for k in range(step):
+    for k in range(min(step, n)):  # the end separates
         ahead = np.zeros(n, np.int64)
         ahead[: n - k] = symbols[k:]
         alive &= ahead > 0  # past a separator there is nothing
