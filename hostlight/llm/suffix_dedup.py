@@ -49,6 +49,8 @@ SYMBOLS = (LEFT + RIGHT + SYMBOL - 1) // SYMBOL
 #: Kinds of surroundings of one anchor that are compared in one task, and those of one suffix array.
 LIMIT = 20_000
 BLOCK = 3_000
+#: Strings of a frequent anchor that are compared together at first.
+TOGETHER = 16
 #: Documents of the sample; the anchors a hash must have there to be dealt out by its surroundings; and to have its kinds
 #: of surroundings dealt out too (they are compared by digests then, which takes longer than a suffix array).
 SAMPLE, OFTEN, SPLIT = 2_000, 40, 200
@@ -326,8 +328,28 @@ def _spans(repeated: np.ndarray, key: np.ndarray, place: np.ndarray) -> pd.DataF
     return pd.DataFrame({"key": key[row], "begin": place[row] - LEFT + a, "end": place[row] - LEFT + b - 1 + LENGTH})
 
 
+def _digest(b: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(b, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The strings in runs of them, by digest."""
+    columns = ["key", "begin", "end", "s1", "s2"]
+    for pdf in batches:
+        out = [(key, begin + k, begin + k + LENGTH, *_digest(part[k : k + LENGTH])) for key, begin, part in zip(pdf["key"], pdf["begin"], pdf["part"], strict=True) for k in range(len(part) - LENGTH + 1)]
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _firsts(strings: DataFrame) -> DataFrame:
+    """Per digest that occurs more than once: the first place."""
+    first = strings.groupBy("s1", "s2").agg(F.min(F.struct("key", "begin")).alias("first"), F.count("*").alias("n"))
+    return first.filter("n > 1").drop("n")
+
+
 def _compared(batches: Iterator[pd.DataFrame], hot: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """Rows (h, key, place, low, high, around) sorted by h: repeated spans, or strings of large groups and of `hot` by digest."""
+    """Rows (h, key, place, low, high, around) sorted by h: repeated spans, or, of large groups and of `hot`, runs of up to
+    TOGETHER strings by digest, with their bytes."""
     open_rows: list[pd.DataFrame] = []
     columns = ["key", "begin", "end", "s1", "s2"]
 
@@ -335,15 +357,19 @@ def _compared(batches: Iterator[pd.DataFrame], hot: np.ndarray | None = None) ->
         around = np.frombuffer(b"".join(frame["around"]), np.uint8).reshape(len(frame), LEFT + RIGHT)
         key, place = frame["key"].to_numpy(), frame["place"].to_numpy().astype(np.int64)
         found = repeats(around, frame["low"].to_numpy(), frame["high"].to_numpy(), key, place)
-        yield _spans(found, key, place).assign(s1=None, s2=None)[columns]
+        yield _spans(found, key, place).assign(s1=None, s2=None, part=None)[[*columns, "part"]]
 
     def hashed(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = []
         for low, high, around, key, place in zip(frame["low"], frame["high"], frame["around"], frame["key"], frame["place"], strict=True):
-            at = [t for t in range(LEFT + 1) if t <= low and LENGTH - t <= high]
-            sums = [hashlib.blake2b(around[LEFT - t : LEFT - t + LENGTH], digest_size=16).digest() for t in at]
-            two = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-            begin = place - np.array(at, np.int64)
-            yield pd.DataFrame({"key": key, "begin": begin, "end": begin + LENGTH, "s1": two[:, 0], "s2": two[:, 1]})[columns]
+            begin, end = max(0, LEFT - low), min(LEFT, LEFT + high - LENGTH)  # where the first and the last string begin in `around`
+            a = begin
+            while a <= end:  # runs end at the same offsets from the anchor in all texts
+                stop = min(a + TOGETHER - 1 - a % TOGETHER, end)
+                part = around[a : stop + LENGTH]
+                out.append((key, place - LEFT + a, place - LEFT + a + len(part), *_digest(part), part))
+                a = stop + 1
+        yield pd.DataFrame(out, columns=[*columns, "part"])
 
     def ended(rows: list[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
         """Handles complete groups; gives back nothing and leaves the last, perhaps open, group in open_rows."""
@@ -452,11 +478,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fetched = rows.join(by_doc.filter(F.size("at") > 0).select("key", "hs", "at"), "key").mapInPandas(_surroundings, f"h long, key {kind}, place int, low int, high int, around binary")
     spans = f"key {kind}, begin int, end int"
     deal = F.when(F.col("h").isin(split.tolist()), F.xxhash64("key", "place")).otherwise(F.col("h"))
-    compared = stored(fetched.repartition(parts, deal).sortWithinPartitions("h").mapInPandas(lambda x: _compared(x, split), f"{spans}, s1 long, s2 long"))
-    large = compared.filter("s1 IS NOT NULL")
-    first = large.groupBy("s1", "s2").agg(F.min(F.struct("key", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    large = large.join(first, ["s1", "s2"]).filter(F.struct("key", "begin") != F.col("first")).select("key", "begin", "end")
-    more = compared.filter("s1 IS NULL").select("key", "begin", "end").unionByName(large)
+    compared = stored(fetched.repartition(parts, deal).sortWithinPartitions("h").mapInPandas(lambda x: _compared(x, split), f"{spans}, s1 long, s2 long, part binary"))
+    # a run of strings that stands earlier goes whole; the strings of the other runs, the first of each kind, are looked up alone
+    runs = compared.filter("s1 IS NOT NULL")
+    placed = runs.join(_firsts(runs.drop("part")), ["s1", "s2"], "left").withColumn("again", F.coalesce(F.struct("key", "begin") != F.col("first"), F.lit(False)))
+    strings = placed.filter("NOT again").select("key", "begin", "part").mapInPandas(_single, f"{spans}, s1 long, s2 long")
+    single = strings.join(_firsts(strings), ["s1", "s2"]).filter(F.struct("key", "begin") != F.col("first"))
+    more = compared.filter("s1 IS NULL").select("key", "begin", "end")
+    for found in (placed.filter("again"), single):
+        more = more.unionByName(found.select("key", "begin", "end"))
     more = more.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
     both = by_doc.filter(F.size("whole") > 0).select("key", "whole").join(more, "key", "full")
     none = F.array().cast("array<int>")
