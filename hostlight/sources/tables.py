@@ -51,11 +51,21 @@ _EVENTS = "SELECT event_id, user_id, event_type, value, 'client_' || CAST(user_i
 
 def telemetry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The telemetry tables by name, and `events` with client_id and us."""
-    raw = {name: read(spark, sf_dir, name) for name in ("events", "customer")}
-    e = spark.sql(_EVENTS.format(us="unix_micros(CAST(ts AS TIMESTAMP))", events="{events}"), events=raw["events"])
-    out = {"events": e}
+    return derived(with_time(read(spark, sf_dir, "events")), read(spark, sf_dir, "customer"))
+
+
+def with_time(events: DataFrame) -> DataFrame:
+    """Given events with client_id and us."""
+    return events.sparkSession.sql(_EVENTS.format(us="unix_micros(CAST(ts AS TIMESTAMP))", events="{events}"), events=events)
+
+
+def derived(e: DataFrame, customer: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The telemetry tables of events with client_id and us; `clients` only with the customers."""
+    spark, out = e.sparkSession, {"events": e}
     for name, text in VIEWS.items():
-        named = {"e": e} | ({"customer": raw["customer"]} if "customer" in text else {})
+        if "customer" in text and customer is None:
+            continue
+        named = {"e": e} | ({"customer": customer} if "customer" in text else {})
         for frame in named:
             text = text.replace(f"FROM {frame} ", f"FROM {{{frame}}} ").replace(f"FROM {frame})", f"FROM {{{frame}}})")
         if text.endswith("FROM e"):
