@@ -88,6 +88,14 @@ RANSOMWARE_EXTENSIONS = (
 )
 
 #: Seconds during which an alert suppresses its like.
+#: Processes of low risk that aren't reported.
+TRUSTED_PROCESSES = (
+    "explorer.exe", "chrome.exe", "firefox.exe", "msedge.exe", "brave.exe", "opera.exe", "vivaldi.exe", "iexplore.exe",
+    "code.exe", "pycharm64.exe", "notepad.exe", "notepad++.exe", "python.exe", "pythonw.exe", "node.exe", "java.exe", "javaw.exe",
+    "conhost.exe", "cmd.exe", "powershell.exe", "svchost.exe", "dwm.exe", "csrss.exe", "wininit.exe", "services.exe", "taskmgr.exe", "taskhostw.exe", "sihost.exe",
+    "discord.exe", "slack.exe", "teams.exe", "zoom.exe", "outlook.exe", "thunderbird.exe",
+    "spotify.exe", "vlc.exe", "winamp.exe", "foobar2000.exe", "steam.exe", "epicgameslauncher.exe", "origin.exe", "dropbox.exe", "onedrive.exe", "googledrivesync.exe",
+)
 SERVER_TTL = {"critical": 600, "high": 300, "medium": 180, "low": 60}
 AGENT_TTL = {"critical": 300, "high": 180, "medium": 120, "low": 60}
 OTHER_TTL = 180

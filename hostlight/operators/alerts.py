@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import alert_texts as texts
 from ..functions.fixed import AGENT_TTL, RANSOMWARE_EXTENSIONS, SERVER_TTL
 from ..functions.scalars import feature_group
+from .carry import fold
 from .dedup import signature, ttl_dedup
 
 TEXT = ("client_id", "id", "us", "severity", "alert_risk", "source_category", "title", "description")
@@ -38,14 +39,54 @@ def threshold_alerts(network: DataFrame, process: DataFrame, filesystem: DataFra
     return network_alerts(network).unionByName(process_alerts(process)).unionByName(file_alerts(filesystem))
 
 
-def gated_alerts(network: DataFrame, process: DataFrame, filesystem: DataFrame) -> DataFrame:
+def with_last_model(events: DataFrame, findings: DataFrame, within: int = 60_000_000) -> DataFrame:
+    """Adds ml: whether the client's last model finding (client_id, us), at the event's time or before, is recent enough.
+
+    Findings and events are one sorted stream per client, through which the last finding is carried; nothing is joined.
+    """
+    both = events.withColumns({"_event": F.lit(1), "_order": F.col("id")}).unionByName(findings.select("client_id", "us", F.lit(0).alias("_event"), F.lit(0).cast("long").alias("_order")), allowMissingColumns=True)
+
+    def step(last: dict, us: int, event: int) -> tuple[bool]:
+        if not event:
+            last["us"] = us
+            return (False,)
+        return ("us" in last and us - last["us"] <= within,)
+
+    return fold(both, ["client_id"], ["us", "_event"], dict, step, {"ml": "boolean"}, ("us", "_event", "_order")).filter("_event = 1").drop("_event", "_order")
+
+
+def gated_alerts(network: DataFrame, process: DataFrame, filesystem: DataFrame, ml: str = "is_anomaly") -> DataFrame:
     """By detection method: network above 7 with a model finding or above 8.5; processes and files above 7."""
     r = F.col("risk_score")
-    net = network.filter(((r > 7) & F.col("is_anomaly")) | (r > 8.5)).select("client_id", "id", "us", F.lit("network").alias("source_category"), F.when(r > 8, "high").otherwise("medium").alias("severity"), r.alias("alert_risk"))
-    rest = lambda df, name: df.filter(r > 7).select("client_id", "id", "us", F.lit(name).alias("source_category"), F.when(r > 8.5, "critical").otherwise("high").alias("severity"), r.alias("alert_risk"))
+    method = F.when(F.col(ml), "ML").otherwise("RULE")
+    text = F.concat(F.lit("Connection: "), "dst_ip", F.lit(":"), F.col("dst_port").cast("string"), F.lit(" ("), "protocol", F.lit(") | Detection: "), method)
+    net = network.filter(((r > 7) & F.col(ml)) | (r > 8.5)).select("client_id", "id", "us", F.lit("network").alias("source_category"), F.when(r > 8, "high").otherwise("medium").alias("severity"), r.alias("alert_risk"), text.alias("description"))
+    named = {"process": F.concat(F.lit("Process: "), "name", F.lit(" (PID: "), F.col("pid").cast("string"), F.lit(") | Path: "), F.coalesce("path", F.lit("unknown"))), "filesystem": F.concat(F.lit("File: "), "file_name", F.lit(" ("), "file_ext", F.lit(") | Hash: "), F.coalesce(F.substring("file_hash", 1, 16), F.lit("N/A")))}
+    rest = lambda df, name: df.filter(r > 7).select("client_id", "id", "us", F.lit(name).alias("source_category"), F.when(r > 8.5, "critical").otherwise("high").alias("severity"), r.alias("alert_risk"), named[name].alias("description"))
     return net.unionByName(rest(process, "process")).unionByName(rest(filesystem, "filesystem"))
 
 
+def model_alerts(findings: DataFrame) -> DataFrame:
+    """Model findings (severity, iso_score, ae_score, contributing_features) above a risk of 5, or of high severity.
+
+    The risk is 15 times the forest's score, 5 at least; without one, 100 times the autoencoder's error, 10 at most; else 5.
+    """
+    risk = F.coalesce(F.greatest(F.abs("iso_score") * 15, F.lit(5.0)), F.least(F.col("ae_score") * 100, F.lit(10.0)), F.lit(5.0))
+    first = F.coalesce(F.try_element_at("contributing_features", F.lit(1)), F.lit("Multiple Features"))
+    parts = F.concat_ws(
+        " | ", "explanation", F.when(F.size("contributing_features") > 0, F.concat(F.lit("Contributing Features: "), F.array_join(F.slice("contributing_features", 1, 5), ", "))),
+        F.when(F.col("iso_score").isNotNull(), F.format_string("Isolation Forest Score: %.4f", "iso_score")), F.when(F.col("ae_score").isNotNull(), F.format_string("Autoencoder Error: %.4f", "ae_score")),
+    )
+    out = findings.withColumns({"alert_risk": risk, "title": F.concat(F.lit("ML Anomaly: "), F.upper("severity"), F.lit(" - "), first), "description": parts})
+    return out.filter((F.col("alert_risk") > 5) | (F.col("severity") == "high"))
+
+
+def network_model_alerts(network: DataFrame, ml: str = "ml") -> DataFrame:
+    """From the agent: connections that a model found odd, high above 8."""
+    text = F.concat(F.lit("ML-detected anomalous network connection to "), "dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
+    return network.filter(F.col(ml) & F.col("is_anomaly")).select("client_id", "id", "us", F.lit("network").alias("source_category"), F.when(F.col("risk_score") > 8, "high").otherwise("medium").alias("severity"), F.col("risk_score").alias("alert_risk"), text.alias("description"))
+
+
 def event_alerts(process: DataFrame, filesystem: DataFrame) -> DataFrame:
     """From the agent's scorers: processes above 7 (high above 8), files above 6 (critical above 8)."""
     r = F.col("risk_score")

@@ -25,6 +25,24 @@ def baseline_stats(metrics: DataFrame, last: int = 200) -> DataFrame:
     return kept.groupBy(*KEY).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.var_pop("value").alias("variance"), F.count("*").alias("samples"))
 
 
+def merged_moments(stats: DataFrame, *keys: str) -> DataFrame:
+    """Mean, population deviation and variance of all values, from those of parts (mean, variance, samples) by key.
+
+    Squares are taken around the common mean, so that large means don't cancel.
+    """
+    sums = stats.groupBy(*keys).agg(F.sum("samples").alias("_n"), (F.sum(F.col("mean") * F.col("samples")) / F.sum("samples")).alias("_mean"))
+    spread = F.col("samples") * (F.col("variance") + (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean")))
+    out = stats.join(sums, list(keys)).groupBy(*keys, "_n", "_mean").agg(F.sum(spread).alias("_m2"))
+    variance = F.col("_m2") / F.col("_n")
+    return out.select(*keys, F.col("_mean").alias("mean"), F.sqrt(variance).alias("std"), variance.alias("variance"), F.col("_n").alias("samples"))
+
+
+def blended_detect(metrics: DataFrame, **how) -> DataFrame:
+    """`zscore_detect` against 60 % of the client's own and 40 % of all clients' mean and deviation of the metric."""
+    everyone = merged_moments(baseline_stats(metrics), "metric").select("metric", F.col("mean").alias("global_mean"), F.col("std").alias("global_std"))
+    return zscore_detect(metrics.join(everyone, "metric"), **how)
+
+
 def score_distribution(scores: DataFrame, last: int = 50) -> DataFrame:
     """Quartiles and mean of the last scores of each client and metric, linearly interpolated."""
     newest = Window.partitionBy(*KEY).orderBy(F.desc("us"), F.desc("id"))

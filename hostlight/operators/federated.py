@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import WEIGHT_KEYS
 from ..sources.store import kept
 from .carry import fold
+from .evaluate import auc
 from .scan import numbered
 
 
@@ -191,14 +192,82 @@ def heuristic_auc(mean_threshold: Column) -> Column:
     return F.greatest(F.lit(0.7), F.least(F.lit(0.95), 0.85 + (2.5 - mean_threshold) * 0.05))
 
 
-def rollback(rounds: pd.DataFrame, drop: float = 0.02) -> pd.DataFrame:
-    """rounds (round, auc, model dict): rounds whose area falls by more than `drop` below the last kept one restore its model."""
-    kept, out = None, []
-    for r in rounds.sort_values("round").itertuples(index=False):
-        back = kept is not None and r.auc < kept[0] - drop
-        kept = kept if back else (r.auc, r.model)
-        out.append((r.round, r.auc, back, kept[1]))
-    return pd.DataFrame(out, columns=["round", "auc", "rolled_back", "model"])
+def validation(models: DataFrame, labelled: DataFrame, least: int = 20) -> DataFrame:
+    """Per round of a global model (round, key, model): auc, tpr and fpr over labelled windows, and how many there are.
+
+    labelled: id, label, and z_network, z_process, z_file (null: not seen). A window's score under a round is its largest z
+    over that round's threshold by sensitivity, and it is detected above 1. All rounds go over the windows in one pass. With
+    fewer than `least` windows, or without both labels, the area is the heuristic one.
+    """
+    names = ("network", "process", "file")
+    wide = models.groupBy("round").pivot("key", WEIGHT_KEYS).agg(F.first("model"))
+    limits = wide.select("round", *[(F.col(f"{n}_threshold") / F.col(f"{n}_sensitivity")).alias(n) for n in names], (sum(F.col(f"{n}_threshold") for n in names) / 3).alias("mean_threshold"))
+    every = limits.agg(F.collect_list(F.struct("round", *names)).alias("rounds"))  # a row with an entry per round
+    score = lambda r: F.greatest(*[F.coalesce(F.abs(f"z_{n}") / r[n], F.lit(0.0)) for n in names])
+    scored = labelled.crossJoin(F.broadcast(every)).select("id", "label", F.explode(F.transform("rounds", lambda r: F.struct(r["round"].alias("round"), score(r).alias("score")))).alias("s"))
+    scored = kept(scored.select("id", "label", "s.round", "s.score"))
+    hit = F.col("score") > 1
+    rate = lambda test, of: F.coalesce(F.try_divide(F.count_if(hit & of), F.count_if(of)), F.lit(0.0))
+    rates = scored.groupBy("round").agg(F.count("*").alias("windows"), rate(hit, F.col("label")).alias("tpr"), rate(hit, ~F.col("label")).alias("fpr"))
+    areas = auc(scored.withColumnRenamed("round", "model")).select(F.col("model").alias("round"), F.col("auc").alias("_auc"))
+    out = limits.select("round", "mean_threshold").join(rates, "round", "left").join(areas, "round", "left")
+    seen = F.coalesce(F.col("windows"), F.lit(0))
+    area = F.when(seen >= least, F.col("_auc"))
+    return out.select("round", seen.alias("windows"), F.coalesce(area, heuristic_auc(F.col("mean_threshold"))).alias("auc"), F.coalesce("tpr", F.lit(0.0)).alias("tpr"), F.coalesce("fpr", F.lit(0.0)).alias("fpr"))
+
+
+def rollback(rounds: DataFrame, drop: float = 0.02) -> DataFrame:
+    """Adds rolled_back and kept_round to (round, auc): rounds whose area is more than `drop` below that of the last kept
+    one are rolled back, and the model of that one, kept_round, stays in force."""
+
+    def step(state: dict, number: int, area: float) -> tuple[bool, int]:
+        back = "auc" in state and area < state["auc"] - drop
+        if not back:
+            state.update(auc=area, round=number)
+        return back, state["round"]
+
+    one = rounds.withColumn("_all", F.lit(0))  # a row per round
+    return fold(one, ["_all"], ["round", "auc"], dict, step, {"rolled_back": "boolean", "kept_round": "long"}, ("round",)).drop("_all")
+
+
+def in_force(models: DataFrame, rolled: DataFrame) -> DataFrame:
+    """The model in force after each round (round, key, model), rolled back ones replaced by the last kept."""
+    kept_models = models.select(F.col("round").alias("kept_round"), "key", "model")
+    return rolled.select("round", "kept_round", "rolled_back").join(kept_models, "kept_round")
+
+
+def members(updates: DataFrame, span: int = 600_000_000) -> DataFrame:
+    """Updates by round as the older server takes them: each client's newest one of the last `span` before the round's end.
+
+    A round ends with its last update; an update is looked at by the rounds that end within the span after it only.
+    """
+    ends = updates.groupBy("round").agg(F.max("us").alias("_end"))
+    by = F.floor(F.col("us") / span)
+    rows = updates.drop("round").withColumn("_slot", F.explode(F.array(by, by + 1)))
+    ends = ends.withColumn("_slot", F.floor(F.col("_end") / span))
+    recent = rows.join(ends, "_slot").filter((F.col("us") <= F.col("_end")) & (F.col("us") > F.col("_end") - span)).drop("_slot", "_end")
+    return latest_per_round(recent)
+
+
+def prox_rounds(means: DataFrame, start: dict[str, float], mu: float = 0.01, momentum: float = 0.9) -> DataFrame:
+    """The older server's model after each round, from share-weighted means (round, key, value): values are pulled to the
+    model by mu, and a part of the last change is added."""
+
+    def step(state: dict, key: str, value: float) -> tuple[float]:
+        g = state.get("g", start.get(key, value))
+        new = value - mu * (value - g) + momentum * state.get("m", 0.0)
+        state.update(g=new, m=new - g)
+        return (new,)
+
+    return fold(means, ["key"], ["key", "value"], dict, step, {"model": "double"}, ("round",))
+
+
+def group_medians(long: DataFrame) -> DataFrame:
+    """Median of each key and round, by ranks from one range partitioning."""
+    sizes = long.groupBy("round", "key").agg(F.count("value").alias("clients"))
+    ranked = numbered(long.filter(F.col("value").isNotNull()), ["round", "key"], [F.col("value"), F.col("client_id")], "_r").join(sizes, ["round", "key"])
+    middle = ranked.filter(F.abs(2 * F.col("_r") - 1 - F.col("clients")) <= 1)
+    return middle.groupBy("round", "key", "clients").agg(F.avg("value").alias("value")).select("round", "key", "value", "clients")
 
 
 def convergence(models: DataFrame, stable: float = 0.01, last: int = 20) -> DataFrame:
@@ -209,8 +278,15 @@ def convergence(models: DataFrame, stable: float = 0.01, last: int = 20) -> Data
     return out.orderBy(F.desc("round")).limit(last).withColumn("status", F.when(F.col("delta") < stable, "Stable").otherwise("Converging"))
 
 
-def round_metadata(contributions: DataFrame) -> DataFrame:
-    return contributions.groupBy("round").agg(F.count("*").alias("participated"), F.count_if("was_quarantined").alias("quarantined"), F.avg("post_norm").alias("avg_delta_norm"))
+def round_metadata(contributions: DataFrame, judged: DataFrame | None = None, noise: float = 0.5, first: int = 5) -> DataFrame:
+    """Per round: participants, quarantined clients (and the first of their ids), mean norm, noise; with `judged` (round, auc,
+    rolled_back) its area and whether it was rolled back."""
+    bad = contributions.filter("was_quarantined").select("round", "client_id")
+    ids = bad.withColumn("_r", F.row_number().over(Window.partitionBy("round").orderBy("client_id"))).filter(F.col("_r") <= first)
+    ids = ids.groupBy("round").agg(F.array_sort(F.collect_list("client_id")).alias("quarantined_ids"))
+    out = contributions.groupBy("round").agg(F.count("*").alias("participated"), F.count_if("was_quarantined").alias("quarantined"), F.avg("post_norm").alias("avg_delta_norm"))
+    out = out.join(ids, "round", "left").withColumns({"quarantined_ids": F.coalesce("quarantined_ids", F.array().cast("array<string>")), "dp_noise": F.lit(noise)})
+    return out if judged is None else out.join(judged.select("round", "auc", "rolled_back"), "round", "left")
 
 
 def leaderboard(contributions: DataFrame, as_of: int) -> DataFrame:
@@ -224,8 +300,16 @@ def leaderboard(contributions: DataFrame, as_of: int) -> DataFrame:
     return out.withColumn("status", status).orderBy(F.desc("reputation"), "client_id")
 
 
-def agent_update(stats: DataFrame, detections: DataFrame) -> DataFrame:
-    """Baseline statistics per client and metric, as one update row per client with the share of anomalies."""
-    packed = stats.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "mean"))).alias("statistics"), F.sum("samples").alias("samples"))
+def agent_update(stats: DataFrame, detections: DataFrame, averages: DataFrame | None = None, distribution: DataFrame | None = None) -> DataFrame:
+    """One update row per client: statistics by metric (mean, std, variance, ema, samples), quartiles of scores, and the share of anomalies.
+
+    averages: client_id, metric, us, id, ema, of which the newest count; distribution: client_id, metric, q25, q50, q75.
+    """
+    if averages is not None:
+        stats = stats.join(averages.groupBy("client_id", "metric").agg(F.max_by("ema", F.struct("us", "id")).alias("ema")), ["client_id", "metric"], "left")
+    if distribution is not None:
+        stats = stats.join(distribution.select("client_id", "metric", "q25", "q50", "q75"), ["client_id", "metric"], "left")
+    parts = [c for c in stats.columns if c not in ("client_id", "metric")]
+    packed = stats.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*parts)))).alias("statistics"), F.sum("samples").alias("samples"))
     rates = detections.groupBy("client_id").agg(F.avg(F.col("anomaly").cast("double")).alias("anomaly_rate"), F.count_if("anomaly").alias("total_anomalies"))
     return packed.join(rates, "client_id", "left").na.fill(0)

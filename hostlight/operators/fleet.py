@@ -71,11 +71,6 @@ def display_columns(df: DataFrame, first: int = 3) -> DataFrame:
     return df.withColumns({new: shown(F.col(old)) for old, (new, shown) in made.items() if old in df.columns})
 
 
-def reportable(df: DataFrame) -> DataFrame:
-    """Scored rows worth reporting: those with a risk."""
-    return df.filter(F.col("risk").isNotNull())
-
-
 def with_hostname(fact: DataFrame, clients: DataFrame) -> DataFrame:
     """Inner join with the registry, which is sent to every task if it is small, else joined by client."""
     names = clients.select("client_id", "hostname")

@@ -154,11 +154,11 @@ PROCESS_LIVE = Scorer(
 
 
 def process_risk_live(df: DataFrame, ml: str | None = None) -> DataFrame:
-    """Needs name, path, cmdline, parent_name, lineage, trusted, cpu_percent, memory_mb, pid. Adds risk, indicators, method; every
-    30th process (by pid) is sampled at 1.0; trusted rows below 5 and unreported rows have a null risk."""
+    """Needs name, path, cmdline, parent_name, lineage, trusted, cpu_percent, memory_mb, and sampled or pid. Adds risk, indicators,
+    method; sampled processes (by default every 30th pid) count 1.0; trusted rows below 5 and unreported rows have a null risk."""
     scored = PROCESS_LIVE.apply(df, "rule_risk", "rule_indicators")
     model = F.col(ml) if ml else F.lit(None).cast("double")
-    by_rule, busy, sampled = F.col("rule_risk") > 6, (F.col("cpu_percent") > 80) | (F.col("memory_mb") > 2000), F.col("pid") % 30 == 0
+    by_rule, busy, sampled = F.col("rule_risk") > 6, (F.col("cpu_percent") > 80) | (F.col("memory_mb") > 2000), F.col("sampled") if "sampled" in df.columns else F.col("pid") % 30 == 0
     risk = F.coalesce(model, F.when(by_rule, F.col("rule_risk")).when(busy, 3.0).when(sampled, 1.0))
     says = F.when(model.isNotNull(), F.array(F.lit("ml_anomaly"))).when(by_rule, F.col("rule_indicators")).when(busy, F.array(F.lit("high_resource_usage"))).when(sampled, F.array(F.lit("sampled_process")))
     method = F.when(model.isNotNull(), "ml").when(by_rule, "rule").when(busy, "resource").when(sampled, "baseline")

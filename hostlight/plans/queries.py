@@ -863,11 +863,6 @@ def fl14_convergence(spark, sf_dir):
     return rounded(federated.convergence(global_models(spark, sf_dir)), "delta")
 
 
-@query(_rounds("SELECT round, count(*) AS participated, 0 AS quarantined, round(avg(least(n, 2.0)), 6) AS avg_delta_norm FROM rep GROUP BY 1"))
-def fl15_round_metadata(spark, sf_dir):
-    return rounded(federated.round_metadata(reputations(spark, sf_dir)), "avg_delta_norm")
-
-
 @query(_rounds("SELECT round, key, clients, round(value, 6) AS value, round(model, 6) AS model FROM simple"))
 def fl17_simple_aggregation(spark, sf_dir):
     means = federated.fed_avg(federated.long_form(updates(spark, sf_dir)), "samples")
@@ -979,21 +974,10 @@ def x3_safe_domain(spark, sf_dir):
     return telemetry(spark, sf_dir)["network_data"].select("id", scalars.is_safe_domain(F.col("dns")).alias("safe"))
 
 
-@query()
-def fl12_fl13_rollback(spark, sf_dir):
-    """Rounds judged by the heuristic area of their mean threshold, and rolled back where it drops."""
-    means = global_models(spark, sf_dir).filter(F.col("key").contains("threshold")).groupBy("round").agg(F.avg("model").alias("mean"))
-    rounds = means.select("round", federated.heuristic_auc(F.col("mean")).alias("auc"), F.round("mean", 6).alias("model")).toPandas()  # one row per round
-    return spark.createDataFrame(federated.rollback(rounds), "round int, auc double, rolled_back boolean, model double")
-
-
-@query()
-def fl16_agent_updates(spark, sf_dir):
-    m = metrics(spark, sf_dir)
-    return federated.agent_update(baselines.baseline_stats(m), baselines.zscore_detect(m))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry to windows to robust features to pattern severities."""
     found = features.robust_normalize(window_features(spark, sf_dir), chunk=5_000)
     return ensemble.heuristic(features.feature_matrix(found))
+
+
+from . import more_queries  # noqa: E402, F401  the rest of the registry

@@ -108,8 +108,8 @@ def test_heartbeats_and_sliding_logins(spark, tmp_path):
     got = run_twice(spark, beats, jobs.heartbeat_stream, f"{tmp_path}/b", order=("ts", "client_id"))
     events = sorted((r.client_id, r.status) for r in got.itertuples())
     assert events.count(("a", "online")) == 1 and ("a", "offline") in events and ("c", "online") in events and events.count(("b", "online")) == 1
-    logins = spark.createDataFrame([("c", "9.9.9.9", k * 100) for k in range(5)] + [("c", "1.1.1.1", 0), ("c", "8.8.8.8", 9000)], "client_id string, source_ip string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000_000)).drop("s")
-    got = run_twice(spark, logins, jobs.sliding_counts, f"{tmp_path}/l", order=("ts", "source_ip"))
+    logins = spark.createDataFrame([("c", "9.9.9.9", k * 100) for k in range(5)] + [("c", "1.1.1.1", 0), ("c", "8.8.8.8", 9000), ("c", "8.8.8.8", 9001)], "client_id string, source_ip string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000_000)).drop("s")
+    got = run_twice(spark, logins, jobs.sliding_counts, f"{tmp_path}/l", 8, ("ts", "source_ip"))
     assert set(got.source_ip) == {"9.9.9.9"} and got.n.max() == 5 and len(got) == len(jobs.sliding_counts(logins).collect())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hostlight.functions import scalars
 from hostlight.functions.fixed import FEATURES, WEIGHT_KEYS
 from hostlight.models import autoencoder, ensemble, forest
-from hostlight.operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, risk
+from hostlight.operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, reporting, risk
 from hostlight.plans.queries import QUERIES, SQL
 from hostlight.sources import telemetry
 
@@ -227,8 +227,41 @@ def test_federated_rules(spark):
     assert got["c"]["was_clipped"] and math.isclose(math.sqrt(sum(v * v for v in got["c"]["delta"].values())), 2.0) and not got["d"]["was_clipped"]
     w = rows(spark, [(1, "a", 1.0, 2.0), (1, "b", 3.0, 0.0)], "round int, client_id string, reputation double, quality double")
     assert math.isclose(federated.client_weights(w).agg(F.sum("share")).first()[0], 1.0)
-    back = federated.rollback(pd.DataFrame({"round": [1, 2, 3], "auc": [0.9, 0.87, 0.885], "model": [1, 2, 3]}))
-    assert back.rolled_back.tolist() == [False, True, False] and back.model.tolist() == [1, 1, 3]
+    back = federated.rollback(rows(spark, [(1, 0.9), (2, 0.87), (3, 0.885)], "round int, auc double")).orderBy("round").collect()
+    assert [(r["rolled_back"], r["kept_round"]) for r in back] == [(False, 1), (True, 1), (False, 3)]
+
+
+def test_validation_and_members(spark):
+    model = [(1, k, 2.0 if "threshold" in k else 1.0) for k in WEIGHT_KEYS] + [(2, k, 5.0 if "threshold" in k else 1.0) for k in WEIGHT_KEYS]
+    models = rows(spark, model, "round int, key string, model double")
+    seen = [(k, k >= 20, float(k % 7) if k < 20 else 3.0, None, 4.0 if k == 29 else None) for k in range(30)]
+    labelled = rows(spark, seen, "id long, label boolean, z_network double, z_process double, z_file double")
+    got = {r["round"]: r for r in federated.validation(models, labelled).collect()}
+    up, down = [max(r[2], r[4] or 0.0) for r in seen if r[1]], [r[2] for r in seen if not r[1]]
+    area = sum((a > b) + (a == b) / 2 for a in up for b in down) / 200
+    assert math.isclose(got[1]["auc"], area) and got[1]["tpr"] == 1.0 and math.isclose(got[1]["fpr"], sum(z > 2 for z in down) / 20)
+    assert got[2]["tpr"] == 0.0 and math.isclose(got[2]["fpr"], sum(z > 5 for z in down) / 20)
+    few = {r["round"]: r["auc"] for r in federated.validation(models, labelled.limit(19)).collect()}
+    assert math.isclose(few[1], 0.875) and math.isclose(few[2], 0.725)
+    u = rows(spark, [("a", 1, 0), ("b", 1, 400), ("a", 2, 500), ("c", 2, 900), ("b", 3, 1500)], "client_id string, round int, us long")
+    assert sorted((r["round"], r["client_id"], r["us"]) for r in federated.members(u, 600).collect()) == [(1, "a", 0), (1, "b", 400), (2, "a", 500), (2, "b", 400), (2, "c", 900), (3, "b", 1500)]
+
+
+def test_reports(spark):
+    p = [(k, "c", k, "Chrome.exe" if k in (30, 31) else "a.exe", 10, "d:/x", "", None, None, 90.0 if k == 30 else 1.0, 1.0) for k in range(1, 62)] + [(62, "c", 62, "psexec.exe", 10, "d:/x", "", None, None, 1.0, 1.0)]
+    df = rows(spark, p, "id long, client_id string, us long, name string, pid long, path string, cmdline string, parent_name string, lineage string, cpu_percent double, memory_mb double")
+    got = {r["id"]: (r["risk"], r["method"]) for r in reporting.report_processes(df, F.lit(0)).collect()}
+    assert got == {60: (1.0, "baseline"), 62: (9.5, "rule")}  # the busy 30th is trusted
+    f = [(k, "c", k, "a.txt", "d:/a", ".txt", 10, f"h{k}", False, 9999) for k in range(25)] + [(90, "c", 90, "x.locked", "d:/a", ".locked", 10, "same", False, 9999), (91, "c", 91, "y.locked", "d:/a", ".locked", 10, "same", False, 9999), (92, "c", 92, "b.txt", "d:/a", ".txt", 10, "h", False, 10)]
+    df = rows(spark, f, "id long, client_id string, us long, file_name string, file_path string, file_ext string, file_size long, file_hash string, is_new boolean, age_s long")
+    got = {r["id"]: r["risk"] for r in reporting.report_files(df, F.lit(0)).collect()}
+    assert got == {**{k: 1.0 for k in range(20)}, 90: 8.0, 91: 7.0, 92: 2.0}
+
+
+def test_last_model_finding(spark):
+    e = rows(spark, [(1, "a", 5), (2, "a", 100), (3, "a", 161), (4, "b", 100), (5, None, 7)], "id long, client_id string, us long")
+    found = rows(spark, [("a", 5), ("a", 100), ("b", 101), (None, 1)], "client_id string, us long")
+    assert {r["id"]: r["ml"] for r in alerts.with_last_model(e, found, 60).collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
 
 
 def test_messages_split(spark):
