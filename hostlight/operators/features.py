@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FEATURES, RANSOMWARE_EXTENSIONS, SUSPICIOUS_PROCESSES
-from ..functions.scalars import clip, is_local_ip, is_privileged, is_remote
+from ..functions.scalars import cleaned, clip, is_local_ip, is_privileged, is_remote
 from .carry import key_rows, runs
 
 WINDOW = 60_000_000
@@ -100,9 +100,9 @@ def pattern_alerts(found: DataFrame) -> DataFrame:
 
 
 def feature_matrix(found: DataFrame, last: int = 1000) -> DataFrame:
-    """The newest windows of each client as vectors of the model features; missing values are 0."""
+    """The newest windows of each client as vectors of the model features, cleaned (null, NaN and -Inf 0, +Inf 1)."""
     order = Window.partitionBy("client_id").orderBy(F.desc("window_us"))
-    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES])
+    vector = F.array(*[cleaned(F.col(c).cast("double")) for c in FEATURES])
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= last).select("client_id", "window_us", vector.alias("vector"))
 
 
