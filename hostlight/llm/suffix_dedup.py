@@ -51,6 +51,8 @@ LIMIT = 20_000
 BLOCK = 3_000
 #: Strings of a frequent anchor that are compared together at first.
 TOGETHER = 16
+#: Rows of digests in one piece.
+AT_ONCE = 8_192
 #: Documents of the sample; the anchors a hash must have there to be dealt out by its surroundings; and to have its kinds
 #: of surroundings dealt out too (they are compared by digests then, which takes longer than a suffix array).
 SAMPLE, OFTEN, SPLIT = 2_000, 40, 200
@@ -337,8 +339,11 @@ def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The strings in runs of them, by digest."""
     columns = ["key", "begin", "end", "s1", "s2"]
     for pdf in batches:
-        out = [(key, begin + k, begin + k + LENGTH, *_digest(part[k : k + LENGTH])) for key, begin, part in zip(pdf["key"], pdf["begin"], pdf["part"], strict=True) for k in range(len(part) - LENGTH + 1)]
-        yield pd.DataFrame(out, columns=columns)
+        for first in range(0, len(pdf), AT_ONCE // TOGETHER):
+            some = pdf.iloc[first : first + AT_ONCE // TOGETHER]
+            out = [(key, begin + k, begin + k + LENGTH, *_digest(part[k : k + LENGTH])) for key, begin, part in zip(some["key"], some["begin"], some["part"], strict=True) for k in range(len(part) - LENGTH + 1)]
+            yield pd.DataFrame(out, columns=columns)
+    release()
 
 
 def _firsts(strings: DataFrame) -> DataFrame:
@@ -369,6 +374,9 @@ def _compared(batches: Iterator[pd.DataFrame], hot: np.ndarray | None = None) ->
                 part = around[a : stop + LENGTH]
                 out.append((key, place - LEFT + a, place - LEFT + a + len(part), *_digest(part), part))
                 a = stop + 1
+            if len(out) >= AT_ONCE:
+                yield pd.DataFrame(out, columns=[*columns, "part"])
+                out = []
         yield pd.DataFrame(out, columns=[*columns, "part"])
 
     def ended(rows: list[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
