@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scalars import is_local_ip, is_privileged, is_remote, is_safe_domain
-from .rules import Rule, Scorer, first_word, holds_any, how_many, quoted, rule
+from .rules import Rule, Scorer, common, first_word, holds_any, how_many, quoted, rule
 
 _BAD_PORT = f"dst_port IN ({quoted(fixed.MALICIOUS_PORTS)})"
 _RANGE = "(" + " OR ".join(f"dst_port BETWEEN {a} AND {b}" for a, b in fixed.PORT_RANGES) + ")"
@@ -85,10 +85,10 @@ def network_risk_live(df: DataFrame, ml: str | None = None) -> DataFrame:
     return scored.withColumns({"risk": risk, "indicators": says, "method": method}).drop("local", "safe_domain", "rule_risk", "rule_indicators")
 
 
-_NAME, _PATH, _CMD, _PARENT = "coalesce(lower(name), '')", "coalesce(lower(path), '')", "coalesce(lower(cmdline), '')", "coalesce(lower(parent_name), '')"
+_NAME, _PATH, _CMD, _PARENT = (common(f"coalesce(lower({c}), '')") for c in ("name", "path", "cmdline", "parent_name"))
 _ENCODED = ("bypass", "-enc", "invoke-expression", "downloadstring")
-_COMMANDS = how_many(_CMD, fixed.COMMAND_PATTERNS)
-_FIRST_COMMAND = first_word(_CMD, fixed.COMMAND_PATTERNS)
+_COMMANDS = common(how_many(_CMD, fixed.COMMAND_PATTERNS), 1)
+_FIRST_COMMAND = common(first_word(_CMD, fixed.COMMAND_PATTERNS), 1)
 _DOWNLOADS = "contains({0}, '{1}downloads{1}')"
 
 
@@ -96,8 +96,8 @@ def _slash(column: str, *names: str) -> str:
     return "(" + " OR ".join(f"contains({column}, '/{n}/')" for n in names) + ")"
 
 
-_P = f"replace({_PATH}, '\\\\', '/')"  # paths with one kind of separator
-_SAFE_PROCESS = holds_any(_P, [w.replace("\\", "/") for w in fixed.SAFE_PROCESS_PATHS])
+_P = common(f"replace({_PATH}, '\\\\', '/')")  # paths with one kind of separator
+_SAFE_PROCESS = common(holds_any(_P, [w.replace("\\", "/") for w in fixed.SAFE_PROCESS_PATHS]), 1)
 
 PROCESS_FULL = Scorer(
     [
@@ -166,14 +166,14 @@ def process_risk_live(df: DataFrame, ml: str | None = None) -> DataFrame:
     return scored.withColumns({"risk": F.when(~gone, risk), "indicators": F.when(~gone, says), "method": F.when(~gone, method)}).drop("rule_risk", "rule_indicators")
 
 
-_FILE, _FP = "coalesce(lower(file_name), '')", "replace(coalesce(lower(file_path), ''), '\\\\', '/')"
-_EXT = "coalesce(lower(file_ext), '')"
-_SAFE_FILE = holds_any(_FP, [w.replace("\\", "/") for w in fixed.SAFE_FILE_PATHS])
+_FILE, _FP, _EXT = (common(x) for x in ("coalesce(lower(file_name), '')", "replace(coalesce(lower(file_path), ''), '\\\\', '/')", "coalesce(lower(file_ext), '')"))
+_SAFE_FILE = common(holds_any(_FP, [w.replace("\\", "/") for w in fixed.SAFE_FILE_PATHS]), 1)
 _RANSOM = f"{_EXT} IN ({quoted(fixed.RANSOMWARE_EXTENSIONS)})"
 _RISKY = f"{_EXT} IN ({quoted(fixed.HIGH_RISK_EXTENSIONS)})"
 _DOUBLE = "(" + " OR ".join(f"{_FILE} LIKE '%{x}'" for x in fixed.DOUBLE_EXTENSIONS) + ")"
 _HIDDEN = "(" + " OR ".join(f"{_FILE} LIKE '%_.{a}.{b}'" for a in ("pdf", "doc", "docx", "xls", "xlsx", "jpg", "png", "txt") for b in ("exe", "scr", "bat", "cmd", "vbs", "js")) + ")"
-_PATTERNS = how_many(_FILE, fixed.FILE_PATTERNS)
+_PATTERNS = common(how_many(_FILE, fixed.FILE_PATTERNS), 1)
+
 
 def file_scorer(profile: str = "v1") -> Scorer:
     """profile 'v2': stricter weights; critical words add up instead of ending the score."""
