@@ -5,10 +5,8 @@
    of `WIDTH` frames. Each answer is quantised to two bits (neighbouring levels differ in one bit), which gives one
    packed 32-bit integer per frame.
 3. Recordings with equal fingerprints are one class; only its least key is matched further. The index holds one key per
-   place: the signs of 12 filters (noise rarely turns them) in a few frames, `SPACED` apart. A key in more than `BUCKET`
-   places is replaced by keys of more frames (`LEVELS`), so that a query meets a bounded number of places by chance,
-   however many recordings there are; of a run of equal keys in one recording (a long note, silence) the first counts.
-   Only keys of all frames are taken as they are: recordings that share those sound alike there.
+   place: the signs of 12 filters (noise rarely turns them) in a few frames, `SPACED` apart. Every place of a key is met,
+   however many there are; of a run of places with equal signs in `RUN` such frames (a long note, silence) the first counts.
 4. Queries (keys divisible by `every`) look up all recordings; a hit stands if the signs in the frames around it also
    agree in the main. Hits are counted by offset, and of each pair the offset with most hits (ties: the smallest) is
    aligned over its whole overlap: the pair matches if the share of different bits is at most `max_error`.
@@ -31,6 +29,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,11 +40,11 @@ from .common import stored, table
 
 RATE, FRAME, HOP = 4_000, 1_024, 256
 WIDTH = 16
-#: Frames of a key, in steps of SPACED, by level; places of a key before the next level is taken.
-LEVELS, SPACED, BUCKET = (3, 4, 6, 9), 4, 64
+#: Frames of a key and of a run, in steps of SPACED; places of a frequent key that are met at once where keys are dealt out.
+KEY, RUN, SPACED, BUCKET = 3, 9, 4, 4_096
 #: Frames around a hit whose signs are compared, and the share of them that may differ.
 AROUND, AROUND_ERROR = (-12, -8, -4, 12, 16, 20), 0.25
-#: Asking places that are sent to all executors at most (about 60 bytes each); more are dealt out by key.
+#: Asking places that are sent to all executors at most (about 80 bytes each); more are dealt out by key.
 ASKED = 300_000
 MAX_ERROR, EVERY = 0.15, 20
 LEVEL = 0.06
@@ -194,47 +193,58 @@ def _asks(prints: DataFrame, every: int) -> Column:
     return F.coalesce((F.col("key") if whole else F.crc32(F.col("key").cast("string"))) % every == 0, F.lit(False))
 
 
+def _packed(values: list[Column]) -> list[Column]:
+    """Signs of frames (longs of 32 bits, every other one set) as longs of four frames each."""
+    four = lambda v: reduce(Column.bitwiseOR, [F.shiftleft(F.shiftright(x, j % 2), 32 * (j // 2)) for j, x in enumerate(v)])
+    return [four(values[k : k + 4]) for k in range(0, len(values), 4)]
+
+
 def places(reps: DataFrame) -> DataFrame:
-    """(key, asks, place, around, k0, k1, ...): the places of each recording with their keys by level; of a run of
-    places with equal signs in all frames of the longest key, the first."""
+    """(key, asks, place, k, x, seen): the places of each recording with their keys, the signs of the frames around, and
+    which of these there are; of a run of places with equal signs in all of `RUN` frames, the first."""
     signs = reps.select("key", "asks", F.transform("codes", lambda c: c.bitwiseAND(F.lit(SIGNS))).alias("s"))
 
     def row(i: Column) -> Column:
-        at = [F.get("s", i + SPACED * f) for f in range(max(LEVELS))]
-        keys = [F.xxhash64(F.lit(n), *at[:n]).alias(f"k{k}") for k, n in enumerate(LEVELS)]
-        return F.struct(i.alias("place"), F.array(*[F.when(i + f >= 0, F.get("s", F.greatest(i + f, F.lit(0)))) for f in AROUND]).alias("around"), *keys)
+        at = [F.get("s", i + SPACED * f) for f in range(RUN)]
+        around = F.array(*[F.when(i + f >= 0, F.get("s", F.greatest(i + f, F.lit(0)))) for f in AROUND])
+        return F.struct(i.alias("place"), around.alias("around"), F.xxhash64(F.lit(KEY), *at[:KEY]).alias("k"), F.xxhash64(F.lit(RUN), *at).alias("run"))
 
     rows = signs.select("key", "asks", F.transform(F.sequence(F.lit(0), F.size("s") - 1), row).alias("rows"))
-    last = f"k{len(LEVELS) - 1}"
-    fresh = F.filter("rows", lambda r, i: (i == 0) | (r[last] != F.get(F.col("rows"), F.greatest(i - 1, F.lit(0)))[last]))
-    return rows.select("key", "asks", F.explode(fresh).alias("r")).select("key", "asks", "r.*")
+    fresh = F.filter("rows", lambda r, i: (i == 0) | (r["run"] != F.get(F.col("rows"), F.greatest(i - 1, F.lit(0)))["run"]))
+    out = rows.select("key", "asks", F.explode(fresh).alias("r")).select("key", "asks", "r.place", "r.k", "r.around")
+    whole = F.lit(SIGNS & 0xFFFFFFFF)
+    frames = [F.col("around")[j].cast("long").bitwiseAND(whole) for j in range(len(AROUND))]
+    x, seen = _packed([F.coalesce(f, F.lit(0)) for f in frames]), _packed([F.when(f.isNull(), F.lit(0)).otherwise(whole).cast("long") for f in frames])
+    return out.select("key", "asks", "place", "k", *[c.alias(f"x{j}") for j, c in enumerate(x)], *[c.alias(f"seen{j}") for j, c in enumerate(seen)])
 
 
 def hits(reps: DataFrame) -> DataFrame:
-    """(q, key, offset): each asking place with each place that shares its key.
+    """(q, key, offset): each asking place with each place that shares its key, where the frames around agree.
 
-    Only places that share their shortest key with an asking place go on; they are written once. Asking places, and keys in
-    many places, go to all executors if a count shows that they are few, and are joined by shuffles otherwise.
+    No place of a key is left out. Asking places go to all executors if a count shows that they are few. Otherwise keys are
+    dealt out; the places of a key of more than `BUCKET` are cut into blocks, its asking places too, and each block of the
+    one meets each of the other in a task, so that neither memory nor a task grows with a key.
     """
-    asking = places(reps.filter("asks"))
-    few = asking.count() <= ASKED
-    keys = asking.select("k0").distinct()
-    rows = stored(places(reps).join(F.broadcast(keys) if few else keys, "k0", "left_semi"))
-    out = []
-    for level in range(len(LEVELS)):
-        k, here = f"k{level}", rows
-        if level < len(LEVELS) - 1:
-            full = stored(rows.groupBy(k).agg(F.count("*").alias("n"), F.max("asks").alias("any")).filter(f"any AND n > {BUCKET}").select(k))
-            full = F.broadcast(full) if full.count() <= ASKED else full
-            here, rows = rows.join(full, k, "left_anti"), stored(rows.join(full, k, "left_semi"))
-        mine = here.filter("asks").select(k, F.col("key").alias("q"), F.col("place").alias("q_place"), F.col("around").alias("q_around"))
-        out.append(here.select(k, "key", "place", "around").join(F.broadcast(mine) if few else mine, k).filter("q != key"))
-    both = out[0].drop("k0")
-    for level, more in enumerate(out[1:], 1):
-        both = both.unionByName(more.drop(f"k{level}"))
-    differ = F.zip_with("around", "q_around", lambda a, b: F.struct(F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(0)).alias("bits"), (a.isNotNull() & b.isNotNull()).cast("int").alias("n")))
-    total = F.aggregate(differ, F.lit(0.0), lambda t, x: t + x["bits"] - AROUND_ERROR * bin(SIGNS & 0xFFFFFFFF).count("1") * x["n"])
-    return both.filter(total <= 0).select("q", "key", (F.col("q_place") - F.col("place")).alias("offset"))
+    asking = stored(places(reps.filter("asks")).drop("asks"))
+    longs = range(-(-len(AROUND) // 4))
+    mine = asking.select("k", F.col("key").alias("q"), F.col("place").alias("q_place"), *[F.col(f"{c}{j}").alias(f"q_{c}{j}") for j in longs for c in ("x", "seen")])
+    rows, by = places(reps), ["k"]
+    if asking.count() <= ASKED:
+        mine = F.broadcast(mine)
+    else:
+        rows = stored(rows.join(asking.select("k").distinct(), "k", "left_semi"))
+        blocks = lambda n: F.ceil(n / BUCKET).cast("int")
+        full = rows.groupBy("k").agg(blocks(F.count("*")).alias("theirs"), blocks(F.count_if("asks")).alias("ours")).filter("theirs > 1")
+        full = stored(full)
+        full = F.broadcast(full) if full.count() <= ASKED else full
+        each, one = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1)), lambda n, *c: F.pmod(F.xxhash64(*c), F.coalesce(F.col(n), F.lit(1)))
+        rows = rows.join(full, "k", "left").withColumns({"_b": one("theirs", "key", "place").cast("int"), "_a": each("ours")}).drop("theirs", "ours")
+        mine = mine.join(full, "k", "left").withColumns({"_a": one("ours", "q", "q_place").cast("int"), "_b": each("theirs")}).drop("theirs", "ours")
+        by = ["k", "_a", "_b"]
+    both = [F.col(f"seen{j}").bitwiseAND(F.col(f"q_seen{j}")) for j in longs]
+    differ = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"q_x{j}")).bitwiseAND(b)) for j, b in enumerate(both)), F.lit(0))
+    agree = differ <= AROUND_ERROR * sum((F.bit_count(b) for b in both), F.lit(0))
+    return rows.join(mine, by).filter((F.col("q") != F.col("key")) & agree).select("q", "key", (F.col("q_place") - F.col("place")).alias("offset"))
 
 
 def matches(prints: DataFrame, every: int = EVERY, max_error: float = MAX_ERROR) -> DataFrame:
