@@ -45,8 +45,8 @@ WAYS, OWN, HEAD = 32, 1 << 14, 200_000
 LEAVES = WAYS**3
 #: Rows of the table of weights (WAYS weights each), updates, their size, and counts that a weight must outweigh.
 ROW_BITS, STEPS, RATE, SMOOTH = 14, 10, 0.4, 2.0
-#: Rows of a slice of the gradient.
-SLICE = 1 << 10
+#: Rows of a slice of the gradient; tokens whose branches are worked out at once, so that they stay in the processor's cache.
+SLICE, AT_ONCE = 1 << 10, 1 << 11
 
 _LOG10 = np.log(10.0)
 
@@ -122,37 +122,54 @@ class Maxent:
         h = (f ^ (node.astype(np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F))) * np.uint64(0xE7037ED1A0B428DB)
         return (h >> np.uint64(64 - ROW_BITS)).astype(np.int64)
 
-    def levels(self, f: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per level: rows of the weights, logarithms of all branches of the node, and the branch that is taken."""
+    def sums(self, f: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per level: rows of the weights, bias and weights of all branches of the node added up, and the branch that is taken.
+
+        The sums are at most the features' number times RATE times the updates, so that their exponentials don't overflow.
+        """
         for k in range(3):
             above = leaf // WAYS ** (3 - k)
             rows = self.rows(f, above + (0, 1, 1 + WAYS)[k])
-            logs = self.bias[k][above]
+            x = self.bias[k].take(above, 0)
             for j in range(rows.shape[1]):
-                logs += self.weights[rows[:, j]]
-            yield rows, _normal(logs), leaf // WAYS ** (2 - k) % WAYS
+                x += self.weights.take(rows[:, j], 0)
+            yield rows, x, leaf // WAYS ** (2 - k) % WAYS
+
+    def levels(self, f: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per level: rows of the weights, logarithms of all branches of the node, and the branch that is taken."""
+        for rows, x, branch in self.sums(f, leaf):
+            yield rows, _normal(x), branch
 
     def logs(self, p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(leaf | p1, p2)."""
         out = np.zeros(len(leaf))
-        for begin in range(0, len(leaf), 50_000):
-            part = slice(begin, begin + 50_000)
-            for _, logs, branch in self.levels(self.features(p1[part], p2[part]), leaf[part]):
-                out[part] += logs[np.arange(len(branch)), branch]
+        for begin in range(0, len(leaf), AT_ONCE):
+            part = slice(begin, begin + AT_ONCE)
+            for _, x, branch in self.sums(self.features(p1[part], p2[part]), leaf[part]):
+                taken = x[np.arange(len(branch)), branch]
+                out[part] += taken - np.log(np.exp(x, out=x).sum(1))
         return out
 
     def add(self, p1: np.ndarray, p2: np.ndarray, leaf: np.ndarray, n: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
         """Adds observed and expected counts per weight, of n tokens at each (p1, p2, leaf)."""
-        flat, total = observed.reshape(-1), np.zeros(expected.shape[::-1])
-        for begin in range(0, len(leaf), 100_000):
-            part = slice(begin, begin + 100_000)
-            m = n[part].astype(np.float32)
-            for rows, logs, branch in self.levels(self.features(p1[part], p2[part]), leaf[part]):
-                should = np.ascontiguousarray((np.exp(logs) * m[:, None]).T, np.float64)  # a row per branch
-                for j in range(rows.shape[1]):
+        flat, total, many = observed.reshape(-1), np.zeros(expected.shape[::-1]), 50_000
+        for begin in range(0, len(leaf), many):
+            size = min(many, len(leaf) - begin)
+            should, at = np.empty((3, WAYS, size)), np.empty((3, 3, size), np.int64)  # by level: a row per branch, a row per feature
+            for first in range(0, size, AT_ONCE):
+                here = slice(first, min(first + AT_ONCE, size))
+                part = slice(begin + here.start, begin + here.stop)
+                m = n[part].astype(np.float32)
+                for k, (rows, x, branch) in enumerate(self.sums(self.features(p1[part], p2[part]), leaf[part])):
+                    np.exp(x, out=x)
+                    x *= (m / x.sum(1))[:, None]
+                    should[k, :, here], at[k, :, here] = x.T, rows.T
+                    for j in range(rows.shape[1]):
+                        np.add.at(flat, rows[:, j] * WAYS + branch, m)
+            for k in range(3):
+                for rows in at[k]:
                     for c in range(WAYS):
-                        total[c] += np.bincount(rows[:, j], should[c], len(expected))
-                    np.add.at(flat, rows[:, j] * WAYS + branch, m)
+                        total[c] += np.bincount(rows, should[k, c], len(expected))
         expected += total.T
 
     def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
