@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import WEIGHT_KEYS
-from ..sources.store import kept
+from ..sources.store import dealt, kept
 from .carry import fold
 from .evaluate import auc
 from .scan import numbered
@@ -43,8 +43,9 @@ def rejection_stats(audit: DataFrame) -> DataFrame:
     return each.unionByName(each.groupBy("kind").agg(F.sum("n").alias("n")).withColumn("client_id", F.lit(None).cast("string")))
 
 
-def latest_per_round(updates: DataFrame) -> DataFrame:
-    """A client's newest update of each round."""
+def latest_per_round(updates: DataFrame, rows: int | None = None) -> DataFrame:
+    """A client's newest update of each round. With `rows` (how many there are at most) tasks hold the same at any size."""
+    updates = updates if rows is None else dealt(updates, rows, "round", "client_id")
     order = Window.partitionBy("round", "client_id").orderBy(F.desc("us"))
     return updates.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
@@ -101,7 +102,7 @@ def client_weights(updates: DataFrame, older: bool = False) -> DataFrame:
     """Adds share, summing to 1 in each round: 0.6 of reputation and 0.4 of quality (older: 0.7 of quality, 0.3 of data)."""
     used = {"quality": 0.7, "samples": 0.3} if older else {"reputation": 0.6, "quality": 0.4}
     # sums by round are a small table that joins back, so that no task holds all clients of a round
-    sums = updates.groupBy("round").agg(*[F.sum(c).alias(f"_{c}") for c in used], F.count("*").alias("_clients"))
+    sums = F.broadcast(updates.groupBy("round").agg(*[F.sum(c).alias(f"_{c}") for c in used], F.count("*").alias("_clients")))  # a row per round
     part = lambda c: F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}")).otherwise(1 / F.col("_clients"))
     mixed = sum((w * part(c) for c, w in used.items()), F.lit(0.0))
     # each part sums to 1 over a round, and so do the weights: the shares do as well
@@ -165,9 +166,9 @@ def global_rounds(means: DataFrame, start: dict[str, float], rate: float = 0.5,
     return means.groupBy("key").applyInPandas(run, means.withColumn("model", F.lit(0.0)).schema)
 
 
-def shared_mean(long: DataFrame, shares: DataFrame) -> DataFrame:
-    """Mean of each key and round, weighted by the clients' shares of the round (round, client_id, share)."""
-    both = long.join(shares.select("round", "client_id", "share"), ["round", "client_id"])
+def shared_mean(long: DataFrame, shares: DataFrame | None = None) -> DataFrame:
+    """Mean of each key and round, weighted by the clients' shares of the round: a column of `long`, or (round, client_id, share)."""
+    both = long if shares is None else long.join(shares.select("round", "client_id", "share"), ["round", "client_id"])
     return both.groupBy("round", "key").agg((F.sum(F.col("value") * F.col("share")) / F.sum("share")).alias("value"), F.count("*").alias("clients"))
 
 
@@ -236,17 +237,20 @@ def in_force(models: DataFrame, rolled: DataFrame) -> DataFrame:
     return rolled.select("round", "kept_round", "rolled_back").join(kept_models, "kept_round")
 
 
-def members(updates: DataFrame, span: int = 600_000_000) -> DataFrame:
+def members(updates: DataFrame, span: int = 600_000_000, rows: int | None = None) -> DataFrame:
     """Updates by round as the older server takes them: each client's newest one of the last `span` before the round's end.
 
-    A round ends with its last update; an update is looked at by the rounds that end within the span after it only.
+    A round ends with its last update. An update counts in the rounds that end from it on, before the client's next one and within
+    the span, so that each is sorted once, whatever the number of rounds; of updates at one time, one counts. With `rows` (how
+    many updates there are at most) tasks hold the same at any size.
     """
-    ends = updates.groupBy("round").agg(F.max("us").alias("_end"))
+    ends = F.broadcast(updates.groupBy("round").agg(F.max("us").alias("_end")).withColumn("_slot", F.floor(F.col("_end") / span)))  # a row per round
+    sent = updates.drop("round") if rows is None else dealt(updates.drop("round"), rows, "client_id")
+    sent = sent.withColumn("_next", F.lead("us").over(Window.partitionBy("client_id").orderBy("us")))
     by = F.floor(F.col("us") / span)
-    rows = updates.drop("round").withColumn("_slot", F.explode(F.array(by, by + 1)))
-    ends = ends.withColumn("_slot", F.floor(F.col("_end") / span))
-    recent = rows.join(ends, "_slot").filter((F.col("us") <= F.col("_end")) & (F.col("us") > F.col("_end") - span)).drop("_slot", "_end")
-    return latest_per_round(recent)
+    sent = sent.withColumn("_slot", F.explode(F.array(by, by + 1)))
+    here = (F.col("_end") >= F.col("us")) & (F.col("_end") - F.col("us") < span) & (F.col("_next").isNull() | (F.col("_end") < F.col("_next")))
+    return sent.join(ends, "_slot").filter(here).drop("_slot", "_end", "_next")
 
 
 def prox_rounds(means: DataFrame, start: dict[str, float], mu: float = 0.01, momentum: float = 0.9) -> DataFrame:

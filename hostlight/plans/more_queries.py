@@ -10,7 +10,7 @@ from ..models import ensemble
 from ..operators import alerts, baselines, detectors, federated, fleet, reporting, risk
 from ..sources.tables import telemetry
 from .queries import (
-    _FILE, _FL, _LINEAGE, _LONG, _METRICS, _NET, _PARENTS, _SNAP, CYCLE, DAY, _files, _fl, _group_sql, _ml_alerts, _rounds, _with_snapshot, contributions, global_models, metrics, query, rounded, updates,
+    _FILE, _FL, _LINEAGE, _LONG, _METRICS, _NET, _PARENTS, _SNAP, CYCLE, DAY, _files, _fl, _group_sql, _ml_alerts, _rounds, _with_snapshot, contributions, global_models, metrics, most_updates, query, rounded, updates,
 )
 
 # -- reports --------------------------------------------------------------------------------------------------
@@ -124,7 +124,7 @@ def fl13_rollback(spark, sf_dir):
     SELECT r.round, count(*) AS participated, coalesce(max(ids.quarantined), 0) AS quarantined, coalesce(max(ids.quarantined_ids), '') AS quarantined_ids, round(avg(least(r.n, 2.0)), 6) AS avg_delta_norm, 0.5 AS dp_noise, round(max(rb.auc), 6) AS auc, bool_or(rb.rolled_back) AS rolled_back
     FROM rep r LEFT JOIN ids ON ids.round = r.round LEFT JOIN rb ON rb.round = r.round GROUP BY 1"""))
 def fl15_round_metadata(spark, sf_dir):
-    newest = federated.latest_per_round(contributions(spark, sf_dir)).select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality")
+    newest = federated.latest_per_round(contributions(spark, sf_dir), most_updates(spark, sf_dir)).select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality")
     judged = federated.rollback(federated.validation(global_models(spark, sf_dir), labelled_windows(spark, sf_dir)))
     out = federated.round_metadata(federated.reputation(newest, "pre_norm", 3.0), judged)
     return rounded(out.withColumn("quarantined_ids", F.array_join("quarantined_ids", ",")), "avg_delta_norm", "auc")
@@ -146,9 +146,9 @@ _QUALITY = "least(2.0, greatest(0.1, least(1.0, samples / 100.0)) * CASE WHEN va
     SELECT round, key, clients, round(value, 6) AS value, round(model, 6) AS model FROM x""")
 def fl10_prox_rounds(spark, sf_dir):
     """Members of the last three rounds, shares by quality and data."""
-    rows = federated.members(contributions(spark, sf_dir), 3 * DAY)
-    shares = federated.client_weights(rows, older=True)
-    means = federated.shared_mean(federated.long_form(rows.select("round", "client_id", "weights")), shares)
+    rows = federated.members(contributions(spark, sf_dir), 3 * DAY, most_updates(spark, sf_dir))
+    shares = federated.client_weights(rows.select("round", "client_id", "weights", "quality", "samples"), older=True)
+    means = federated.shared_mean(federated.long_form(shares.select("round", "share", "weights")))
     return rounded(federated.prox_rounds(means, {k: 1.0 for k in WEIGHT_KEYS}).select("round", "key", "clients", "value", "model"), "value", "model")
 
 

@@ -11,6 +11,7 @@ from ..functions import scalars
 from ..functions.fixed import FEATURES, WEIGHT_KEYS
 from ..models import autoencoder, ensemble, forest
 from ..operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, risk, short_risk
+from ..sources.store import dealt
 from ..sources.tables import read, telemetry, with_views
 from . import feature_sql
 
@@ -758,8 +759,13 @@ _FL = """SELECT month(o_orderdate) AS round, 'client_' || CAST(o_custkey AS STRI
 _LONG = "SELECT round, client_id, samples, unnest([" + ", ".join(f"'{k}'" for k in WEIGHT_KEYS) + "]) AS key, unnest([" + ", ".join(WEIGHT_KEYS) + "]) AS value FROM fl"
 
 
+def most_updates(spark: SparkSession, sf_dir: str) -> int:
+    """No more updates than orders."""
+    return read(spark, sf_dir, "orders").count()
+
+
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fl = spark.sql(_FL, orders=read(spark, sf_dir, "orders"))
+    fl = spark.sql(_FL, orders=dealt(read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus"), most_updates(spark, sf_dir), "o_custkey"))
     weights = F.map_from_arrays(F.array(*[F.lit(k) for k in WEIGHT_KEYS]), F.array(*[F.col(k).cast("double") for k in WEIGHT_KEYS]))
     one = F.create_map(F.lit("network"), F.lit(1.0))
     return fl.select("round", "client_id", (F.col("round") * DAY).alias("us"), weights.alias("weights"), one.alias("statistics"), one.alias("data_quality"), "samples", F.col("anomaly_rate").cast("double").alias("anomaly_rate"), F.col("variance").cast("double").alias("variance"))
@@ -828,13 +834,13 @@ def fl4_quality(spark, sf_dir):
 
 
 def reputations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = federated.latest_per_round(contributions(spark, sf_dir))
+    newest = federated.latest_per_round(contributions(spark, sf_dir), most_updates(spark, sf_dir))
     return federated.reputation(newest.select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality"))
 
 
 def global_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipping, reputation, shares and the momentum step, round after round."""
-    long = federated.long_form(federated.latest_per_round(updates(spark, sf_dir)))
+    long = federated.long_form(federated.latest_per_round(updates(spark, sf_dir), most_updates(spark, sf_dir)))
     return federated.global_rounds(federated.shared_mean(long, federated.client_weights(reputations(spark, sf_dir))), {k: 1.0 for k in WEIGHT_KEYS})
 
 

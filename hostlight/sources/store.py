@@ -24,3 +24,9 @@ def kept(df: DataFrame) -> DataFrame:
     """`df` computed once; its partitions and their order stay as they are."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 1_000_000) -> DataFrame:
+    """`df` of `rows` rows (or fewer) dealt out by keys, about `each` to a partition: so a task holds the same at any size of the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *keys)
