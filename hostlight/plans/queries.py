@@ -982,8 +982,12 @@ def x9_client_id(spark, sf_dir):
 
 @query("SELECT CAST(l_suppkey AS STRING) AS client, CAST(CAST(l_shipdate AS DATE) AS STRING) AS day, count(*) AS flows, count(DISTINCT l_partkey) AS destinations FROM lineitem GROUP BY 1, 2")
 def scale_flow_counts(spark, sf_dir):
-    flows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("client"), F.col("l_shipdate").cast("date").cast("string").alias("day"), "l_partkey")
-    return flows.groupBy("client", "day").agg(F.count("*").alias("flows"), F.countDistinct("l_partkey").alias("destinations"))
+    """Flows are counted by client, day and destination, and these counts folded by client and day."""
+    flows = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"), "l_partkey")
+    n = flows.count()
+    each = dealt(flows, n, "l_suppkey", "day", "l_partkey").groupBy("l_suppkey", "day", "l_partkey").agg(F.count("*").alias("flows"))
+    out = dealt(each, n, "l_suppkey", "day").groupBy("l_suppkey", "day").agg(F.sum("flows").alias("flows"), F.count("l_partkey").alias("destinations"))
+    return out.select(F.col("l_suppkey").cast("string").alias("client"), F.col("day").cast("string").alias("day"), "flows", "destinations")
 
 
 @query(f"SELECT round(min(-value), 6) AS low, round(max((-value - lo) / (hi - lo + 1e-9)), 6) AS top, count(*) AS n FROM e, (SELECT min(-value) AS lo, max(-value) AS hi FROM e) q")

@@ -28,3 +28,15 @@ def test_shares_need_no_join_of_long_rows(spark):
     long = federated.long_form(shared.select("round", "share", "weights"))
     [row] = federated.shared_mean(long).collect()
     assert abs(row["value"] - (2 * (0.7 / 4 + 0.3 * 3 / 4) + 6 * (0.7 * 3 / 4 + 0.3 / 4))) < 1e-12 and row["clients"] == 2
+
+
+def test_flow_counts_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    """Many small partitions hold the flows and their counts."""
+    from hostlight.plans import queries
+
+    spark.range(600).selectExpr("id % 7 AS l_suppkey", "id % 11 AS l_partkey", "DATE'2024-01-01' + CAST(id % 3 AS INT) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "dealt", lambda df, rows, *keys: dealt(df, rows, *keys, each=10))
+    got = queries.scale_flow_counts(spark, str(tmp_path))
+    rows = {(r["client"], r["day"]): (r["flows"], r["destinations"]) for r in got.collect()}
+    ids = [i for i in range(600) if i % 7 == 2 and i % 3 == 1]
+    assert len(rows) == 21 and rows["2", "2024-01-02"] == (len(ids), len({i % 11 for i in ids})) and got.rdd.getNumPartitions() == 60
