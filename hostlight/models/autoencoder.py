@@ -139,9 +139,8 @@ def score(matrix: DataFrame, model: Autoencoder, vector: str = "vector") -> Data
     frozen = matrix.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<ae_error: double, ae_parts: array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            e = frozen.value.errors(_array(s))
-            yield pd.DataFrame({"ae_error": e.mean(1), "ae_parts": list(np.sqrt(e))})
+    def run(s: pd.Series) -> pd.DataFrame:
+        e = np.concatenate([frozen.value.errors(_array(s.iloc[k : k + 2_000])) for k in range(0, max(len(s), 1), 2_000)])
+        return pd.DataFrame({"ae_error": e.mean(1), "ae_parts": list(np.sqrt(e))})
 
     return matrix.withColumn("_ae", run(vector)).select("*", "_ae.ae_error", "_ae.ae_parts").drop("_ae")

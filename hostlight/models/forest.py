@@ -5,8 +5,6 @@ Training moves at most trees x sample rows. A vector is an array of doubles of o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,13 +83,14 @@ def score(matrix: DataFrame, forest: list[np.ndarray], sample: int = 256, vector
     """Adds the negative anomaly score, -2^(-mean depth / expected depth): lower is odder; null without a forest."""
     frozen = matrix.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trees = frozen.value
-        for s in batches:
-            x = np.array(s.tolist(), float).reshape(len(s), -1)
-            mean = np.mean([depths(t, x) for t in trees], axis=0)
-            yield pd.Series(-np.exp2(-mean / max(float(expected_depth(sample)), 1e-9)))
+    @F.pandas_udf("double")  # not by iterator, so that one worker evaluates it with other models' functions
+    def run(s: pd.Series) -> pd.Series:
+        out = np.empty(len(s))
+        for begin in range(0, len(s), 2_000):
+            x = np.array(s.iloc[begin : begin + 2_000].tolist(), float).reshape(-1, len(s.iloc[0]))
+            mean = sum(depths(t, x) for t in frozen.value) / len(frozen.value)
+            out[begin : begin + 2_000] = -np.exp2(-mean / max(float(expected_depth(sample)), 1e-9))
+        return pd.Series(out)
 
     return matrix.withColumn(name, run(vector) if forest else F.lit(None).cast("double"))
 

@@ -40,3 +40,19 @@ def test_flow_counts_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch)
     rows = {(r["client"], r["day"]): (r["flows"], r["destinations"]) for r in got.collect()}
     ids = [i for i in range(600) if i % 7 == 2 and i % 3 == 1]
     assert len(rows) == 21 and rows["2", "2024-01-02"] == (len(ids), len({i % 11 for i in ids})) and got.rdd.getNumPartitions() == 60
+
+
+def test_models_score_in_one_worker(spark):
+    import numpy as np
+
+    from hostlight.models import autoencoder, forest
+
+    x = np.random.default_rng(0).normal(size=(50, 3))
+    m = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, vector array<double>")
+    trees, model = [forest.grow(x, np.random.default_rng(k), 6) for k in range(5)], autoencoder.Autoencoder.fresh(np.zeros(3), np.ones(3), 0)
+    both = autoencoder.score(forest.score(m, trees, 50), model)
+    plan = spark._jvm.PythonSQLUtils.explainString(both._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1
+    want = -np.exp2(-np.mean([forest.depths(t, x) for t in trees], axis=0) / float(forest.expected_depth(50)))
+    got = both.orderBy("id").toPandas()
+    assert np.allclose(got["iso_score"], want) and np.allclose(got["ae_error"], model.errors(x).mean(1))
