@@ -2,7 +2,8 @@
 
 Rows are dealt out by the hash of their key and sorted within partitions; each task streams through its partition in Arrow
 batches and carries the state of the open key from one batch to the next. A task holds one batch and one state, whether
-a key has one row or a third of all. Rules whose steps can be composed run in parallel within a key too (`scan`).
+a key has one row or a third of all. Only the columns that a rule reads become Python values, the others pass as they are.
+Rules whose steps can be composed run in parallel within a key too (`scan`).
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = ("us", "id")
+ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
 def listed(column: pd.Series) -> list:
@@ -22,6 +25,12 @@ def listed(column: pd.Series) -> list:
     return column.astype(object).where(column.notna(), None).tolist()
 
 
+def plain(column: pa.Array) -> list:
+    """Plain values, None for null and NaN."""
+    values = column.to_pylist()
+    return [None if v != v else v for v in values] if pa.types.is_floating(column.type) else values
+
+
 def key_rows(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple]:
     return list(zip(*(listed(pdf[k]) for k in keys), strict=True))
 
@@ -41,15 +50,19 @@ def fold(df: DataFrame, keys: Sequence[str], columns: Sequence[str], start: Call
     `start` makes a key's state. Rows of a key are taken in `order`; null keys are one key.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    df = df.drop(*out)
+    schema = df.withColumns({name: F.lit(None).cast(kind) for name, kind in out.items()}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, state = None, None
-        for pdf in batches:
+        for batch in batches:
+            read = [[plain(batch.column(n)) for n in names] for names in (keys, columns)]
             got = []
-            for key, *row in zip(key_rows(pdf, keys), *(listed(pdf[c]) for c in columns), strict=True):
+            for key, row in zip(zip(*read[0], strict=True), zip(*read[1], strict=True), strict=True):
                 if key != open_key:
                     open_key, state = key, start()
                 got.append(step(state, *row))
-            yield pdf.assign(**{name: [g[k] for g in got] for k, name in enumerate(out)})
+            added = [pa.array([g[k] for g in got], ARROW[kind]) for k, kind in enumerate(out.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *out])
 
-    schema = df.withColumns({name: F.lit(None).cast(kind) for name, kind in out.items()}).schema
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

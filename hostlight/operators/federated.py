@@ -172,6 +172,13 @@ def shared_mean(long: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     return both.groupBy("round", "key").agg((F.sum(F.col("value") * F.col("share")) / F.sum("share")).alias("value"), F.count("*").alias("clients"))
 
 
+def column_means(shared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`shared_mean` of updates with a column for each key, which all of them have: a row of sums per round instead of long rows."""
+    sums = shared.groupBy("round").agg(*[F.sum(F.col(k) * F.col("share")).alias(k) for k in keys], F.sum("share").alias("_share"), F.count("*").alias("clients"))
+    each = F.array(*[F.struct(F.lit(k).alias("key"), (F.col(k) / F.col("_share")).alias("value")) for k in keys])
+    return sums.select("round", "clients", F.inline(each)).select("round", "key", "value", "clients")
+
+
 def fed_prox(long: DataFrame, current: Column, mu: float = 0.01) -> DataFrame:
     """Values pulled towards the current model: v - mu (v - g)."""
     return long.withColumn("value", F.col("value") - mu * (F.col("value") - current))

@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..functions.fixed import FEATURES, WEIGHT_KEYS
 from ..models import autoencoder, ensemble, forest
 from ..operators import alerts, baselines, crawl, dedup, detectors, evaluate, features, federated, fleet, risk, short_risk
-from ..sources.store import dealt
+from ..sources.store import dealt, kept
 from ..sources.tables import read, telemetry, with_views
 from . import feature_sql
 
@@ -833,15 +833,15 @@ def fl4_quality(spark, sf_dir):
     return rounded(contributions(spark, sf_dir).select("round", "client_id", "quality"), "quality")
 
 
-def reputations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reputations(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
     newest = federated.latest_per_round(contributions(spark, sf_dir), most_updates(spark, sf_dir))
-    return federated.reputation(newest.select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality"))
+    return federated.reputation(newest.select("round", "client_id", "us", "pre_norm", "post_norm", "was_clipped", "quality", *more))
 
 
 def global_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipping, reputation, shares and the momentum step, round after round."""
-    long = federated.long_form(federated.latest_per_round(updates(spark, sf_dir), most_updates(spark, sf_dir)))
-    return federated.global_rounds(federated.shared_mean(long, federated.client_weights(reputations(spark, sf_dir))), {k: 1.0 for k in WEIGHT_KEYS})
+    """Clipping, reputation, shares and the momentum step, round after round; computed once and kept (a row per round and key)."""
+    newest = reputations(spark, sf_dir, *[F.col("weights")[k].alias(k) for k in WEIGHT_KEYS])
+    return kept(federated.global_rounds(federated.column_means(federated.client_weights(newest), WEIGHT_KEYS), {k: 1.0 for k in WEIGHT_KEYS}))
 
 
 @query(_rounds("SELECT round, client_id, round(n, 6) AS pre_norm, round(least(n, 2.0), 6) AS post_norm, n > 2 AS was_clipped, round(reputation, 6) AS reputation FROM rep"))

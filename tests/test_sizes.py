@@ -56,3 +56,28 @@ def test_models_score_in_one_worker(spark):
     want = -np.exp2(-np.mean([forest.depths(t, x) for t in trees], axis=0) / float(forest.expected_depth(50)))
     got = both.orderBy("id").toPandas()
     assert np.allclose(got["iso_score"], want) and np.allclose(got["ae_error"], model.errors(x).mean(1))
+
+
+def test_global_models_are_computed_once_from_one_table(spark):
+    """No join of long rows, and the models, which several steps read, are kept."""
+    from hostlight.functions.fixed import WEIGHT_KEYS
+    from hostlight.plans import queries
+
+    rows = [(1 + k % 3, f"c{k}", 0.5 + k % 4, *[float(k * i % 7) for i in range(len(WEIGHT_KEYS))]) for k in range(20)]
+    u = spark.createDataFrame(rows, "round int, client_id string, share double, " + ", ".join(f"{k} double" for k in WEIGHT_KEYS))
+    long = u.unpivot(["round", "client_id", "share"], list(WEIGHT_KEYS), "key", "value")
+    want = {(r["round"], r["key"]): (round(r["value"], 9), r["clients"]) for r in federated.shared_mean(long).collect()}
+    assert {(r["round"], r["key"]): (round(r["value"], 9), r["clients"]) for r in federated.column_means(u, WEIGHT_KEYS).collect()} == want
+    plan = spark._jvm.PythonSQLUtils.explainString(queries.global_models(spark, "/root/testdata/sf0.001")._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_fold_passes_other_columns_as_they_are(spark):
+    from hostlight.operators.carry import fold
+
+    rows = [("a", 1, float("nan"), 2**60 + 1), ("a", 2, None, None), (None, 3, 1.5, 7)]
+    df = spark.createDataFrame(rows, "client_id string, us long, x double, big long")
+    step = lambda state, x: (state.append(x) or len(state), state[-1] is None)
+    got = fold(df, ["client_id"], ["x"], list, step, {"n": "long", "none": "boolean"}, ("us",)).orderBy("us").collect()
+    assert [(r["n"], r["none"], r["big"]) for r in got] == [(1, True, 2**60 + 1), (2, True, None), (1, False, 7)]
+    assert got[0]["x"] != got[0]["x"] and got[1]["x"] is None
