@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import WEIGHT_KEYS
 from ..sources.store import dealt, kept
 from .carry import fold
-from .evaluate import auc
+from .evaluate import areas
 from .scan import numbered
 
 
@@ -204,21 +204,22 @@ def validation(models: DataFrame, labelled: DataFrame, least: int = 20) -> DataF
     """Per round of a global model (round, key, model): auc, tpr and fpr over labelled windows, and how many there are.
 
     labelled: id, label, and z_network, z_process, z_file (null: not seen). A window's score under a round is its largest z
-    over that round's threshold by sensitivity, and it is detected above 1. All rounds go over the windows in one pass. With
-    fewer than `least` windows, or without both labels, the area is the heuristic one.
+    over that round's threshold by sensitivity, and it is detected above 1. Windows are counted by their values once, and the
+    counts go through all rounds. With fewer than `least` windows, or without both labels, the area is the heuristic one.
     """
     names = ("network", "process", "file")
     wide = models.groupBy("round").pivot("key", WEIGHT_KEYS).agg(F.first("model"))
     limits = wide.select("round", *[(F.col(f"{n}_threshold") / F.col(f"{n}_sensitivity")).alias(n) for n in names], (sum(F.col(f"{n}_threshold") for n in names) / 3).alias("mean_threshold"))
-    every = limits.agg(F.collect_list(F.struct("round", *names)).alias("rounds"))  # a row with an entry per round
-    score = lambda r: F.greatest(*[F.coalesce(F.abs(f"z_{n}") / r[n], F.lit(0.0)) for n in names])
-    scored = labelled.crossJoin(F.broadcast(every)).select("id", "label", F.explode(F.transform("rounds", lambda r: F.struct(r["round"].alias("round"), score(r).alias("score")))).alias("s"))
-    scored = kept(scored.select("id", "label", "s.round", "s.score"))
-    hit = F.col("score") > 1
-    rate = lambda test, of: F.coalesce(F.try_divide(F.count_if(hit & of), F.count_if(of)), F.lit(0.0))
-    rates = scored.groupBy("round").agg(F.count("*").alias("windows"), rate(hit, F.col("label")).alias("tpr"), rate(hit, ~F.col("label")).alias("fpr"))
-    areas = auc(scored.withColumnRenamed("round", "model")).select(F.col("model").alias("round"), F.col("auc").alias("_auc"))
-    out = limits.select("round", "mean_threshold").join(rates, "round", "left").join(areas, "round", "left")
+    # windows with the same values count together in every round
+    alike = labelled.groupBy(*[F.abs(f"z_{n}").alias(f"z_{n}") for n in names]).agg(F.count("*").alias("windows"), F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
+    alike = kept(alike)
+    score = F.greatest(*[F.coalesce(F.abs(F.col(f"z_{n}") / F.col(n)), F.lit(0.0)) for n in names])
+    scored = alike.crossJoin(F.broadcast(limits)).select("round", "windows", "p", "n", score.alias("score"))  # a row per round is broadcast
+    hit = lambda c: F.coalesce(F.try_divide(F.sum(F.when(F.col("score") > 1, F.col(c)).otherwise(0)), F.sum(c)), F.lit(0.0))
+    rates = scored.groupBy("round").agg(F.sum("windows").alias("windows"), hit("p").alias("tpr"), hit("n").alias("fpr"))
+    curve = areas(scored.select(F.col("round").alias("model"), "score", "p", "n"), alike.count() * limits.count())
+    found = curve.select(F.col("model").alias("round"), F.col("auc").alias("_auc"))
+    out = limits.select("round", "mean_threshold").join(rates, "round", "left").join(found, "round", "left")
     seen = F.coalesce(F.col("windows"), F.lit(0))
     area = F.when(seen >= least, F.col("_auc"))
     return out.select("round", seen.alias("windows"), F.coalesce(area, heuristic_auc(F.col("mean_threshold"))).alias("auc"), F.coalesce("tpr", F.lit(0.0)).alias("tpr"), F.coalesce("fpr", F.lit(0.0)).alias("fpr"))

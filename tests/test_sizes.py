@@ -81,3 +81,51 @@ def test_fold_passes_other_columns_as_they_are(spark):
     got = fold(df, ["client_id"], ["x"], list, step, {"n": "long", "none": "boolean"}, ("us",)).orderBy("us").collect()
     assert [(r["n"], r["none"], r["big"]) for r in got] == [(1, True, 2**60 + 1), (2, True, None), (1, False, 7)]
     assert got[0]["x"] != got[0]["x"] and got[1]["x"] is None
+
+
+def test_windows_are_counted_once_for_all_rounds(spark, monkeypatch):
+    """What is kept has a row for each kind of window, not one for each window and round."""
+    from hostlight.functions.fixed import WEIGHT_KEYS
+    from hostlight.sources import store
+
+    sizes = []
+    monkeypatch.setattr(federated, "kept", lambda df: (lambda k: sizes.append(k.count()) or k)(store.kept(df)))
+    models = spark.createDataFrame([(r, k, 1.0 + r % 3 if "threshold" in k else 0.5 + r / 9) for r in range(1, 10) for k in WEIGHT_KEYS], "round int, key string, model double")
+    seen = [(k, k % 5 == 0, float(k % 7 - 3) if k % 2 else None, None, float(k % 4) if k % 3 else None) for k in range(400)]
+    seen += [(400, True, float("nan"), None, None), (401, None, 2.0, 1.0, None), (402, True, float("inf"), None, None)]
+    labelled = spark.createDataFrame(seen, "id long, label boolean, z_network double, z_process double, z_file double")
+    got = {r["round"]: r for r in federated.validation(models, labelled).collect()}
+    assert sum(sizes) <= 40 and len(got) == 9
+    for r in range(1, 10):
+        limit = (1.0 + r % 3) / (0.5 + r / 9)
+        score = lambda w: float("inf") if any(z != z for z in w[2:] if z is not None) else max(abs(z) / limit if z is not None else 0.0 for z in w[2:])  # noqa: B023, E731
+        odd = {w[0] for w in seen if w[2] is not None and w[2] != w[2]}  # NaN is the largest of all
+        up, down = [(w[0] in odd, score(w)) for w in seen if w[1]], [(w[0] in odd, score(w)) for w in seen if w[1] is False]
+        area = sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down)
+        assert got[r]["windows"] == 403 and abs(got[r]["auc"] - area) < 1e-12
+        assert abs(got[r]["tpr"] - sum(s > 1 for _, s in up) / len(up)) < 1e-12 and abs(got[r]["fpr"] - sum(s > 1 for _, s in down) / len(down)) < 1e-12
+
+
+def test_areas_over_many_ranges_and_batches(spark):
+    """Scores that repeat, within and across batches; models of one row, without a class, without a name."""
+    import numpy as np
+
+    from hostlight.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 11 == 0 else f"m{k % 3}", None if k % 50 == 0 else float("nan") if k % 37 == 0 else float(rng.integers(0, 12)), int(rng.integers(0, 4)), int(rng.integers(0, 3))) for k in range(900)]
+    rows += [("one", 1.0, 3, 0), ("none", 1.0, 0, 0)]
+    df = spark.createDataFrame(rows, "model string, score double, p long, n long").repartition(5)
+    place = lambda s: -1.0 if s is None else 99.0 if s != s else s
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for much in (0, 900):
+            got = {r["model"]: r for r in evaluate.areas(df, much, each=30).collect()}
+            assert set(got) == {None, "m0", "m1", "m2", "one", "none"} and got["one"]["auc"] is None and got["none"]["auc"] is None
+            for m in (None, "m0", "m1", "m2"):
+                mine = [(place(s), p, n) for model, s, p, n in rows if model == m]
+                p, n = sum(r[1] for r in mine), sum(r[2] for r in mine)
+                pairs = sum(a[1] * b[2] * ((a[0] > b[0]) + (a[0] == b[0]) / 2) for a in mine for b in mine)
+                assert (got[m]["p"], got[m]["n"]) == (p, n) and abs(got[m]["auc"] - pairs / p / n) < 1e-12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
